@@ -84,7 +84,8 @@ def offline_propagate(
     Returns the last ``F`` (not normalised; see ``normalize_l1``), the number of
     iterations and the max change of each iteration.
     """
-    t = trans.select("src", "dst", "dst_obs", "p")
+    # the graph is read every iteration: materialise it once (reliable checkpoint)
+    t = cut_lineage(trans.select("src", "dst", "dst_obs", "p"))
     y = labels_onehot(y_l)
     static = t.where(F.col("dst_obs")).join(y.withColumnRenamed("id", "dst"), "dst").select(
         F.col("src").alias("id"), "class", (F.col("p") * F.col("y")).alias("p"))
@@ -97,10 +98,14 @@ def offline_propagate(
     while n_iter < max_iter:
         prop = uu.join(f.select(F.col("id").alias("dst"), "class", F.col("p").alias("fp")), "dst").select(
             F.col("src").alias("id"), "class", (F.col("p") * F.col("fp")).alias("p"))
-        f_new = cut_lineage(base.unionByName(prop).groupBy("id", "class").agg(F.sum("p").alias("p")))
-        change = (f_new.join(f.withColumnRenamed("p", "p_prev"), ["id", "class"])
-                  .agg(F.max(F.abs(F.col("p") - F.col("p_prev"))).alias("d")).first()["d"])
-        f = f_new
+        # one job per iteration: new estimate and its change, written together
+        step = cut_lineage(
+            base.unionByName(prop).groupBy("id", "class").agg(F.sum("p").alias("p"))
+            .join(f.withColumnRenamed("p", "p_prev"), ["id", "class"])
+            .withColumn("d", F.abs(F.col("p") - F.col("p_prev")))
+        )
+        change = step.agg(F.max("d").alias("d")).first()["d"]
+        f = step.select("id", "class", "p")
         n_iter += 1
         residuals.append(float(change) if change is not None else 0.0)
         if residuals[-1] < tol:
@@ -156,8 +161,8 @@ def propagate_local(
     labels are kept for later hops of the same batch.
     Returns the new ``F`` (changed rows L1-normalised).
     """
-    t = trans.select("src", "dst", "dst_obs", "p")
-    y = labels_onehot(y_l)
+    t = cut_lineage(trans.select("src", "dst", "dst_obs", "p"))
+    y = cut_lineage(labels_onehot(y_l))
     new_u = new_nodes.where(~F.col("observed")).select("id")
     # new unlabelled nodes start uniform (a neighbour inside the batch counts as uniform)
     f_base = f.join(new_u, "id", "left_anti").unionByName(uniform_start(new_u, classes))

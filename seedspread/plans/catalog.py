@@ -405,3 +405,60 @@ QUERIES: dict[str, Query] = {
     "entropy_histogram": q_entropy_histogram,
     "stream_profile": q_stream_profile,
 }
+
+
+# ------------------------------------------------------------------ step 8: one arrival, local propagation
+def _arrival(spark, sf, labeled: bool):
+    """Stored = every row but the last arrival of one kind (hash order); then insert that row."""
+    from seedspread.functions.hashing import order_key
+    from seedspread.session import cut_lineage
+
+    pts = cut_lineage(embeddings_points(spark, sf))
+    kind = F.col("observed") if labeled else ~F.col("observed")
+    # the latest arrival: a top-1 by the arrival key (the limit is the feature)
+    new = pts.where(kind).withColumn("_k", order_key("id", SEED, S.SALT_ORDER)).orderBy(
+        F.col("_k").desc(), F.col("id").desc()).limit(1).drop("_k")
+    new = cut_lineage(new)
+    stored = pts.join(new.select("id"), "id", "left_anti")
+    return pts, stored, new
+
+
+def _insert_query(spark, sf, labeled: bool, theta: float | None = None, top_ratio: float | None = None):
+    from seedspread.operators.propagate import hop_cap, propagate_local
+    from seedspread.plans.fixtures import THETA
+    from seedspread.session import cut_lineage
+
+    pts, stored, new = _arrival(spark, sf, labeled)
+    classes = classes_of(pts)
+    cols = ["id", "x", "observed"]
+    edges = cut_lineage(G.build_graph(stored.select(*cols), K_L, K_U))
+    trans = G.transitions(edges)
+    y_l = S.one_hot(stored.where("observed"), "id", "label", classes)
+    res = offline_propagate(trans, y_l, stored.where(~F.col("observed")).select("id"), classes, max_iter=MAX_ITER, tol=TOL)
+    f = normalize_l1(res.f)
+    edges2 = G.insert_nodes(edges, stored.select(*cols), new.select(*cols), K_L, K_U)
+    trans2 = G.transitions(edges2)
+    y_l2 = S.one_hot(pts.where("observed"), "id", "label", classes)
+    n_unl = pts.where(~F.col("observed")).count()
+    out = propagate_local(trans2, y_l2, f, new.select("id", "observed"), classes,
+                          theta=THETA if theta is None else theta, max_hops=hop_cap(n_unl, K_U), top_ratio=top_ratio)
+    return out.f.select("id", F.col("class").cast("int").alias("class"), r6("p").alias("p"))
+
+
+def q_online_insert_unlabeled(spark, sf):
+    return _insert_query(spark, sf, labeled=False)
+
+
+def q_online_insert_labeled(spark, sf):
+    return _insert_query(spark, sf, labeled=True)
+
+
+def q_top_ratio_updates(spark, sf):
+    return _insert_query(spark, sf, labeled=False, top_ratio=0.5)
+
+
+QUERIES.update({
+    "online_insert_unlabeled": q_online_insert_unlabeled,
+    "online_insert_labeled": q_online_insert_labeled,
+    "top_ratio_updates": q_top_ratio_updates,
+})

@@ -455,3 +455,92 @@ ORACLE = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_"
 
 def oracle_sql() -> dict[str, str]:
     return {k: fn() for k, fn in ORACLE.items() if k in C.QUERIES}
+
+
+# ------------------------------------------------------------------ step 8
+def insert_sql(labeled: bool, theta: float | None = None, top_ratio: float | None = None, max_hops: int = X.MAX_ITER) -> str:
+    """One arrival: graph + propagation on the stored rows, rebuild with the new row,
+    first estimate, then the hops unrolled up to max_iter (inactive beyond the cap)."""
+    theta = X.THETA if theta is None else theta
+    kind = "observed" if labeled else "NOT observed"
+    head = (
+        f"{masked_pts()}, "
+        f"newp AS (SELECT * FROM pts WHERE {kind} ORDER BY md5('{X.SEED}:order:' || id) DESC, id DESC LIMIT 1), "
+        "sto AS (SELECT * FROM pts WHERE id NOT IN (SELECT id FROM newp))"
+    )
+    # graph + LP on stored rows (names of graph_cte/lp_cte), then the full graph as g2
+    g2 = graph_cte("pts").replace("pairs AS", "pairs2 AS").replace("FROM pairs)", "FROM pairs2)") \
+        .replace("ranked AS", "ranked2 AS").replace("FROM ranked ", "FROM ranked2 ").replace("edges AS", "edges2 AS") \
+        .replace("trans AS", "trans2 AS").replace("FROM edges)", "FROM edges2)")
+    parts = [head, graph_cte("sto"), lp_cte("sto"), g2]
+    parts.append(f"u2 AS (SELECT count(*) AS u FROM pts WHERE NOT observed)")
+    parts.append(f"cap AS (SELECT CASE WHEN {X.K_U} > 1 THEN CAST(floor(ln(greatest(u, 1)) / ln({X.K_U})) AS INTEGER) ELSE {X.MAX_ITER} END AS h FROM u2)")
+    parts.append("yl2 AS (SELECT p.id, c.class, CASE WHEN p.label = c.class THEN 1.0 ELSE 0.0 END AS y FROM pts p, classes c WHERE p.observed)")
+    # new unlabelled rows start uniform, then get their own row product
+    if labeled:
+        parts.append("cur0 AS (SELECT id, class, p FROM fin)")
+    else:
+        parts.append(
+            "unif AS (SELECT n.id, c.class, 1.0 / (SELECT c FROM nc) AS p FROM newp n, classes c), "
+            "fb AS (SELECT id, class, p FROM fin UNION ALL SELECT * FROM unif), "
+            "fnew AS (SELECT n.id, n.class, coalesce(sum(CASE WHEN t.dst_obs THEN t.p * y.y ELSE t.p * f.p END), 0.0) AS p FROM unif n "
+            "LEFT JOIN trans2 t ON t.src = n.id LEFT JOIN yl2 y ON t.dst_obs AND y.id = t.dst AND y.class = n.class "
+            "LEFT JOIN fb f ON NOT t.dst_obs AND f.id = t.dst AND f.class = n.class GROUP BY n.id, n.class), "
+            "cur0 AS (SELECT id, class, p FROM fin UNION ALL SELECT * FROM fnew)"
+        )
+    parts.append("fr1 AS (SELECT DISTINCT src AS id FROM trans2 WHERE dst IN (SELECT id FROM newp))")
+    parts.append(
+        "tent0 AS (SELECT r.id, c.class, coalesce(sum(CASE WHEN t.dst_obs THEN t.p * y.y ELSE t.p * f.p END), 0.0) AS p "
+        "FROM fr1 r CROSS JOIN classes c LEFT JOIN trans2 t ON t.src = r.id LEFT JOIN yl2 y ON t.dst_obs AND y.id = t.dst AND y.class = c.class "
+        "LEFT JOIN cur0 f ON NOT t.dst_obs AND f.id = t.dst AND f.class = c.class GROUP BY r.id, c.class)"
+    )
+    for h in range(1, max_hops + 1):
+        p = h - 1
+        parts.append(
+            f"cd{h} AS (SELECT t.id, t.class, t.p - c.p AS d FROM tent{p} t JOIN fr{h} USING (id) JOIN cur{p} c USING (id, class) "
+            f"WHERE {h} <= (SELECT h FROM cap))"
+        )
+        if top_ratio is None:
+            parts.append(f"ap{h} AS (SELECT id FROM cd{h} GROUP BY id HAVING sum(abs(d)) > {_dbl(theta)})")
+        else:
+            parts.append(
+                f"nf{h} AS (SELECT count(*) AS n FROM (SELECT DISTINCT id FROM cd{h})), "
+                f"ap{h} AS (SELECT id FROM (SELECT id, sum(abs(d)) AS nm FROM cd{h} GROUP BY id) "
+                f"ORDER BY nm DESC, id LIMIT (SELECT CAST(floor({_dbl(top_ratio)} * n) AS BIGINT) FROM nf{h}))"
+            )
+        parts.append(
+            f"cur{h} AS (SELECT c.id, c.class, coalesce(t.p, c.p) AS p FROM cur{p} c LEFT JOIN "
+            f"(SELECT t.* FROM tent{p} t WHERE t.id IN (SELECT id FROM ap{h})) t USING (id, class))"
+        )
+        parts.append(f"up{h} AS (SELECT * FROM cd{h} WHERE id IN (SELECT id FROM ap{h}))")
+        parts.append(
+            f"ct{h} AS (SELECT tr.src AS id, u.class, sum(tr.p * u.d) AS p FROM trans2 tr JOIN up{h} u ON tr.dst = u.id "
+            f"WHERE NOT tr.dst_obs GROUP BY tr.src, u.class)"
+        )
+        parts.append(f"fr{h + 1} AS (SELECT DISTINCT id FROM ct{h})")
+        parts.append(
+            f"tent{h} AS (SELECT id, class, sum(p) AS p FROM (SELECT * FROM tent{p} UNION ALL "
+            f"SELECT c.id, c.class, c.p FROM cur{h} c WHERE c.id IN (SELECT id FROM fr{h + 1}) AND c.id NOT IN (SELECT id FROM tent{p}) "
+            f"UNION ALL SELECT * FROM ct{h}) GROUP BY id, class)"
+        )
+    last = f"cur{max_hops}"
+    return (
+        "WITH " + ", ".join(parts) + f" SELECT id, CAST(class AS INTEGER) AS class, "
+        f"round(coalesce(p / nullif(sum(abs(p)) OVER (PARTITION BY id), 0.0), 0.0), 6) AS p FROM {last}"
+    )
+
+
+def q_online_insert_unlabeled() -> str:
+    return insert_sql(False)
+
+
+def q_online_insert_labeled() -> str:
+    return insert_sql(True)
+
+
+def q_top_ratio_updates() -> str:
+    return insert_sql(False, top_ratio=0.5)
+
+
+ORACLE.update({"online_insert_unlabeled": q_online_insert_unlabeled, "online_insert_labeled": q_online_insert_labeled,
+               "top_ratio_updates": q_top_ratio_updates})
