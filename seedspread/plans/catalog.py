@@ -462,3 +462,43 @@ QUERIES.update({
     "online_insert_labeled": q_online_insert_labeled,
     "top_ratio_updates": q_top_ratio_updates,
 })
+
+
+# ------------------------------------------------------------------ step 9: streaming
+STREAM_FILES = 5
+STREAM_BURN_IN_SHARE = 0.5
+
+
+def run_stream(spark, sf, n_files: int = STREAM_FILES):
+    """Replay masked `embeddings` as a file stream (hash arrival order) through the learner."""
+    from seedspread.session import cut_lineage, scratch_dir
+    from seedspread.streaming.learner import LearnerConfig, StreamLearner, read_stream, start_learner, write_stream_files
+
+    pts = embeddings_points(spark, sf)
+    classes = classes_of(pts)
+    rows = cut_lineage(S.replay(pts, "id", shuffle=True, seed=SEED).select(
+        F.col("pos").cast("long").alias("seq"), F.col("id").cast("long").alias("id"), "x",
+        F.col("label").cast("int").alias("label"), "observed"))
+    n = rows.count()
+    src = scratch_dir(spark, "stream-src")
+    write_stream_files(rows, src, n_files)
+    cfg = LearnerConfig(classes=classes, k_labeled=K_L, k_unlabeled=K_U, n_burn_in=int(n * STREAM_BURN_IN_SHARE))
+    learner = StreamLearner(spark, scratch_dir(spark, "stream-state"), cfg, truth=pts.select("id", "label"))
+    q = start_learner(read_stream(spark, src), learner, scratch_dir(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return learner
+
+
+def q_stream_fit(spark, sf):
+    learner = run_stream(spark, sf)
+    f = learner.estimates(learner.last_version())
+    return f.select("id", F.col("class").cast("int").alias("class"), r6("p").alias("p"))
+
+
+def q_stream_metrics(spark, sf):
+    learner = run_stream(spark, sf)
+    m = spark.read.parquet(learner._p("metrics"))
+    return m.select("run", "batch_id", "t", "metric", r6("score").alias("score"))
+
+
+QUERIES.update({"stream_fit": q_stream_fit, "stream_metrics": q_stream_metrics})
