@@ -22,8 +22,10 @@ KIND_LABELED = 1
 KIND_UNLABELED = 0
 
 
-def _kinded(points: DataFrame) -> DataFrame:
-    return points.select("id", "x", F.when(F.col("observed"), F.lit(KIND_LABELED)).otherwise(F.lit(KIND_UNLABELED)).alias("kind"))
+def _kinded(points: DataFrame, group_col: str | None = None) -> DataFrame:
+    gc = [group_col] if group_col else []
+    return points.select(*gc, "id", "x",
+                         F.when(F.col("observed"), F.lit(KIND_LABELED)).otherwise(F.lit(KIND_UNLABELED)).alias("kind"))
 
 
 def build_graph(
@@ -35,29 +37,33 @@ def build_graph(
     L=None,
     bandwidth: float = 1.0,
     counts: tuple[int, int] | None = None,
+    group_col: str | None = None,
 ) -> DataFrame:
     """K6: heterogeneous kNN graph.  ``points`` = ``(id, x, observed)``.
 
     ``sources`` is ``"unlabeled"`` (what propagation reads) or ``"all"``.
-    ``L`` applies a linear metric first (K2), once per point.
+    ``L`` applies a linear metric first (K2), once per point.  With ``group_col``
+    one independent graph is built per group value (sweep variants) in one plan.
     """
+    gc = [group_col] if group_col else []
     pts = project(points, L) if L is not None else points
-    ref = _kinded(pts)
+    ref = _kinded(pts, group_col)
     query = pts if sources == "all" else pts.where(~F.col("observed"))
-    query = query.select("id", "x")
+    query = query.select(*gc, "id", "x")
     nn = knn_join(query, ref, {KIND_LABELED: k_labeled, KIND_UNLABELED: k_unlabeled}, exclude_self=True,
-                  kind_col="kind", counts=counts)
-    obs = pts.select(F.col("id").alias("src"), F.col("observed").alias("src_obs"))
+                  kind_col="kind", group_col=group_col, counts=counts)
+    obs = pts.select(*gc, F.col("id").alias("src"), F.col("observed").alias("src_obs"))
     return (
-        nn.join(obs, "src")
-        .select("src", "src_obs", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2",
+        nn.join(obs, gc + ["src"])
+        .select(*gc, "src", "src_obs", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2",
                 edge_weight("d2", bandwidth).alias("w"), "rank")
     )
 
 
-def transitions(edges: DataFrame, eps: float = EPS) -> DataFrame:
+def transitions(edges: DataFrame, eps: float = EPS, group_col: str | None = None) -> DataFrame:
     """``p = w / row sum`` over both labelled and unlabelled edges of a source; sums < eps count as 1."""
-    s = F.sum("w").over(Window.partitionBy("src"))
+    gc = [group_col] if group_col else []
+    s = F.sum("w").over(Window.partitionBy(*gc, "src"))
     return edges.withColumn("p", F.col("w") / F.when(s < F.lit(eps), F.lit(1.0)).otherwise(s))
 
 

@@ -41,7 +41,8 @@ def _block_counts(n_query: int, n_ref: int, block_rows: int, parallelism: int) -
 
 def _kernel(k_by_kind: Mapping[int, int], exclude_self: bool):
     def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
+        empty = pd.DataFrame({"g": pd.Series([], dtype="int64"),
+                              "src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
                               "kind": pd.Series([], dtype="int32"), "d2": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(r) == 0:
             return empty
@@ -81,7 +82,8 @@ def _kernel(k_by_kind: Mapping[int, int], exclude_self: bool):
             cidk = np.take_along_axis(cids, idx, 1)
             keep = np.isfinite(d2k)
             rows = np.repeat(qid, idx.shape[1]).reshape(idx.shape)
-            out.append(pd.DataFrame({"src": rows[keep], "dst": cidk[keep],
+            out.append(pd.DataFrame({"g": np.full(int(keep.sum()), int(q["g"].iloc[0]), np.int64),
+                                     "src": rows[keep], "dst": cidk[keep],
                                      "kind": np.full(int(keep.sum()), kind, np.int32), "d2": d2k[keep]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
@@ -95,6 +97,7 @@ def knn_join(
     *,
     exclude_self: bool = False,
     kind_col: str | None = None,
+    group_col: str | None = None,
     block_rows: int = DEFAULT_BLOCK_ROWS,
     counts: tuple[int, int] | None = None,
 ) -> DataFrame:
@@ -102,20 +105,27 @@ def knn_join(
 
     With ``kind_col`` (an int column of ``ref``) the ``k`` best are kept per kind,
     ``k`` being a mapping kind -> k.  ``exclude_self`` drops pairs with equal ids
-    (a table joined with itself).  Returns ``(src, dst, kind, d2, rank)`` with
-    rank 1..k by ``(d2, dst)``; fewer rows where fewer candidates exist.
+    (a table joined with itself).  With ``group_col`` (on both sides) rows only meet
+    rows of the same group: many independent joins (e.g. sweep variants) in one plan.
+    Returns ``(src, dst, kind, d2, rank)`` (plus the group column) with rank 1..k by
+    ``(d2, dst)``; fewer rows where fewer candidates exist.
     """
     k_by_kind = dict(k) if isinstance(k, Mapping) else {0: int(k)}
     spark = query.sparkSession
     if counts is None:
-        counts = (query.count(), ref.count())
+        if group_col:
+            # blocks are sized by the largest group (one scalar per side)
+            counts = tuple(d.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0 for d in (query, ref))
+        else:
+            counts = (query.count(), ref.count())
     n_query, n_ref = counts
     nqb, nrb = _block_counts(max(n_query, 1), max(n_ref, 1), block_rows, spark.sparkContext.defaultParallelism)
 
     kind = F.col(kind_col).cast("int") if kind_col else F.lit(0)
+    g = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
     # fresh attributes on both sides (both may come from one table: a self join)
-    q = query.select(F.col("id").cast("long").alias("id"), F.col("x").alias("x"))
-    r = ref.select(F.col("id").cast("long").alias("id"), F.col("x").alias("x"), kind.alias("kind"))
+    q = query.select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("x").alias("x"))
+    r = ref.select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("x").alias("x"), kind.alias("kind"))
     live = [kd for kd, kv in k_by_kind.items() if kv > 0]
     if len(live) < len(k_by_kind):
         r = r.where(F.col("kind").isin(live))
@@ -126,25 +136,28 @@ def knn_join(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
 
     schema = T.StructType([
+        T.StructField("g", T.LongType()),
         T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
         T.StructField("kind", T.IntegerType()), T.StructField("d2", T.DoubleType()),
     ])
     cand = (
-        q.groupBy("qb", "rb")
-        .cogroup(r.groupBy("qb", "rb"))
+        q.groupBy("g", "qb", "rb")
+        .cogroup(r.groupBy("g", "qb", "rb"))
         .applyInPandas(_kernel(k_by_kind, exclude_self), schema)
     )
     kmax = F.lit(0)
     for kd, kv in k_by_kind.items():
         kmax = F.when(F.col("kind") == kd, F.lit(int(kv))).otherwise(kmax)
-    w = Window.partitionBy("src", "kind").orderBy("d2", "dst")
+    w = Window.partitionBy("g", "src", "kind").orderBy("d2", "dst")
     ranked = cand.withColumn("rank", F.row_number().over(w))
     if len(k_by_kind) == 1:
         # a literal limit lets Catalyst insert the partial WindowGroupLimit
         ranked = ranked.where(F.col("rank") <= F.lit(next(iter(k_by_kind.values()))))
     else:
         ranked = ranked.where(F.col("rank") <= F.lit(max(k_by_kind.values()))).where(F.col("rank") <= kmax)
-    return ranked
+    if group_col:
+        return ranked.withColumnRenamed("g", group_col)
+    return ranked.drop("g")
 
 
 def project(points: DataFrame, L, x_col: str = "x", out_col: str = "x") -> DataFrame:

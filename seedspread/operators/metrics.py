@@ -25,13 +25,15 @@ def clip_normalize(f: DataFrame, eps: float = EPS_64) -> DataFrame:
     return f.withColumn("q", q).withColumn("p", F.col("q") / s).drop("q")
 
 
-def row_metrics(f: DataFrame, truth: DataFrame, n_classes: int, eps: float = EPS_64) -> DataFrame:
+def row_metrics(f: DataFrame, truth: DataFrame, n_classes: int, eps: float = EPS_64,
+                group_col: str | None = None) -> DataFrame:
     """Per row: ``valid`` (raw row not all zero), ``pred``, ``true``, ``l1`` (half L1 error),
     ``xent`` (cross-entropy / ln C), ``entropy`` (/ ln C) after M1."""
+    gc = [group_col] if group_col else []
     lnc = math.log(n_classes) if n_classes > 1 else 1.0
     q = F.least(F.greatest(F.col("p"), F.lit(eps)), F.lit(1.0 - eps))
     rows = f.join(truth.select("id", F.col("label").alias("true")), "id").withColumn("q", q)
-    per = rows.groupBy("id", "true").agg(
+    per = rows.groupBy(*gc, "id", "true").agg(
         F.sum(F.abs("p")).alias("raw"),
         F.sum("q").alias("s"),
         F.collect_list(F.struct("class", "q")).alias("row"),
@@ -43,16 +45,17 @@ def row_metrics(f: DataFrame, truth: DataFrame, n_classes: int, eps: float = EPS
     l1 = F.aggregate("row", F.lit(0.0), lambda acc, e: acc + F.abs(e["q"] - y(e))) / F.lit(2.0)
     xent = -F.aggregate("row", F.lit(0.0), lambda acc, e: acc + y(e) * F.log(e["q"])) / F.lit(lnc)
     ent = -F.aggregate("row", F.lit(0.0), lambda acc, e: acc + e["q"] * F.log(e["q"])) / F.lit(lnc)
-    return per.select("id", "true", (F.col("raw") != 0).alias("valid"), best.alias("pred"),
+    return per.select(*gc, "id", "true", (F.col("raw") != 0).alias("valid"), best.alias("pred"),
                       l1.alias("l1"), xent.alias("xent"), ent.alias("entropy"))
 
 
-def evaluate(f: DataFrame, truth: DataFrame, n_classes: int) -> DataFrame:
-    """M2-M7: one row of error metrics, over all rows ('mixed') and over valid rows."""
-    r = row_metrics(f, truth, n_classes)
+def evaluate(f: DataFrame, truth: DataFrame, n_classes: int, group_col: str | None = None) -> DataFrame:
+    """M2-M7: one row of error metrics, over all rows ('mixed') and over valid rows (per group)."""
+    gc = [group_col] if group_col else []
+    r = row_metrics(f, truth, n_classes, group_col=group_col)
     miss = (F.col("pred") != F.col("true")).cast("double")
     v = F.col("valid")
-    out = r.agg(
+    out = r.groupBy(*gc).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~v).alias("n_invalid"),
         F.avg(miss).alias("clf_error_mixed"),
@@ -65,7 +68,7 @@ def evaluate(f: DataFrame, truth: DataFrame, n_classes: int) -> DataFrame:
         F.sum(F.when(v, F.col("entropy"))).alias("_ent_sum"),
     )
     return out.select(
-        "n", "n_invalid", (F.col("n_invalid") / F.col("n")).alias("invalid_ratio"),
+        *gc, "n", "n_invalid", (F.col("n_invalid") / F.col("n")).alias("invalid_ratio"),
         "clf_error_mixed", "l1_error_mixed", "cross_ent_mixed",
         ((F.coalesce(F.col("_ent_sum"), F.lit(0.0)) + F.col("n_invalid")) / F.col("n")).alias("entropy_pred_mixed"),
         "clf_error_valid", "l1_error_valid", "cross_ent_valid", "entropy_pred_valid",

@@ -56,7 +56,7 @@ def _row_products(trans: DataFrame, y_l: DataFrame, f: DataFrame) -> DataFrame:
 
 def labels_onehot(y_l: DataFrame) -> DataFrame:
     """``(id, class, p)`` one-hot rows -> ``(id, class, y)`` as used by the products."""
-    return y_l.select("id", "class", F.col("p").alias("y"))
+    return y_l.withColumnRenamed("p", "y")
 
 
 @dataclass
@@ -76,6 +76,7 @@ def offline_propagate(
     f0: DataFrame | None = None,
     max_iter: int = 30,
     tol: float = 1e-3,
+    group_col: str | None = None,
 ) -> OfflineResult:
     """Iterate ``F <- P_ul Y_l + P_uu F`` from ``f0`` (uniform by default).
 
@@ -83,34 +84,64 @@ def offline_propagate(
     ``(id, class, p)`` of labelled nodes; ``unlabeled_ids``: ``(id)``.
     Returns the last ``F`` (not normalised; see ``normalize_l1``), the number of
     iterations and the max change of each iteration.
+
+    With ``group_col`` on every input, independent propagations (sweep variants)
+    run in the same jobs; each group stops at its own convergence (its rows are
+    frozen from then on), ``n_iter`` / ``residuals`` become dicts per group.
     """
+    gc = [group_col] if group_col else []
     # the graph is read every iteration: materialise it once (reliable checkpoint)
-    t = cut_lineage(trans.select("src", "dst", "dst_obs", "p"))
+    t = cut_lineage(trans.select(*gc, "src", "dst", "dst_obs", "p"))
     y = labels_onehot(y_l)
-    static = t.where(F.col("dst_obs")).join(y.withColumnRenamed("id", "dst"), "dst").select(
-        F.col("src").alias("id"), "class", (F.col("p") * F.col("y")).alias("p"))
+    static = t.where(F.col("dst_obs")).join(y.withColumnRenamed("id", "dst"), gc + ["dst"]).select(
+        *gc, F.col("src").alias("id"), "class", (F.col("p") * F.col("y")).alias("p"))
     # static term + zero rows so that every (id, class) exists: computed once
-    base = cut_lineage(static.unionByName(zeros(unlabeled_ids, classes)).groupBy("id", "class").agg(F.sum("p").alias("p")))
-    uu = t.where(~F.col("dst_obs")).select("src", "dst", "p")
-    f = cut_lineage(f0 if f0 is not None else uniform_start(unlabeled_ids, classes))
-    residuals: list[float] = []
+    zero = unlabeled_ids.select(*gc, "id", F.explode(F.array(*[F.lit(int(k)) for k in classes])).alias("class"),
+                                F.lit(0.0).alias("p"))
+    base = cut_lineage(static.unionByName(zero).groupBy(*gc, "id", "class").agg(F.sum("p").alias("p")))
+    uu = t.where(~F.col("dst_obs")).select(*gc, "src", "dst", "p")
+    start = f0 if f0 is not None else zero.withColumn("p", F.lit(1.0 / len(classes)))
+    f = cut_lineage(start.select(*gc, "id", "class", "p"))
+    active = None
+    if gc:
+        active = sorted(r[0] for r in base.select(group_col).distinct().collect())
+    residuals: dict | list = {} if gc else []
+    n_iters: dict = {}
     n_iter = 0
     while n_iter < max_iter:
-        prop = uu.join(f.select(F.col("id").alias("dst"), "class", F.col("p").alias("fp")), "dst").select(
-            F.col("src").alias("id"), "class", (F.col("p") * F.col("fp")).alias("p"))
+        cur_f, cur_base, cur_uu = f, base, uu
+        if gc:
+            cur_f = f.where(F.col(group_col).isin(active))
+            cur_base = base.where(F.col(group_col).isin(active))
+            cur_uu = uu.where(F.col(group_col).isin(active))
+        prop = cur_uu.join(cur_f.select(*gc, F.col("id").alias("dst"), "class", F.col("p").alias("fp")), gc + ["dst"]).select(
+            *gc, F.col("src").alias("id"), "class", (F.col("p") * F.col("fp")).alias("p"))
         # one job per iteration: new estimate and its change, written together
-        step = cut_lineage(
-            base.unionByName(prop).groupBy("id", "class").agg(F.sum("p").alias("p"))
-            .join(f.withColumnRenamed("p", "p_prev"), ["id", "class"])
-            .withColumn("d", F.abs(F.col("p") - F.col("p_prev")))
-        )
-        change = step.agg(F.max("d").alias("d")).first()["d"]
-        f = step.select("id", "class", "p")
+        step = (cur_base.unionByName(prop).groupBy(*gc, "id", "class").agg(F.sum("p").alias("p"))
+                .join(cur_f.withColumnRenamed("p", "p_prev"), gc + ["id", "class"])
+                .withColumn("d", F.abs(F.col("p") - F.col("p_prev"))))
+        if gc:
+            frozen = f.where(~F.col(group_col).isin(active)).withColumn("p_prev", F.col("p")).withColumn("d", F.lit(0.0))
+            step = step.unionByName(frozen)
+        step = cut_lineage(step)
         n_iter += 1
-        residuals.append(float(change) if change is not None else 0.0)
-        if residuals[-1] < tol:
+        f = step.select(*gc, "id", "class", "p")
+        if not gc:
+            change = step.agg(F.max("d").alias("d")).first()["d"]
+            residuals.append(float(change) if change is not None else 0.0)
+            if residuals[-1] < tol:
+                break
+            continue
+        per = {r[0]: float(r[1] or 0.0) for r in
+               step.where(F.col(group_col).isin(active)).groupBy(group_col).agg(F.max("d")).collect()}
+        for gv in list(active):
+            residuals.setdefault(gv, []).append(per.get(gv, 0.0))
+            n_iters[gv] = n_iter
+            if per.get(gv, 0.0) < tol:
+                active.remove(gv)
+        if not active:
             break
-    return OfflineResult(f, n_iter, residuals)
+    return OfflineResult(f, n_iters if gc else n_iter, residuals)
 
 
 # ---------------------------------------------------------------- L10 hop cap

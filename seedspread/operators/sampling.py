@@ -160,11 +160,14 @@ def label_budget(split: DataFrame, id_col: str, label_col: str, n_labels_per_cla
 
 
 # ---------------------------------------------------------------- D9 / D10
-def one_hot(df: DataFrame, id_col: str, label_col: str, classes: Sequence[int]) -> DataFrame:
-    """Long-form one-hot ``(id, class, p)``; a label outside the class list gets all zeros."""
+def one_hot(df: DataFrame, id_col: str, label_col: str, classes: Sequence[int], keep: Sequence[str] = ()) -> DataFrame:
+    """Long-form one-hot ``(id, class, p)``; a label outside the class list gets all zeros.
+
+    ``keep`` carries extra key columns (e.g. a sweep group) through.
+    """
     cls = F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("class")
-    return df.select(F.col(id_col).alias("id"), F.col(label_col).alias("_y"), cls).select(
-        "id", "class", (F.col("class") == F.col("_y")).cast("double").alias("p")
+    return df.select(*keep, F.col(id_col).alias("id"), F.col(label_col).alias("_y"), cls).select(
+        *keep, "id", "class", (F.col("class") == F.col("_y")).cast("double").alias("p")
     ).na.fill({"p": 0.0})
 
 

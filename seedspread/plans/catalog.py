@@ -502,3 +502,193 @@ def q_stream_metrics(spark, sf):
 
 
 QUERIES.update({"stream_fit": q_stream_fit, "stream_metrics": q_stream_metrics})
+
+
+# ------------------------------------------------------------------ step 10: sweeps and runs
+# Fixed values of the sweeps (neighbour and theta values as in the reference's sweep configs).
+SWEEP_K = (1, 3, 7, 11, 15, 19)
+SWEEP_THETA = (0.0, 0.1, 0.5, 1.0, 1.5, 2.0)
+SWEEP_RATIOS = (0.05, 0.1, 0.2)
+SWEEP_BUDGETS = (5, 10)          # labels per class, scaled to the size of `embeddings`
+N_RUNS = 3                       # seed of run n is 42 * n
+
+
+def _ev_cols(df, key, key_type="int"):
+    return df.select(F.col("g").cast(key_type).alias(key), *[c for c in ("n_labeled",) if c in df.columns],
+                     F.col("n_iter").cast("int").alias("n_iter"), "n", "n_invalid",
+                     r6("clf_error_mixed").alias("clf_error_mixed"), r6("l1_error_mixed").alias("l1_error_mixed"),
+                     r6("cross_ent_mixed").alias("cross_ent_mixed"), r6("entropy_pred_mixed").alias("entropy_pred_mixed"))
+
+
+def q_sweep_k_labeled(spark, sf):
+    from seedspread.operators.sweep import sweep_neighbors
+
+    pts = embeddings_points(spark, sf)
+    ev = sweep_neighbors(pts, classes_of(pts), SWEEP_K, "labeled", K_U, MAX_ITER, TOL)
+    return _ev_cols(ev, "k_labeled")
+
+
+def q_sweep_k_unlabeled(spark, sf):
+    from seedspread.operators.sweep import sweep_neighbors
+
+    pts = embeddings_points(spark, sf)
+    ev = sweep_neighbors(pts, classes_of(pts), SWEEP_K, "unlabeled", K_L, MAX_ITER, TOL)
+    return _ev_cols(ev, "k_unlabeled")
+
+
+def q_sweep_label_ratio(spark, sf):
+    from seedspread.operators.sweep import ratio_masks, sweep_masks
+
+    pts = load_points(spark, sf, "embeddings")
+    ev = sweep_masks(ratio_masks(pts, SWEEP_RATIOS, SEED), classes_of(pts), K_L, K_U, MAX_ITER, TOL)
+    return _ev_cols(ev, "ratio_index").withColumn("ratio", ratio_from_index("ratio_index"))
+
+
+def ratio_from_index(c):
+    return F.element_at(F.array(*[F.lit(r) for r in SWEEP_RATIOS]), F.col(c) + 1)
+
+
+def q_sweep_labels_per_class(spark, sf):
+    from seedspread.operators.sweep import budget_masks, sweep_masks
+
+    pts = load_points(spark, sf, "embeddings")
+    masks = budget_masks(pts, SWEEP_BUDGETS, BURN_N_LABELED, BURN_RATIO, SEED)
+    ev = sweep_masks(masks, classes_of(pts), K_L, K_U, MAX_ITER, TOL)
+    return _ev_cols(ev, "labels_per_class")
+
+
+def _runs(spark, sf):
+    from seedspread.operators.sweep import seeded_masks, sweep_masks
+    from seedspread.plans.fixtures import OBS_RATIO
+
+    pts = load_points(spark, sf, "embeddings")
+    seeds = [SEED * n for n in range(N_RUNS)]
+    return sweep_masks(seeded_masks(pts, seeds, OBS_RATIO), classes_of(pts), K_L, K_U, MAX_ITER, TOL)
+
+
+def q_default_runs(spark, sf):
+    return _ev_cols(_runs(spark, sf), "run")
+
+
+def q_sweep_theta(spark, sf):
+    """One arrival propagated locally for every theta; graph and offline fit shared."""
+    from seedspread.operators.propagate import hop_cap, propagate_local
+    from seedspread.session import cut_lineage
+
+    pts, stored, new = _arrival(spark, sf, labeled=False)
+    classes = classes_of(pts)
+    cols = ["id", "x", "observed"]
+    edges = cut_lineage(G.build_graph(stored.select(*cols), K_L, K_U))
+    y_l = S.one_hot(stored.where("observed"), "id", "label", classes)
+    res = offline_propagate(G.transitions(edges), y_l, stored.where(~F.col("observed")).select("id"), classes,
+                            max_iter=MAX_ITER, tol=TOL)
+    f = cut_lineage(normalize_l1(res.f))
+    trans2 = cut_lineage(G.transitions(G.insert_nodes(edges, stored.select(*cols), new.select(*cols), K_L, K_U)))
+    y_l2 = S.one_hot(pts.where("observed"), "id", "label", classes)
+    n_unl = pts.where(~F.col("observed")).count()
+    truth = pts.where(~F.col("observed")).select("id", "label")
+    out = None
+    for th in SWEEP_THETA:
+        r = propagate_local(trans2, y_l2, f, new.select("id", "observed"), classes, theta=th, max_hops=hop_cap(n_unl, K_U))
+        ev = M.evaluate(r.f, truth, len(classes)).select(
+            F.lit(th).alias("theta"), F.lit(r.hops).alias("hops"), F.lit(int(sum(r.applied_per_hop))).alias("n_updates"),
+            r6("clf_error_mixed").alias("clf_error_mixed"), r6("l1_error_mixed").alias("l1_error_mixed"))
+        ev = cut_lineage(ev)
+        out = ev if out is None else out.unionByName(ev)
+    return out
+
+
+# run statistics: (run, metric, t, score); t = iteration for the propagation change, 0 for final errors
+FINAL_METRICS = ("clf_error_mixed", "l1_error_mixed", "cross_ent_mixed", "entropy_pred_mixed", "invalid_ratio")
+
+
+def run_metrics(spark, sf):
+    from seedspread.operators.sweep import GROUP, seeded_masks
+    from seedspread.operators.sweep import run_variants
+    from seedspread.plans.fixtures import OBS_RATIO
+
+    pts = load_points(spark, sf, "embeddings")
+    seeds = [SEED * n for n in range(N_RUNS)]
+    points_g = seeded_masks(pts, seeds, OBS_RATIO)
+    classes = classes_of(pts)
+    edges_g = G.build_graph(points_g.select(GROUP, "id", "x", "observed"), K_L, K_U, group_col=GROUP)
+    trans = G.transitions(edges_g, group_col=GROUP)
+    y_l = S.one_hot(points_g.where("observed"), "id", "label", classes, keep=[GROUP])
+    res = offline_propagate(trans, y_l, points_g.where(~F.col("observed")).select(GROUP, "id"), classes,
+                            max_iter=MAX_ITER, tol=TOL, group_col=GROUP)
+    _, ev, _ = run_variants(points_g, classes, K_L, K_U, MAX_ITER, TOL, edges_g=edges_g)
+    rows = [(int(g), "lp_change", i + 1, float(v)) for g, vals in res.residuals.items() for i, v in enumerate(vals)]
+    changes = spark.createDataFrame(rows, "run long, metric string, t int, score double")
+    finals = ev.select(F.col(GROUP).alias("run"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in FINAL_METRICS])).alias("m")).select(
+        "run", F.col("m.metric").alias("metric"), F.lit(0).alias("t"), F.col("m.score").alias("score"))
+    return changes.unionByName(finals)
+
+
+def q_runs_aggregate(spark, sf):
+    agg = M.aggregate_runs(run_metrics(spark, sf), n_runs=N_RUNS)
+    return agg.select("metric", "t", r6("mean").alias("mean"), r6("std").alias("std"), F.col("n_runs").cast("long").alias("n_runs"))
+
+
+def q_run_summary(spark, sf):
+    agg = M.aggregate_runs(run_metrics(spark, sf), n_runs=N_RUNS)
+    s = M.run_summary(agg.where(F.col("metric") == "lp_change"), error_metric="lp_change", time_metric="lp_change")
+    return s.select(r6("mean_time").alias("mean_step"), r6("first_error").alias("first"), r6("last_error").alias("last"))
+
+
+def q_metric_series(spark, sf):
+    agg = M.aggregate_runs(run_metrics(spark, sf), n_runs=N_RUNS)
+    s = M.metric_series(agg, ["lp_change"])
+    return s.select("metric", "t", r6("mean").alias("mean"), r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
+def q_metric_sizes(spark, sf):
+    return M.metric_sizes(run_metrics(spark, sf)).select("run", "metric", F.col("size").cast("long").alias("size"))
+
+
+def q_sweep_report(spark, sf):
+    """Per swept k_labeled value, mean / population std over runs of the final errors."""
+    from seedspread.operators.sweep import seeded_masks, sweep_neighbors
+    from seedspread.plans.fixtures import OBS_RATIO
+
+    pts = load_points(spark, sf, "embeddings")
+    out = None
+    for n in range(N_RUNS):
+        masked = seeded_masks(pts, [SEED * n], OBS_RATIO).drop("g")
+        ev = sweep_neighbors(masked, classes_of(pts), SWEEP_K, "labeled", K_U, MAX_ITER, TOL).withColumn("run", F.lit(n))
+        out = ev if out is None else out.unionByName(ev)
+    per_run = out.select(F.col("g").alias("value"), "run", F.col("n_iter").cast("double").alias("runtime"),
+                         F.col("clf_error_mixed").alias("est_error"), F.col("l1_error_mixed").alias("knn_error"),
+                         F.col("cross_ent_mixed").alias("combined_error"))
+    rep = M.sweep_report(per_run)
+    return rep.select(F.col("value").cast("int").alias("value"), *[r6(c).alias(c) for c in rep.columns if c not in ("value", "n_runs")],
+                      F.col("n_runs").cast("long").alias("n_runs"))
+
+
+def q_latest_run(spark, sf):
+    """S7 + S8: store each run's statistics under a run key, then load the latest run."""
+    from seedspread.session import scratch_dir
+    from seedspread.sources.runs import load_latest_run, save_run
+
+    root = scratch_dir(spark, "runs")
+    m = run_metrics(spark, sf)
+    for n in range(N_RUNS):
+        save_run(spark, root, "default", str(n), m.where(F.col("run") == n).drop("run"), {"seed": SEED * n, "k_l": K_L})
+    latest = load_latest_run(spark, root, "default")
+    return latest.select(F.col("run_id").cast("string").alias("run_id"), "metric", "t", r6("score").alias("score"))
+
+
+QUERIES.update({
+    "sweep_k_labeled": q_sweep_k_labeled,
+    "sweep_k_unlabeled": q_sweep_k_unlabeled,
+    "sweep_label_ratio": q_sweep_label_ratio,
+    "sweep_labels_per_class": q_sweep_labels_per_class,
+    "sweep_theta": q_sweep_theta,
+    "default_runs": q_default_runs,
+    "runs_aggregate": q_runs_aggregate,
+    "run_summary": q_run_summary,
+    "metric_series": q_metric_series,
+    "metric_sizes": q_metric_sizes,
+    "sweep_report": q_sweep_report,
+    "latest_run": q_latest_run,
+})

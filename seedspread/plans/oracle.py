@@ -458,7 +458,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 # ------------------------------------------------------------------ step 8
-def insert_sql(labeled: bool, theta: float | None = None, top_ratio: float | None = None, max_hops: int = X.MAX_ITER) -> str:
+def insert_sql(labeled: bool, theta: float | None = None, top_ratio: float | None = None, max_hops: int = X.MAX_ITER,
+               tail=None) -> str:
     """One arrival: graph + propagation on the stored rows, rebuild with the new row,
     first estimate, then the hops unrolled up to max_iter (inactive beyond the cap)."""
     theta = X.THETA if theta is None else theta
@@ -524,6 +525,8 @@ def insert_sql(labeled: bool, theta: float | None = None, top_ratio: float | Non
             f"UNION ALL SELECT * FROM ct{h}) GROUP BY id, class)"
         )
     last = f"cur{max_hops}"
+    if tail is not None:
+        return "WITH " + ", ".join(parts) + tail(last, max_hops)
     return (
         "WITH " + ", ".join(parts) + f" SELECT id, CAST(class AS INTEGER) AS class, "
         f"round(coalesce(p / nullif(sum(abs(p)) OVER (PARTITION BY id), 0.0), 0.0), 6) AS p FROM {last}"
@@ -544,3 +547,148 @@ def q_top_ratio_updates() -> str:
 
 ORACLE.update({"online_insert_unlabeled": q_online_insert_unlabeled, "online_insert_labeled": q_online_insert_labeled,
                "top_ratio_updates": q_top_ratio_updates})
+
+
+# ------------------------------------------------------------------ step 10: sweeps and runs
+EVAL_COLS = (
+    "count(*) AS n, count(*) FILTER (WHERE NOT valid) AS n_invalid, "
+    "round(avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END), 6) AS clf_error_mixed, "
+    "round(avg(l1), 6) AS l1_error_mixed, round(avg(xent), 6) AS cross_ent_mixed, "
+    "round((coalesce(sum(entropy) FILTER (WHERE valid), 0.0) + count(*) FILTER (WHERE NOT valid)) / count(*), 6) AS entropy_pred_mixed"
+)
+
+
+def variant_sql(head: str, key_sql: str, key: str, k_l: int = X.K_L, k_u: int = X.K_U, n_labeled: bool = False) -> str:
+    extra = ", (SELECT count(*) FROM pts WHERE observed) AS n_labeled" if n_labeled else ""
+    return (f"(WITH {head}, {graph_cte('pts', k_l, k_u)}, {lp_cte()}, {rowm_cte()} "
+            f"SELECT {key_sql} AS {key}{extra}, CAST((SELECT it FROM stop) AS INTEGER) AS n_iter, {EVAL_COLS} FROM rowm)")
+
+
+def q_sweep_k_labeled() -> str:
+    return " UNION ALL ".join(variant_sql(masked_pts(), f"{k}", "k_labeled", k_l=k) for k in C.SWEEP_K)
+
+
+def q_sweep_k_unlabeled() -> str:
+    return " UNION ALL ".join(variant_sql(masked_pts(), f"{k}", "k_unlabeled", k_u=k) for k in C.SWEEP_K)
+
+
+def uniform_pts(ratio: float, seed: int = X.SEED) -> str:
+    return (f"pts0 AS ({pts_sql()}), pts AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || id), id) "
+            f"<= floor(count(*) OVER () * {_dbl(ratio)}) AS observed FROM pts0)")
+
+
+def q_sweep_label_ratio() -> str:
+    parts = []
+    for i, r in enumerate(C.SWEEP_RATIOS):
+        v = variant_sql(uniform_pts(r), f"{i}", "ratio_index", n_labeled=True)
+        parts.append(f"SELECT *, {_dbl(r)} AS ratio FROM {v}")
+    return " UNION ALL ".join(parts)
+
+
+def budget_pts(per_class: int, seed: int = X.SEED) -> str:
+    n_l, ratio = C.BURN_N_LABELED, C.BURN_RATIO
+    return (
+        f"pts0 AS ({pts_sql()}), "
+        "sz AS (SELECT label, count(*) AS n FROM pts0 GROUP BY 1), "
+        f"sz2 AS (SELECT label, {n_l} + least(CAST(floor({_dbl(n_l)} * (1.0 / {_dbl(ratio)} - 1.0)) AS BIGINT), n - {n_l}) AS nb FROM sz), "
+        f"r1 AS (SELECT p.*, sz2.nb, row_number() OVER (PARTITION BY p.label ORDER BY md5('{seed}:' || p.id), p.id) AS r FROM pts0 p JOIN sz2 USING (label)), "
+        "bi AS (SELECT *, r <= nb AS burn_in FROM r1), "
+        f"ob AS (SELECT id, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}:obs:' || id), id) <= {n_l} AS obs FROM bi WHERE burn_in), "
+        "burn AS (SELECT bi.id, bi.x, bi.label, bi.burn_in, coalesce(ob.obs, FALSE) AS observed FROM bi LEFT JOIN ob USING (id)), "
+        "cnt AS (SELECT count(DISTINCT label) AS c, count(*) FILTER (WHERE observed) AS b, count(*) FILTER (WHERE NOT burn_in) AS r FROM burn), "
+        f"ratio AS (SELECT CAST({per_class} * c - b AS DOUBLE) / CAST(r AS DOUBLE) AS q FROM cnt), "
+        "rest AS (SELECT id, x, label, row_number() OVER (PARTITION BY label ORDER BY md5('" + str(seed) + ":' || id), id) "
+        "<= floor(count(*) OVER (PARTITION BY label) * (SELECT q FROM ratio)) AS observed FROM burn WHERE NOT burn_in), "
+        "pts AS (SELECT id, x, label, observed FROM burn WHERE burn_in UNION ALL SELECT * FROM rest)"
+    )
+
+
+def q_sweep_labels_per_class() -> str:
+    return " UNION ALL ".join(variant_sql(budget_pts(b), f"{b}", "labels_per_class", n_labeled=True) for b in C.SWEEP_BUDGETS)
+
+
+def run_seeds() -> list[int]:
+    return [X.SEED * n for n in range(C.N_RUNS)]
+
+
+def q_default_runs() -> str:
+    return " UNION ALL ".join(variant_sql(masked_pts(seed=s), f"{i}", "run", n_labeled=True) for i, s in enumerate(run_seeds()))
+
+
+FINALS = ("clf_error_mixed", "l1_error_mixed", "cross_ent_mixed", "entropy_pred_mixed", "invalid_ratio")
+
+
+def run_metric_sql() -> str:
+    """(run, metric, t, score) of every run, as the Spark side stores them."""
+    parts = []
+    for i, s in enumerate(run_seeds()):
+        finals = (
+            "SELECT count(*) FILTER (WHERE NOT valid) / count(*) AS invalid_ratio, "
+            "avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END) AS clf_error_mixed, avg(l1) AS l1_error_mixed, "
+            "avg(xent) AS cross_ent_mixed, "
+            "(coalesce(sum(entropy) FILTER (WHERE valid), 0.0) + count(*) FILTER (WHERE NOT valid)) / count(*) AS entropy_pred_mixed FROM rowm"
+        )
+        unpiv = " UNION ALL ".join(f"SELECT {i} AS run, '{m}' AS metric, 0 AS t, CAST({m} AS DOUBLE) AS score FROM ev" for m in FINALS)
+        parts.append(
+            f"(WITH {masked_pts(seed=s)}, {graph_cte()}, {lp_cte()}, {rowm_cte()}, ev AS ({finals}) "
+            f"SELECT {i} AS run, 'lp_change' AS metric, CAST(it AS INTEGER) AS t, d AS score FROM deltas WHERE it <= (SELECT it FROM stop) "
+            f"UNION ALL {unpiv})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def runs_agg_sql() -> str:
+    return (f"WITH m AS ({run_metric_sql()}), agg AS (SELECT metric, t, avg(score) AS mean, stddev_pop(score) AS std, "
+            f"count(*) AS n_runs FROM m GROUP BY metric, t HAVING count(*) = {C.N_RUNS}) ")
+
+
+def q_runs_aggregate() -> str:
+    return runs_agg_sql() + "SELECT metric, CAST(t AS INTEGER) AS t, round(mean, 6) AS mean, round(std, 6) AS std, n_runs FROM agg"
+
+
+def q_run_summary() -> str:
+    return runs_agg_sql() + (
+        "SELECT round(avg(mean), 6) AS mean_step, round(arg_min(mean, t), 6) AS first, round(arg_max(mean, t), 6) AS last "
+        "FROM agg WHERE metric = 'lp_change'")
+
+
+def q_metric_series() -> str:
+    return runs_agg_sql() + (
+        "SELECT metric, CAST(t AS INTEGER) AS t, round(mean, 6) AS mean, round(mean - coalesce(std, 0.0), 6) AS lower, "
+        "round(mean + coalesce(std, 0.0), 6) AS upper FROM agg WHERE metric = 'lp_change'")
+
+
+def q_metric_sizes() -> str:
+    return f"WITH m AS ({run_metric_sql()}) SELECT CAST(run AS BIGINT) AS run, metric, count(*) AS size FROM m GROUP BY run, metric"
+
+
+def q_latest_run() -> str:
+    last = C.N_RUNS - 1
+    return (f"WITH m AS ({run_metric_sql()}) SELECT '{last}' AS run_id, metric, CAST(t AS INTEGER) AS t, round(score, 6) AS score "
+            f"FROM m WHERE run = {last}")
+
+
+def q_sweep_theta() -> str:
+    def tail(th):
+        def f(last, max_hops):
+            hops = " + ".join(
+                f"CASE WHEN {h} <= (SELECT h FROM cap) AND (SELECT count(*) FROM fr{h}) > 0 THEN 1 ELSE 0 END" for h in range(1, max_hops + 1))
+            upd = " + ".join(f"(SELECT count(*) FROM ap{h})" for h in range(1, max_hops + 1))
+            return (
+                f", fin2 AS (SELECT id, class, coalesce(p / nullif(sum(abs(p)) OVER (PARTITION BY id), 0.0), 0.0) AS p FROM {last}), "
+                + rowm_cte("fin2")
+                + f" SELECT {_dbl(th)} AS theta, CAST({hops} AS INTEGER) AS hops, CAST({upd} AS INTEGER) AS n_updates, "
+                "round(avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END), 6) AS clf_error_mixed, round(avg(l1), 6) AS l1_error_mixed FROM rowm"
+            )
+        return f
+
+    return " UNION ALL ".join(f"({insert_sql(False, theta=th, tail=tail(th))})" for th in C.SWEEP_THETA)
+
+
+ORACLE.update({
+    "sweep_k_labeled": q_sweep_k_labeled, "sweep_k_unlabeled": q_sweep_k_unlabeled,
+    "sweep_label_ratio": q_sweep_label_ratio, "sweep_labels_per_class": q_sweep_labels_per_class,
+    "default_runs": q_default_runs, "runs_aggregate": q_runs_aggregate, "run_summary": q_run_summary,
+    "metric_series": q_metric_series, "metric_sizes": q_metric_sizes, "latest_run": q_latest_run,
+    "sweep_theta": q_sweep_theta,
+})
