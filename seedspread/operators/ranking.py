@@ -30,17 +30,23 @@ def bucketed_rank(
     order_cols: Sequence[Column | str],
     bucket: Column,
     name: str = "rank",
+    size_col: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = exact ``row_number() over (partition by partition_cols order by order_cols)``.
 
-    ``bucket`` must be non-decreasing in ``order_cols`` within a partition.
+    ``bucket`` must be non-decreasing in ``order_cols`` within a partition.  With
+    ``size_col`` the partition's row count is added too (taken from the small
+    count table, no extra pass over the data).
     """
     parts = list(partition_cols)
     b = "_rk_bucket"
     d = df.withColumn(b, bucket)
     counts = d.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_rk_n"))
     running = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*parts, b, F.coalesce(F.sum("_rk_n").over(running), F.lit(0)).alias("_rk_off"))
+    cols = [*parts, b, F.coalesce(F.sum("_rk_n").over(running), F.lit(0)).alias("_rk_off")]
+    if size_col:
+        cols.append(F.sum("_rk_n").over(Window.partitionBy(*parts)).alias(size_col))
+    offsets = counts.select(*cols)
     inner = Window.partitionBy(*parts, b).orderBy(*order_cols)
     return (
         d.join(offsets, on=parts + [b])
@@ -55,9 +61,10 @@ def hash_rank(
     key_col: str,
     id_col: str,
     name: str = "rank",
+    size_col: str | None = None,
 ) -> DataFrame:
     """Exact rank by ``(key_col, id_col)`` where ``key_col`` is a hex hash string."""
-    return bucketed_rank(df, partition_cols, [F.col(key_col), F.col(id_col)], hash_bucket(key_col), name)
+    return bucketed_rank(df, partition_cols, [F.col(key_col), F.col(id_col)], hash_bucket(key_col), name, size_col)
 
 
 def with_quantile_bucket(

@@ -23,15 +23,15 @@ SALT_ORDER = "order:"
 
 
 def _ranked(df: DataFrame, parts: Sequence[str], id_col: str, seed: int, salt: str, shuffle: bool,
-            seq_col: str | None, name: str) -> DataFrame:
+            seq_col: str | None, name: str, size_col: str | None = None) -> DataFrame:
     """Rank within ``parts`` by a hash order (shuffle) or by ``seq_col`` (no shuffle)."""
     if shuffle:
         key = f"_{name}_key"
-        return hash_rank(df.withColumn(key, order_key(id_col, seed, salt)), parts, key, id_col, name).drop(key)
+        return hash_rank(df.withColumn(key, order_key(id_col, seed, salt)), parts, key, id_col, name, size_col).drop(key)
     seq = seq_col or id_col
     b = f"_{name}_qb"
     d = with_quantile_bucket(df, seq, b)
-    return bucketed_rank(d, parts, [F.col(seq), F.col(id_col)], F.col(b), name).drop(b)
+    return bucketed_rank(d, parts, [F.col(seq), F.col(id_col)], F.col(b), name, size_col).drop(b)
 
 
 # ---------------------------------------------------------------- D1
@@ -96,9 +96,9 @@ def mask_labels(
     seq_col: str | None = None,
 ) -> DataFrame:
     """Per class ``int(n_class * ratio)`` rows observed; adds ``observed``."""
-    sizes = df.groupBy(label_col).agg(F.floor(F.count(F.lit(1)) * F.lit(float(ratio))).alias("_n_obs"))
-    d = _ranked(df.join(sizes, label_col), [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r")
-    return d.withColumn("observed", F.col("_r") <= F.col("_n_obs")).drop("_r", "_n_obs")
+    d = _ranked(df, [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r", size_col="_n_class")
+    n_obs = F.floor(F.col("_n_class") * F.lit(float(ratio)))
+    return d.withColumn("observed", F.col("_r") <= n_obs).drop("_r", "_n_class")
 
 
 # ---------------------------------------------------------------- D4

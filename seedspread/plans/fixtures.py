@@ -33,8 +33,14 @@ def classes_of(df: DataFrame, col: str = "label") -> list:
 
 
 def embeddings_points(spark: SparkSession, sf_dir: str, seed: int = SEED, ratio: float = OBS_RATIO) -> DataFrame:
-    """``embeddings`` as ``(id, x, label, observed)`` with the standard per-class mask."""
-    return mask_labels(load_points(spark, sf_dir, "embeddings"), "id", "label", ratio, seed)
+    """``embeddings`` as ``(id, x, label, observed)`` with the standard per-class mask.
+
+    Written once to the checkpoint folder: every query reads it several times
+    (class list, block sizing, joins), and a lost executor must not redo the mask.
+    """
+    from seedspread.session import cut_lineage
+
+    return cut_lineage(mask_labels(load_points(spark, sf_dir, "embeddings"), "id", "label", ratio, seed))
 
 
 def embeddings_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
