@@ -692,3 +692,61 @@ QUERIES.update({
     "sweep_report": q_sweep_report,
     "latest_run": q_latest_run,
 })
+
+
+# ------------------------------------------------------------------ sources: text inputs derived from the tables
+def q_labeled_text(spark, sf):
+    """S3: `embeddings` written as whitespace text (label first, gz), read back by the text source."""
+    from seedspread.session import scratch_dir
+    from seedspread.sources.datasets import read_labeled_text, write_labeled_text
+
+    path = scratch_dir(spark, "labeled-text")
+    write_labeled_text(load_points(spark, sf, "embeddings"), path)
+    pts = read_labeled_text(spark, path)
+    return pts.select("label", F.size("x").alias("n_features"),
+                      r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("x_sum"), r6(F.col("x")[0]).alias("x0"))
+
+
+def q_paired_text(spark, sf):
+    """Features and labels in two text files paired by line number (one header line each)."""
+    from seedspread.session import scratch_dir
+    from seedspread.sources.datasets import read_paired_text
+
+    root = scratch_dir(spark, "paired-text")
+    emb = read_table(spark, sf, "embeddings")
+    # both files come from the same unshuffled scan, so their parts hold the same rows in the same order
+    feats = emb.select(F.array_join(F.col("embedding").cast("array<double>").cast("array<string>"), " ").alias("value"))
+    labs = emb.select(F.col("label").cast("string").alias("value"))
+    for name, body in (("data", feats), ("labels", labs)):
+        header = spark.createDataFrame([(f"# {name}",)], "value string").coalesce(1)
+        header.unionAll(body).write.mode("overwrite").text(f"{root}/{name}")
+    pts = read_paired_text(spark, f"{root}/data", f"{root}/labels")
+    return pts.select("label", F.size("x").alias("n_features"),
+                      r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("x_sum"))
+
+
+def q_graph_metric(spark, sf):
+    """Change the metric (fixed diagonal L) and rebuild the graph."""
+    pts = embeddings_points(spark, sf)
+    width = len(pts.select("x").first()["x"])
+    e = G.rebuild_with_metric(pts.select("id", "x", "observed"), metric_diagonal(width), K_L, K_U)
+    return e.select("src", "dst", "dst_obs", r6("d2").alias("d2"), r6("w").alias("w"), F.col("rank").cast("int").alias("rank"))
+
+
+def q_clip_normalize(spark, sf):
+    """M1 on the kNN-part distributions of the hidden rows (zeros clipped to the smallest float)."""
+    pts = embeddings_points(spark, sf)
+    classes = classes_of(pts)
+    hidden = pts.where(~F.col("observed"))
+    y_l = S.one_hot(pts.where("observed"), "id", "label", classes)
+    p = predict_proba(hidden.select("id", "x"), pts.where("observed"), y_l.limit(0), y_l, classes, K_L, K_U, mode="knn")
+    c = M.clip_normalize(p)
+    return c.select("id", F.col("class").cast("int").alias("class"), r6("p").alias("p"))
+
+
+QUERIES.update({
+    "labeled_text": q_labeled_text,
+    "paired_text": q_paired_text,
+    "graph_metric": q_graph_metric,
+    "clip_normalize": q_clip_normalize,
+})

@@ -692,3 +692,32 @@ ORACLE.update({
     "metric_series": q_metric_series, "metric_sizes": q_metric_sizes, "latest_run": q_latest_run,
     "sweep_theta": q_sweep_theta,
 })
+
+
+# ------------------------------------------------------------------ sources, K16, M1
+def q_labeled_text() -> str:
+    return ("SELECT label, CAST(len(embedding) AS INTEGER) AS n_features, "
+            "round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS x_sum, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings")
+
+
+def q_paired_text() -> str:
+    return ("SELECT label, CAST(len(embedding) AS INTEGER) AS n_features, "
+            "round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS x_sum FROM embeddings")
+
+
+def q_graph_metric() -> str:
+    base, step, period = C.METRIC_DIAGONAL_RULE
+    proj = f"list_transform(x, lambda v, i: v * ({_dbl(base)} + CAST((i - 1) % {period} AS DOUBLE) * {_dbl(step)}))"
+    head = f"{masked_pts()}, ptsm AS (SELECT id, {proj} AS x, label, observed FROM pts)"
+    return (f"WITH {head}, {graph_cte('ptsm')} "
+            "SELECT src, dst, dst_obs, round(d2, 6) AS d2, round(w, 6) AS w, rank FROM edges")
+
+
+def q_clip_normalize() -> str:
+    return predict_knn_cte() + (
+        f", cl2 AS (SELECT id, class, least(greatest(p, {EPS}), 1.0 - {EPS}) AS q FROM pr) "
+        "SELECT id, CAST(class AS INTEGER) AS class, round(q / sum(q) OVER (PARTITION BY id), 6) AS p FROM cl2")
+
+
+ORACLE.update({"labeled_text": q_labeled_text, "paired_text": q_paired_text, "graph_metric": q_graph_metric,
+               "clip_normalize": q_clip_normalize})

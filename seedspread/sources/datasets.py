@@ -112,7 +112,9 @@ def read_paired_text(spark: SparkSession, data_path: str, labels_path: str, head
     partition, no rows through the driver); the pairing is an equi-join on them.
     """
     def numbered(path: str, name: str) -> DataFrame:
-        rdd = spark.sparkContext.textFile(path).zipWithIndex()
+        # a folder of part files is read in file-name order (the order it was written in)
+        files = sorted(spark.read.text(path).inputFiles())
+        rdd = spark.sparkContext.textFile(",".join(files)).zipWithIndex()
         df = spark.createDataFrame(rdd, "value string, line long")
         if header:
             df = df.where(F.col("line") > 0)
