@@ -81,11 +81,15 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def reverse_adjacency(edges: DataFrame) -> DataFrame:
-    """Per node, the sources that point at it (sorted ids), and how many."""
-    return edges.groupBy(F.col("dst").alias("node"), "src_obs").agg(
-        F.array_sort(F.collect_set("src")).alias("pointed_by"),
-        F.count(F.lit(1)).alias("in_degree"),
-    )
+    """Who points at each node, as a long table ``(node, src_obs, src, in_degree)``.
+
+    In-degrees of kNN graphs are unbounded (a hub can be the neighbour of a large
+    share of all rows), so the sources are never collected into one row; the
+    in-degree is a partial aggregation joined back (AQE splits a skewed join).
+    """
+    rev = edges.select(F.col("dst").alias("node"), "src_obs", "src")
+    deg = rev.groupBy("node").agg(F.count(F.lit(1)).alias("in_degree"))
+    return rev.join(deg, "node")
 
 
 def radii(edges: DataFrame) -> DataFrame:

@@ -100,6 +100,10 @@ def knn_join(
     group_col: str | None = None,
     block_rows: int = DEFAULT_BLOCK_ROWS,
     counts: tuple[int, int] | None = None,
+    method: str = "exact",
+    lsh_tables: int = 4,
+    lsh_seed: int = 17,
+    lsh_bits: int | None = None,
 ) -> DataFrame:
     """Exact kNN join.  ``query``/``ref`` have ``(id long, x array<double>)``.
 
@@ -109,18 +113,17 @@ def knn_join(
     rows of the same group: many independent joins (e.g. sweep variants) in one plan.
     Returns ``(src, dst, kind, d2, rank)`` (plus the group column) with rank 1..k by
     ``(d2, dst)``; fewer rows where fewer candidates exist.
+
+    ``method="lsh"`` is the approximate option for inputs where the exact block
+    pairs are too many: see ``_lsh_join``.
     """
+    if method == "lsh":
+        return _lsh_join(query, ref, k, exclude_self=exclude_self, kind_col=kind_col, block_rows=block_rows,
+                         tables=lsh_tables, seed=lsh_seed, bits=lsh_bits)
+    if method != "exact":
+        raise ValueError("method is 'exact' or 'lsh'")
     k_by_kind = dict(k) if isinstance(k, Mapping) else {0: int(k)}
     spark = query.sparkSession
-    if counts is None:
-        if group_col:
-            # blocks are sized by the largest group (one scalar per side)
-            counts = tuple(d.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0 for d in (query, ref))
-        else:
-            counts = (query.count(), ref.count())
-    n_query, n_ref = counts
-    nqb, nrb = _block_counts(max(n_query, 1), max(n_ref, 1), block_rows, spark.sparkContext.defaultParallelism)
-
     kind = F.col(kind_col).cast("int") if kind_col else F.lit(0)
     g = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
     # fresh attributes on both sides (both may come from one table: a self join)
@@ -129,11 +132,30 @@ def knn_join(
     live = [kd for kd, kv in k_by_kind.items() if kv > 0]
     if len(live) < len(k_by_kind):
         r = r.where(F.col("kind").isin(live))
+    par = spark.sparkContext.defaultParallelism
+    if group_col:
+        # block counts per group from a small count table: a hot group is cut into many
+        # blocks, a small one stays whole (no replication by the largest group)
+        nq = q.groupBy("g").agg(F.count(F.lit(1)).alias("nq"))
+        nr = r.groupBy("g").agg(F.count(F.lit(1)).alias("nr"))
+        sizes = nq.join(nr, "g").select(
+            "g",
+            F.greatest(F.lit(1), F.ceil(F.col("nq") / F.lit(block_rows))).cast("int").alias("nqb"),
+            F.greatest(F.lit(1), F.ceil(F.col("nr") / F.lit(block_rows))).cast("int").alias("nrb"))
+        q = q.join(sizes, "g")
+        r = r.join(sizes, "g")
+        nqb_c, nrb_c = F.col("nqb"), F.col("nrb")
+    else:
+        if counts is None:
+            counts = (query.count(), ref.count())
+        n_query, n_ref = counts
+        nqb, nrb = _block_counts(max(n_query, 1), max(n_ref, 1), block_rows, par)
+        nqb_c, nrb_c = F.lit(nqb), F.lit(nrb)
     # block ids are ints on both sides: cogroup keys must hash alike
-    q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nqb)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(nrb - 1))))
-    r = r.withColumn("rb", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(nrb)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("id"), nqb_c).cast("int")).withColumn(
+        "rb", F.explode(F.sequence(F.lit(0), nrb_c - 1))).select("g", "id", "x", "qb", "rb")
+    r = r.withColumn("rb", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), nrb_c).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), nqb_c - 1))).select("g", "id", "x", "kind", "qb", "rb")
 
     schema = T.StructType([
         T.StructField("g", T.LongType()),
@@ -160,6 +182,56 @@ def knn_join(
     return ranked.drop("g")
 
 
+def lsh_planes(tables: int, bits: int, width: int, seed: int) -> np.ndarray:
+    """The random hyperplanes of the hash tables: ``(tables, bits, width)`` standard normals."""
+    return np.random.default_rng(seed).standard_normal((tables, max(bits, 1), width))
+
+
+def _lsh_join(query: DataFrame, ref: DataFrame, k, *, exclude_self: bool, kind_col: str | None, block_rows: int,
+              tables: int, seed: int, bits: int | None = None) -> DataFrame:
+    """Approximate kNN: random-hyperplane buckets as candidate groups, exact kernel inside.
+
+    Each of ``tables`` hash tables gives every point a bucket (the signs of
+    ``bits`` random projections, ``bits`` chosen so that a bucket holds about
+    ``block_rows`` reference rows).  Rows meet only rows of the same (table,
+    bucket); inside a group the exact blocked kernel runs (a hot bucket is cut into
+    blocks, see the grouped join).  The candidates of all tables are merged into
+    the ``k`` best per row and kind.  Distances are exact; only recall is approximate.
+    """
+    k_by_kind = dict(k) if isinstance(k, Mapping) else {0: int(k)}
+    width = len(ref.select("x").first()["x"])
+    if bits is None:
+        n_ref = ref.count()
+        bits = max(0, min(30, int(round(math.log2(max(n_ref, 1) / block_rows))))) if n_ref > block_rows else 0
+    planes = lsh_planes(tables, bits, width, seed)
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def _buckets(x: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype=object)
+        xs = np.stack(x.to_numpy()).astype(np.float64, copy=False)
+        weights = (1 << np.arange(max(bits, 1))).astype(np.int64)
+        out = []
+        for t in range(tables):
+            sig = ((xs @ planes[t].T) > 0).astype(np.int64) if bits else np.zeros((len(xs), 1), np.int64)
+            out.append((sig @ weights) + (t << 32))
+        return pd.Series(list(np.stack(out, axis=1)))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.withColumn("_lsh_g", F.explode(_buckets(F.col("x"))))
+
+    cols_r = ["id", "x"] + ([kind_col] if kind_col else [])
+    cand = knn_join(grouped(query.select("id", "x")), grouped(ref.select(*cols_r)), k_by_kind,
+                    exclude_self=exclude_self, kind_col=kind_col, group_col="_lsh_g", block_rows=block_rows)
+    cand = cand.select("src", "dst", "kind", "d2").dropDuplicates(["src", "dst", "kind"])
+    kmax = F.lit(0)
+    for kd, kv in k_by_kind.items():
+        kmax = F.when(F.col("kind") == kd, F.lit(int(kv))).otherwise(kmax)
+    w = Window.partitionBy("src", "kind").orderBy("d2", "dst")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
+
+
 def project(points: DataFrame, L, x_col: str = "x", out_col: str = "x") -> DataFrame:
     """Linear metric (K2): replace ``x`` by ``x @ L.T``, once per point (never per pair).
 

@@ -220,26 +220,31 @@ def propagate_local(
         cur = _effective(f_base, overlay)
         cand = tent.join(frontier, "id", "left_semi")
         diff = cand.join(cur.withColumnRenamed("p", "p_cur"), ["id", "class"]).withColumn("d", F.col("p") - F.col("p_cur"))
-        norms = diff.groupBy("id").agg(F.sum(F.abs("d")).alias("norm"))
         if top_ratio is None:
-            applied = norms.where(F.col("norm") > F.lit(float(theta))).select("id")
+            norm = F.sum(F.abs("d")).over(Window.partitionBy("id"))
+            diff = diff.withColumn("applied", norm > F.lit(float(theta)))
         else:
+            # The int(ratio * n) largest changes (a top-k: the limit is the feature)
             n_top = int(top_ratio * n_front)
-            applied = norms.orderBy(F.col("norm").desc(), F.col("id")).limit(n_top).select("id")
-        applied = cut_lineage(applied)
-        updates = cut_lineage(diff.join(applied, "id", "left_semi").select("id", "class", "d"))
+            norms = diff.groupBy("id").agg(F.sum(F.abs("d")).alias("norm"))
+            top = norms.orderBy(F.col("norm").desc(), F.col("id")).limit(n_top).select("id", F.lit(True).alias("applied"))
+            diff = diff.join(top, "id", "left").withColumn("applied", F.coalesce(F.col("applied"), F.lit(False)))
+        # the hop's differences are read three times: written once
+        diff = cut_lineage(diff)
+        applied = diff.where("applied").select("id").distinct()
         applied_counts.append(applied.count())
         # apply: overlay rows of the applied ids become their tentative values
         new_rows = tent.join(applied, "id", "left_semi")
         overlay = cut_lineage(overlay.join(applied, "id", "left_anti").unionByName(new_rows))
         # Push each applied change to the sources pointing at it
-        contrib = uu.join(updates.withColumnRenamed("id", "dst"), "dst").select(
-            F.col("src").alias("id"), "class", (F.col("p") * F.col("d")).alias("p"))
+        updates = diff.where("applied").select(F.col("id").alias("dst"), "class", "d")
+        # checkpointed so that the next hop's plan starts here (plans must not grow with hops)
+        contrib = cut_lineage(uu.join(updates, "dst").select(F.col("src").alias("id"), "class", (F.col("p") * F.col("d")).alias("p")))
         nxt = contrib.select("id").distinct()
         cur = _effective(f_base, overlay)
         seed_rows = cur.join(nxt, "id", "left_semi").join(tent.select("id").distinct(), "id", "left_anti")
         tent = cut_lineage(tent.unionByName(seed_rows).unionByName(contrib).groupBy("id", "class").agg(F.sum("p").alias("p")))
-        frontier = cut_lineage(nxt)
+        frontier = nxt
         n_front = frontier.count()
         hops += 1
     changed = overlay.select("id").distinct()

@@ -216,8 +216,7 @@ def q_adjacency(spark, sf):
 
 
 def q_reverse_adjacency(spark, sf):
-    a = G.reverse_adjacency(_graph(spark, sf))
-    return a.select("node", "src_obs", F.array_join("pointed_by", ",").alias("pointed_by"), "in_degree")
+    return G.reverse_adjacency(_graph(spark, sf)).select("node", "src_obs", "src", "in_degree")
 
 
 def q_radii(spark, sf):
@@ -268,7 +267,9 @@ def q_decode_labels(spark, sf):
 
 def q_two_class_lp(spark, sf):
     """Offline propagation on documents (two classes, naturally half labelled)."""
-    docs = load_points(spark, sf, "documents")
+    from seedspread.session import cut_lineage
+
+    docs = cut_lineage(load_points(spark, sf, "documents"))
     classes = classes_of(docs)
     edges = G.build_graph(docs.select("id", "x", "observed"), K_L, K_U)
     trans = G.transitions(edges)
@@ -750,3 +751,17 @@ QUERIES.update({
     "graph_metric": q_graph_metric,
     "clip_normalize": q_clip_normalize,
 })
+
+
+# ------------------------------------------------------------------ step 11: approximate kNN for large inputs
+# Fixed values of the approximate query: 4 hash tables of 3 random hyperplanes (seed 17).
+LSH_TABLES, LSH_BITS, LSH_SEED = 4, 3, 17
+
+
+def q_knn_approx(spark, sf):
+    pts = load_points(spark, sf, "embeddings")
+    nn = knn_join(pts, pts, 3, exclude_self=True, method="lsh", lsh_tables=LSH_TABLES, lsh_bits=LSH_BITS, lsh_seed=LSH_SEED)
+    return _edge_out(nn)
+
+
+QUERIES.update({"knn_approx": q_knn_approx})

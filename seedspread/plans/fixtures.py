@@ -45,9 +45,11 @@ def embeddings_points(spark: SparkSession, sf_dir: str, seed: int = SEED, ratio:
 
 def embeddings_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(train points with mask, test points) for prediction queries."""
+    from seedspread.session import cut_lineage
+
     pts = load_points(spark, sf_dir, "embeddings")
-    split = stratified_split(pts, "id", "label", TEST_RATIO, TEST_SEED)
-    train = mask_labels(split.where(~F.col("is_test")).drop("is_test"), "id", "label", OBS_RATIO, SEED)
+    split = cut_lineage(stratified_split(pts, "id", "label", TEST_RATIO, TEST_SEED))
+    train = cut_lineage(mask_labels(split.where(~F.col("is_test")).drop("is_test"), "id", "label", OBS_RATIO, SEED))
     test = split.where(F.col("is_test")).drop("is_test")
     return train, test
 

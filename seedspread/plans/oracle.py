@@ -289,8 +289,7 @@ def q_adjacency() -> str:
 
 
 def q_reverse_adjacency() -> str:
-    return g_with() + ("SELECT dst AS node, FALSE AS src_obs, array_to_string(list(DISTINCT src ORDER BY src), ',') AS pointed_by, "
-                       "count(*) AS in_degree FROM edges GROUP BY dst")
+    return g_with() + ("SELECT dst AS node, FALSE AS src_obs, src, count(*) OVER (PARTITION BY dst) AS in_degree FROM edges")
 
 
 def q_radii() -> str:
@@ -721,3 +720,49 @@ def q_clip_normalize() -> str:
 
 ORACLE.update({"labeled_text": q_labeled_text, "paired_text": q_paired_text, "graph_metric": q_graph_metric,
                "clip_normalize": q_clip_normalize})
+
+
+def q_sweep_report() -> str:
+    """M16 over runs x k_labeled values: per value, mean and population std of the run summaries."""
+    per = []
+    for n, s in enumerate(run_seeds()):
+        for k in C.SWEEP_K:
+            per.append(
+                f"(WITH {masked_pts(seed=s)}, {graph_cte('pts', k, X.K_U)}, {lp_cte()}, {rowm_cte()} "
+                f"SELECT {k} AS value, {n} AS run, CAST((SELECT it FROM stop) AS DOUBLE) AS runtime, "
+                "avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END) AS est_error, avg(l1) AS knn_error, "
+                "avg(xent) AS combined_error FROM rowm)")
+    cols = ["runtime", "est_error", "knn_error", "combined_error"]
+    aggs = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in cols)
+    return (f"WITH pr AS ({' UNION ALL '.join(per)}) SELECT CAST(value AS INTEGER) AS value, {aggs}, count(*) AS n_runs "
+            "FROM pr GROUP BY value")
+
+
+ORACLE.update({"sweep_report": q_sweep_report})
+
+
+# ------------------------------------------------------------------ approximate kNN
+EMBED_WIDTH = 64  # fixed: width of the `embeddings` vectors
+
+
+def q_knn_approx() -> str:
+    from seedspread.operators.knn import lsh_planes
+
+    planes = lsh_planes(C.LSH_TABLES, C.LSH_BITS, EMBED_WIDTH, C.LSH_SEED)
+    sel = []
+    for t in range(C.LSH_TABLES):
+        terms = []
+        for b in range(C.LSH_BITS):
+            lit = "[" + ", ".join(repr(float(v)) for v in planes[t, b]) + "]::DOUBLE[]"
+            dot = f"list_sum(list_transform(list_zip(x, {lit}), lambda z: z[1] * z[2]))"
+            terms.append(f"(CASE WHEN {dot} > 0 THEN {1 << b} ELSE 0 END)")
+        sel.append(f"SELECT id, x, CAST({' + '.join(terms)} AS BIGINT) + {t << 32} AS g FROM pts")
+    return (
+        f"WITH pts AS ({pts_sql()}), gp AS ({' UNION ALL '.join(sel)}), "
+        f"cand AS (SELECT DISTINCT a.id AS src, b.id AS dst, {D2} AS d2 FROM gp a JOIN gp b ON a.g = b.g AND a.id <> b.id), "
+        "nn AS (SELECT src, dst, d2, CAST(row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS INTEGER) AS rank FROM cand) "
+        "SELECT src, dst, round(d2, 6) AS d2, rank FROM nn WHERE rank <= 3"
+    )
+
+
+ORACLE.update({"knn_approx": q_knn_approx})

@@ -17,7 +17,7 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_marked():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(q) - set(sql) <= {"stream_fit", "stream_metrics", "sweep_report"}
+    assert set(q) - set(sql) <= {"stream_fit", "stream_metrics"}
 
 
 def _batch(spark, seq, row):

@@ -72,3 +72,44 @@ def test_far_point_all_weights_underflow(spark):
     q = spark.createDataFrame([(9, [1e6])], "id long, x array<double>")
     p = predict_proba(q, pts, y_l.limit(0), y_l, [0, 1], 2, 2, mode="knn").collect()
     assert all(r["p"] == 0.0 for r in p)
+
+
+def test_lsh_distances_exact_and_recall(spark):
+    pts = load_points(spark, SF_SMALL, "embeddings")
+    local = pts.orderBy("id").collect()
+    X = np.array([r["x"] for r in local])
+    ids = [r["id"] for r in local]
+    exact = brute(X, ids, X, ids, 3, True)
+    approx = knn_join(pts, pts, 3, exclude_self=True, method="lsh", block_rows=64, lsh_tables=4).collect()
+    pos = {i: n for n, i in enumerate(ids)}
+    hits = 0
+    for r in approx:
+        d = float(((X[pos[r["src"]]] - X[pos[r["dst"]]]) ** 2).sum())
+        assert abs(d - r["d2"]) < 1e-9          # distances are exact, only recall is approximate
+        assert r["src"] != r["dst"]
+        hits += r["dst"] in exact[r["src"]]
+    assert hits / (3 * len(ids)) > 0.4
+    # with one bucket (block covers everything) the approximate join is the exact one
+    same = knn_join(pts, pts, 3, exclude_self=True, method="lsh", block_rows=4096).collect()
+    got = {}
+    for r in sorted(same, key=lambda r: (r["src"], r["rank"])):
+        got.setdefault(r["src"], []).append(r["dst"])
+    assert got == exact
+
+
+def test_grouped_join_hot_group(spark):
+    # one group holds most rows: it is cut into blocks, the result stays exact
+    rows = [(0 if i < 300 else 1 + i % 5, i, [float(i % 17), float(i % 29)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, id long, x array<double>")
+    nn = knn_join(df, df, 2, exclude_self=True, group_col="g", block_rows=32)
+    local = {}
+    for g, i, x in rows:
+        local.setdefault(g, []).append((i, np.array(x)))
+    for g, members in local.items():
+        Xg = np.array([m[1] for m in members])
+        idg = [m[0] for m in members]
+        want = brute(Xg, idg, Xg, idg, 2, True)
+        got = {}
+        for r in nn.where(F.col("g") == g).orderBy("src", "rank").collect():
+            got.setdefault(r["src"], []).append(r["dst"])
+        assert got == want
