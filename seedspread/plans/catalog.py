@@ -475,7 +475,8 @@ def run_stream(spark, sf, n_files: int = STREAM_FILES):
     from seedspread.session import cut_lineage, scratch_dir
     from seedspread.streaming.learner import LearnerConfig, StreamLearner, read_stream, start_learner, write_stream_files
 
-    pts = embeddings_points(spark, sf)
+    # the train part of the split is streamed; the test part is scored when arrivals cross multiples of eval_every
+    pts, test = embeddings_split(spark, sf)
     classes = classes_of(pts)
     rows = cut_lineage(S.replay(pts, "id", shuffle=True, seed=SEED).select(
         F.col("pos").cast("long").alias("seq"), F.col("id").cast("long").alias("id"), "x",
@@ -483,8 +484,10 @@ def run_stream(spark, sf, n_files: int = STREAM_FILES):
     n = rows.count()
     src = scratch_dir(spark, "stream-src")
     write_stream_files(rows, src, n_files)
-    cfg = LearnerConfig(classes=classes, k_labeled=K_L, k_unlabeled=K_U, n_burn_in=int(n * STREAM_BURN_IN_SHARE))
-    learner = StreamLearner(spark, scratch_dir(spark, "stream-state"), cfg, truth=pts.select("id", "label"))
+    cfg = LearnerConfig(classes=classes, k_labeled=K_L, k_unlabeled=K_U, n_burn_in=int(n * STREAM_BURN_IN_SHARE),
+                        eval_every=max(1, n // 2))
+    learner = StreamLearner(spark, scratch_dir(spark, "stream-state"), cfg, truth=pts.select("id", "label"),
+                            test=test.select("id", "x", "label"))
     q = start_learner(read_stream(spark, src), learner, scratch_dir(spark, "stream-ckpt"))
     q.awaitTermination()
     return learner
