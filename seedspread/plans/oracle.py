@@ -229,7 +229,7 @@ def q_stratified_split() -> str:
 
 def q_one_hot() -> str:
     return (f"WITH {masked_pts()}, {classes_cte()} SELECT p.id, CAST(c.class AS INTEGER) AS class, "
-            "CASE WHEN p.label = c.class THEN 1.0 ELSE 0.0 END AS p FROM pts p, classes c WHERE p.observed")
+            "CAST(CASE WHEN p.label = c.class THEN 1.0 ELSE 0.0 END AS DOUBLE) AS p FROM pts p, classes c WHERE p.observed")
 
 
 def q_store_counts() -> str:

@@ -113,3 +113,14 @@ def test_grouped_join_hot_group(spark):
         for r in nn.where(F.col("g") == g).orderBy("src", "rank").collect():
             got.setdefault(r["src"], []).append(r["dst"])
         assert got == want
+
+
+def test_kernel_distances_equal_the_column_expression(spark):
+    from seedspread.functions.vectors import sq_dist
+
+    pts = load_points(spark, SF_SMALL, "embeddings")
+    nn = knn_join(pts, pts, 3, exclude_self=True)
+    a = pts.select(F.col("id").alias("src"), F.col("x").alias("xa"))
+    b = pts.select(F.col("id").alias("dst"), F.col("x").alias("xb"))
+    j = nn.join(a, "src").join(b, "dst").withColumn("d2e", sq_dist("xa", "xb"))
+    assert j.where(F.abs(F.col("d2") - F.col("d2e")) > 1e-12).count() == 0
