@@ -20,7 +20,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seedspread.session import cut_lineage
@@ -123,11 +123,15 @@ def offline_propagate(
         if gc:
             frozen = f.where(~F.col(group_col).isin(active)).withColumn("p_prev", F.col("p")).withColumn("d", F.lit(0.0))
             step = step.unionByName(frozen)
+        else:
+            # the max change is observed while the iterate is written: no second job
+            obs = Observation(f"lp_change_{n_iter}")
+            step = step.observe(obs, F.max("d").alias("d"))
         step = cut_lineage(step)
         n_iter += 1
         f = step.select(*gc, "id", "class", "p")
         if not gc:
-            change = step.agg(F.max("d").alias("d")).first()["d"]
+            change = obs.get.get("d")
             residuals.append(float(change) if change is not None else 0.0)
             if residuals[-1] < tol:
                 break
@@ -229,10 +233,12 @@ def propagate_local(
             norms = diff.groupBy("id").agg(F.sum(F.abs("d")).alias("norm"))
             top = norms.orderBy(F.col("norm").desc(), F.col("id")).limit(n_top).select("id", F.lit(True).alias("applied"))
             diff = diff.join(top, "id", "left").withColumn("applied", F.coalesce(F.col("applied"), F.lit(False)))
-        # the hop's differences are read three times: written once
-        diff = cut_lineage(diff)
+        # the hop's differences are read three times: written once; every candidate has one row
+        # per class, so the applied count is observed while writing
+        obs = Observation(f"hop_{hops}")
+        diff = cut_lineage(diff.observe(obs, F.count_if("applied").alias("n")))
         applied = diff.where("applied").select("id").distinct()
-        applied_counts.append(applied.count())
+        applied_counts.append(int(obs.get.get("n") or 0) // len(classes))
         # apply: overlay rows of the applied ids become their tentative values
         new_rows = tent.join(applied, "id", "left_semi")
         overlay = cut_lineage(overlay.join(applied, "id", "left_anti").unionByName(new_rows))
