@@ -62,13 +62,11 @@ def burn_in_split(
     ``burn_rank`` (position inside its class, null outside).
     """
     n_l = int(n_labeled_per_class)
-    sizes = class_sizes(df, label_col, min_size=n_l).withColumnRenamed("n", "_n_class")
+    class_sizes(df, label_col, min_size=n_l)  # D1 check (one scalar to the driver)
+    d = _ranked(df, [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r1", size_col="_n_class")
     n_u = F.least(F.floor(F.lit(float(n_l)) * (F.lit(1.0) / F.lit(float(ratio_labeled)) - F.lit(1.0))),
                   F.col("_n_class") - F.lit(n_l))
-    sizes = sizes.withColumn("_n_burn", (F.lit(n_l) + n_u).cast("long"))
-    d = _ranked(df.join(sizes.select(label_col, "_n_burn"), label_col), [label_col], id_col, seed, SALT_PICK,
-                shuffle, seq_col, "_r1")
-    d = d.withColumn("burn_in", F.col("_r1") <= F.col("_n_burn"))
+    d = d.withColumn("burn_in", F.col("_r1") <= (F.lit(n_l) + n_u)).drop("_n_class")
     if shuffle:
         # the observed ones are a second, independent draw inside the burn-in rows
         burn = d.where("burn_in").select(id_col, label_col)
@@ -81,7 +79,7 @@ def burn_in_split(
     return (
         d.withColumn("observed", observed)
         .withColumn("burn_rank", F.when(F.col("burn_in"), F.col("_r1")))
-        .drop("_r1", "_n_burn", "_obs")
+        .drop("_r1", "_obs")
     )
 
 
