@@ -99,7 +99,10 @@ def offline_propagate(
     zero = unlabeled_ids.select(*gc, "id", F.explode(F.array(*[F.lit(int(k)) for k in classes])).alias("class"),
                                 F.lit(0.0).alias("p"))
     base = cut_lineage(static.unionByName(zero).groupBy(*gc, "id", "class").agg(F.sum("p").alias("p")))
-    uu = t.where(~F.col("dst_obs")).select(*gc, "src", "dst", "p")
+    # static across iterations: hash-partitioned by the join key once (the checkpoint keeps the
+    # partitioning), so an iteration shuffles only F when F is too big to broadcast
+    n_parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    uu = cut_lineage(t.where(~F.col("dst_obs")).select(*gc, "src", "dst", "p").repartition(n_parts, *gc, "dst"))
     start = f0 if f0 is not None else zero.withColumn("p", F.lit(1.0 / len(classes)))
     f = cut_lineage(start.select(*gc, "id", "class", "p"))
     active = None
