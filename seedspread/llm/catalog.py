@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedspread.llm import bpe, linededup, mixing, neighbors, quality, simhash, toxicity
+from seedspread.llm import bpe, linededup, mixing, neighbors, quality, repeats, simhash, toxicity
 from seedspread.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,6 +60,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the bytes in repeated strings of 200 bytes."""
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and the smallest id of its component."""
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -67,5 +73,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_ann, op6_quality, op7_byte_bpe, op8_toxicity, op10_simhash)
+    f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_ann, op6_quality, op7_byte_bpe, op8_toxicity, op9_suffix_dedup, op10_simhash)
 }
