@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedspread.llm import bpe, linededup, mixing, neighbors, quality, repeats, simhash, toxicity
+from seedspread.llm import bpe, linededup, mixing, neighbors, quality, repeats, simhash, surrogates, toxicity, urlfilter
 from seedspread.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The key of the queries' surrogates; a user passes a secret one.
+SURROGATE_KEY = b"key of the test queries"
 #: From this score on a document counts as toxic.
 TOXIC_FROM = 0.7
 
@@ -42,6 +44,46 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def _hashed(x: Column, modulo: int) -> Column:
+    return F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long") % modulo
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with a fetch time: the table has none, so the id stands for a second of 2024."""
+    second = F.pmod(F.col("page_id") * 290021, F.lit(366 * 86400))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + second).alias("fetched"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated entries for the domains and first path segments of ``pages``, chosen and dated by hashes."""
+    url = F.col("url")
+    domain = F.array_join(F.slice(F.split(urlfilter.host(url), r"\."), -3, 3), ".")
+    prefix = F.concat(urlfilter.host(url), F.lit("/"), F.substring_index(urlfilter.path(url), "/", 1))
+    found = table(spark, sf_dir, "pages").where("url is not null").select(F.explode(F.array(F.struct(F.lit("domain").alias("kind"), domain.alias("pattern")), F.struct(F.lit("prefix").alias("kind"), prefix.alias("pattern")))).alias("p")).select("p.*").distinct()
+    entry = lambda name, action, day: F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), day.alias("day"))
+    h = lambda m: _hashed(F.col("pattern"), m)
+    domains = F.concat(
+        F.when(h(3) == 0, F.array(entry("spam", "add", h(181)), entry("spam", "remove", h(181) + 60), entry("spam", "add", h(181) + 120))).otherwise(F.array()),
+        F.when(h(5) == 0, F.array(entry("adult", "add", h(307)))).otherwise(F.array()),
+        F.when(h(7) == 0, F.array(entry("trusted", "add", h(101)), entry("trusted", "remove", h(101) + 100))).otherwise(F.array()),
+    )
+    prefixes = F.when(h(4) == 0, F.array(entry("paths", "add", h(211)), entry("paths", "add", h(211) + 50))).otherwise(F.array())
+    dated = found.select("pattern", F.explode(F.when(F.col("kind") == "domain", domains).otherwise(prefixes)).alias("e"))
+    return dated.select("e.list", "pattern", "e.action", F.timestamp_seconds(F.lit(1704067200) + F.col("e.day") * 86400).alias("at"))
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with surrogates for its personal data and secrets."""
+    return surrogates.replaced(table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_private", "text")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists that each page was on when it was fetched, and whether they block it."""
+    spells = urlfilter.intervals(list_entries(spark, sf_dir))
+    judged = urlfilter.verdicts(captures(spark, sf_dir), spells, allow=["trusted"], keep=["page_id"])
+    return judged.select("page_id", F.array_join("lists", ",").alias("lists"), "n_matches", "blocked")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's counts and whether it passes the thresholds of its language and source."""
     judged = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -73,5 +115,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_line_dedup, op4_ann, op6_quality, op7_byte_bpe, op8_toxicity, op9_suffix_dedup, op10_simhash)
+    f.__name__: f for f in (op1_surrogates, op2_mixing, op3_line_dedup, op4_ann, op5_url_filter, op6_quality, op7_byte_bpe, op8_toxicity, op9_suffix_dedup, op10_simhash)
 }
