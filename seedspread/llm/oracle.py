@@ -1,5 +1,144 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+Nearest neighbours (hashing decides what is found), byte BPE, the classifier, the suffix
+sort, fingerprints and surrogates have none; their tests use brute-force versions.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP2 = rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST([5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM sized GROUP BY source
+), level(n, capped, height) AS (
+  SELECT 0, CAST(-1 AS BIGINT), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT l.n + 1, x.capped, x.height FROM level l, LATERAL (
+    SELECT count(*) FILTER (2.0 * source_size <= weight * l.height) AS capped,
+           (1.5 * sum(source_size) - coalesce(sum(2.0 * source_size) FILTER (2.0 * source_size <= weight * l.height), 0))
+             / sum(weight) FILTER (NOT 2.0 * source_size <= weight * l.height) AS height
+    FROM sources) x
+  WHERE x.height IS NOT NULL AND x.capped <> l.capped
+), goal AS (
+  SELECT source, source_size, least(2.0 * source_size, weight * (SELECT arg_max(height, n) FROM level)) AS target FROM sources
+), drawn AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
+         CAST('0x' || substr(md5('42:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || coalesce(s.text, '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS chance
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+), copied AS (
+  SELECT *, CAST(floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copied
+"""
+
+OP3 = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), spoken AS (
+  SELECT doc_id, i, line,
+         lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third, lead(i, 2) OVER w AS last
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), windows AS (
+  SELECT doc_id, i, last, row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) AS occurrence
+  FROM spoken WHERE last IS NOT NULL
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, last)) AS i FROM windows WHERE occurrence > 1
+), marked AS (
+  SELECT l.*, c.i IS NOT NULL AS gone FROM lines l LEFT JOIN covered c USING (doc_id, i)
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM marked GROUP BY doc_id
+"""
+
+_HOST = r"rtrim(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.')"
+_PATH = r"trim(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?[^/?#]*([^?#]*)', 1), '/')"
+
+OP5 = rf"""
+WITH parsed AS (
+  SELECT page_id, url, {_HOST} AS host, {_PATH} AS path, 1704067200 + (page_id * 290021) % (366 * 86400) AS fetched FROM pages
+), patterns AS (
+  SELECT DISTINCT 'domain' AS kind, array_to_string(string_split(host, '.')[-3:], '.') AS pattern FROM parsed
+  UNION SELECT DISTINCT 'prefix', host || '/' || string_split(path, '/')[1] FROM parsed
+), hashed AS (
+  SELECT *, CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) AS h FROM patterns
+), entries AS (
+  SELECT 'spam' AS list, pattern, 'add' AS action, h % 181 AS day FROM hashed WHERE kind = 'domain' AND h % 3 = 0
+  UNION ALL SELECT 'spam', pattern, 'remove', h % 181 + 60 FROM hashed WHERE kind = 'domain' AND h % 3 = 0
+  UNION ALL SELECT 'spam', pattern, 'add', h % 181 + 120 FROM hashed WHERE kind = 'domain' AND h % 3 = 0
+  UNION ALL SELECT 'adult', pattern, 'add', h % 307 FROM hashed WHERE kind = 'domain' AND h % 5 = 0
+  UNION ALL SELECT 'trusted', pattern, 'add', h % 101 FROM hashed WHERE kind = 'domain' AND h % 7 = 0
+  UNION ALL SELECT 'trusted', pattern, 'remove', h % 101 + 100 FROM hashed WHERE kind = 'domain' AND h % 7 = 0
+  UNION ALL SELECT 'paths', pattern, 'add', h % 211 FROM hashed WHERE kind = 'prefix' AND h % 4 = 0
+  UNION ALL SELECT 'paths', pattern, 'add', h % 211 + 50 FROM hashed WHERE kind = 'prefix' AND h % 4 = 0
+), last AS (
+  SELECT p.page_id, e.list, e.pattern, arg_max(e.action, e.day) AS action
+  FROM parsed p JOIN entries e
+    ON (p.host = e.pattern OR ends_with(p.host, '.' || e.pattern) OR p.host || '/' || p.path = e.pattern OR starts_with(p.host || '/' || p.path, e.pattern || '/') AND contains(e.pattern, '/'))
+   AND 1704067200 + e.day * 86400 <= p.fetched
+  GROUP BY ALL
+), matched AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n FROM last WHERE action = 'add' GROUP BY page_id
+)
+SELECT p.page_id, coalesce(m.lists, '') AS lists, CAST(coalesce(m.n, 0) AS BIGINT) AS n_matches,
+       coalesce(m.lists, '') <> '' AND NOT contains(coalesce(m.lists, ''), 'trusted') AS blocked
+FROM parsed p LEFT JOIN matched m USING (page_id)
+"""
+
+_MEASURES = {"chars": (True, 3.0), "symbols": (False, 0.1), "dups": (False, 0.4), "repeats": (False, 0.3)}
+
+
+def _quartile(m: str, share: str) -> str:
+    """The smallest value that at least this share of the values doesn't exceed."""
+    return f"list_sort(list({m}) FILTER ({m} IS NOT NULL))[greatest(1, CAST(ceil({share} * count({m})) AS BIGINT))]"
+
+
+def _fences() -> str:
+    out = []
+    for m, (lower, least) in _MEASURES.items():
+        a, b = _quartile(m, "0.25"), _quartile(m, "0.75")
+        room = f"greatest(({b} - {a}) * 3.0, {least})"
+        out += [f"{a} - {room} AS {m}_low" if lower else f"CAST(NULL AS DOUBLE) AS {m}_low", f"{b} + {room} AS {m}_high"]
+    return "count(*) AS n, " + ", ".join(out)
+
+
+def _within() -> str:
+    pick = lambda x: f"CASE WHEN g.n >= 200 THEN g.{x} WHEN l.n >= 200 THEN l.{x} ELSE e.{x} END"
+    return " AND ".join(f"coalesce({m} <= {pick(m + '_high')}, true) AND coalesce({m} >= {pick(m + '_low')}, true)" for m in _MEASURES)
+
+
+OP6 = rf"""
+WITH split AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), starts AS (
+  SELECT doc_id, w[i:i + 7] AS words, i FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 6))) AS i FROM split)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words) AS n FROM starts) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY doc_id
+), counted AS (
+  SELECT s.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM split s LEFT JOIN covered c USING (doc_id)
+), measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_chars / nullif(CAST(n_words AS DOUBLE), 0) AS chars,
+         n_symbols / nullif(CAST(n_words AS DOUBLE), 0) AS symbols, n_dup_lines / nullif(CAST(n_lines AS DOUBLE), 0) AS dups, n_repeat_words / nullif(CAST(n_words AS DOUBLE), 0) AS repeats
+  FROM counted
+), passed AS (SELECT * FROM measured WHERE NOT base_failed),
+g AS (SELECT lang, source, {_fences()} FROM passed GROUP BY lang, source),
+l AS (SELECT lang, {_fences()} FROM passed GROUP BY lang),
+e AS (SELECT {_fences()} FROM passed)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_within()} AS kept
+FROM measured m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
+LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality": OP6}
