@@ -50,7 +50,7 @@ def predict_proba(query: DataFrame, points: DataFrame, f: DataFrame, y_l: DataFr
     ``None`` (P3), ``pair`` (P4: columns ``p_knn`` and ``p_combined``).
     """
     if mode not in MODES:
-        raise ValueError(f"predict_proba can have modes: {MODES[:3]}")
+        raise ValueError(f"mode {mode!r} is none of {MODES}")
     # only the neighbour kinds the mode reads are searched
     k_l = k_labeled if mode != "lp" else 0
     k_u = k_unlabeled if mode != "knn" else 0

@@ -34,7 +34,9 @@ def bucketed_rank(
 ) -> DataFrame:
     """Add ``name`` = exact ``row_number() over (partition by partition_cols order by order_cols)``.
 
-    ``bucket`` must be non-decreasing in ``order_cols`` within a partition.  With
+    ``bucket`` must be non-decreasing in ``order_cols`` within a partition, null first.
+    Null partition values are one partition, null order keys come where the order
+    columns put them.  With
     ``size_col`` the partition's row count is added too (taken from the small
     count table, no extra pass over the data).
     """
@@ -47,11 +49,17 @@ def bucketed_rank(
     if size_col:
         cols.append(F.sum("_rk_n").over(Window.partitionBy(*parts)).alias(size_col))
     offsets = counts.select(*cols)
+    # null-safe: a row without a class or an order key is ranked like any other
+    keys = {c: f"_rk_on{i}" for i, c in enumerate([*parts, b])}
+    offsets = offsets.withColumnsRenamed(keys)
+    same = F.lit(True)
+    for c, o in keys.items():
+        same &= F.col(c).eqNullSafe(F.col(o))
     inner = Window.partitionBy(*parts, b).orderBy(*order_cols)
     return (
-        d.join(offsets, on=parts + [b])
+        d.join(offsets, on=same)
         .withColumn(name, (F.col("_rk_off") + F.row_number().over(inner)).cast("long"))
-        .drop(b, "_rk_off")
+        .drop(b, "_rk_off", *keys.values())
     )
 
 
@@ -72,7 +80,8 @@ def with_quantile_bucket(
 ) -> DataFrame:
     """Add a bucket column for a numeric order key, cut at approximate quantiles.
 
-    The boundaries only shape the pieces; the rank itself stays exact.  The
+    Nulls have a bucket of their own: first in ascending, last in descending order, as
+    Spark sorts them.  The boundaries only shape the pieces; the rank itself stays exact.  The
     driver receives at most ``n_buckets - 1`` numbers; the lookup is Spark ML's
     ``Bucketizer`` (binary search in the JVM).
     """
@@ -88,7 +97,8 @@ def with_quantile_bucket(
     d = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(d).drop(tmp)
     if descending:
         d = d.withColumn(out, F.lit(len(splits)) - F.col(out))
-    return d.withColumn(out, F.col(out).cast("int"))
+    null_bucket = len(splits) + 1 if descending else -1
+    return d.withColumn(out, F.coalesce(F.when(F.col(col).isNotNull(), F.col(out).cast("int")), F.lit(null_bucket)))
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[Column | str], bucket: Column, name: str = "rank") -> DataFrame:

@@ -4,13 +4,16 @@ Every random choice is a hash order ``md5('<seed>:<salt><id>'), id`` (see
 ``functions.hashing``); every per-class count is taken from a ``groupBy`` (one row
 per class) and joined back, and every rank is ``bucketed_rank`` so that a class
 holding a third of the rows is still cut into many tasks.
+
+Rows without a class (null: label not known) are always returned and never drawn:
+they are not observed, not in the burn-in and not test rows of a stratified split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedspread.functions.hashing import hash_bucket, order_key
@@ -62,11 +65,11 @@ def burn_in_split(
     ``burn_rank`` (position inside its class, null outside).
     """
     n_l = int(n_labeled_per_class)
-    class_sizes(df, label_col, min_size=n_l)  # D1 check (one scalar to the driver)
+    class_sizes(df.where(F.col(label_col).isNotNull()), label_col, min_size=n_l)  # D1 check (one scalar to the driver)
     d = _ranked(df, [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r1", size_col="_n_class")
     n_u = F.least(F.floor(F.lit(float(n_l)) * (F.lit(1.0) / F.lit(float(ratio_labeled)) - F.lit(1.0))),
                   F.col("_n_class") - F.lit(n_l))
-    d = d.withColumn("burn_in", F.col("_r1") <= (F.lit(n_l) + n_u)).drop("_n_class")
+    d = d.withColumn("burn_in", (F.col("_r1") <= (F.lit(n_l) + n_u)) & F.col(label_col).isNotNull()).drop("_n_class")
     if shuffle:
         # the observed ones are a second, independent draw inside the burn-in rows
         burn = d.where("burn_in").select(id_col, label_col)
@@ -96,7 +99,7 @@ def mask_labels(
     """Per class ``int(n_class * ratio)`` rows observed; adds ``observed``."""
     d = _ranked(df, [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r", size_col="_n_class")
     n_obs = F.floor(F.col("_n_class") * F.lit(float(ratio)))
-    return d.withColumn("observed", F.col("_r") <= n_obs).drop("_r", "_n_class")
+    return d.withColumn("observed", (F.col("_r") <= n_obs) & F.col(label_col).isNotNull()).drop("_r", "_n_class")
 
 
 # ---------------------------------------------------------------- D4
@@ -177,9 +180,17 @@ def decode(f: DataFrame, id_col: str = "id", class_col: str = "class", p_col: st
 
 
 # ---------------------------------------------------------------- D11 - D13
-def ingest(points: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """Append rows whose id is not stored yet (idempotent on replays)."""
-    return points.unionByName(new.join(points.select(id_col), id_col, "left_anti"))
+def first_of_each(new: DataFrame, id_col: str = "id", seq_col: str | None = None) -> DataFrame:
+    """One row per id: the first by ``seq_col`` (any order column; equal ones by all columns)."""
+    order = [F.col(seq_col).asc_nulls_last()] if seq_col else []
+    order += [F.to_json(F.struct(*new.columns))]
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
+    return new.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+
+
+def ingest(points: DataFrame, new: DataFrame, id_col: str = "id", seq_col: str | None = None) -> DataFrame:
+    """Append rows whose id is not stored yet, each new id once (idempotent on replays and duplicates)."""
+    return points.unionByName(first_of_each(new.join(points.select(id_col), id_col, "left_anti"), id_col, seq_col))
 
 
 def store_counts(points: DataFrame, observed_col: str = "observed") -> DataFrame:

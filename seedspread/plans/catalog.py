@@ -39,6 +39,7 @@ BURN_N_LABELED = 2
 BURN_RATIO = 0.5
 REST_RATIO = 0.1
 TAIL_N = 1000
+TAIL_N_NULLS = 100
 BUDGET_PER_CLASS = 300
 PART_DIVISOR = 255.0
 
@@ -140,6 +141,25 @@ def q_tail_split(spark, sf):
     return S.tail_split(orders(spark, sf), "o_orderkey", "o_orderkey", TAIL_N).select("o_orderkey", "is_test")
 
 
+def half_labeled(spark, sf):
+    """``documents`` with the quality label where there is one, and a ``seq`` only for the labelled."""
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    labels = read_table(spark, sf, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id", "left").withColumn("seq", F.when(F.col("quality").isNotNull(), F.col("doc_id") % 97))
+
+
+def q_label_mask_nulls(spark, sf):
+    return S.mask_labels(half_labeled(spark, sf), "doc_id", "quality", REST_RATIO, SEED).select("doc_id", "quality", "observed")
+
+
+def q_replay_nulls(spark, sf):
+    return S.replay(half_labeled(spark, sf), "doc_id", seq_col="seq").select("doc_id", "seq", "pos")
+
+
+def q_tail_split_nulls(spark, sf):
+    return S.tail_split(half_labeled(spark, sf), "doc_id", "seq", TAIL_N_NULLS).select("doc_id", "seq", "is_test")
+
+
 def q_stratified_split(spark, sf):
     return S.stratified_split(orders(spark, sf), "o_orderkey", "o_orderstatus", 0.2, 7).select(
         "o_orderkey", "o_orderstatus", "is_test")
@@ -372,6 +392,9 @@ QUERIES: dict[str, Query] = {
     "label_budget": q_label_budget,
     "tail_split": q_tail_split,
     "stratified_split": q_stratified_split,
+    "label_mask_nulls": q_label_mask_nulls,
+    "replay_nulls": q_replay_nulls,
+    "tail_split_nulls": q_tail_split_nulls,
     "one_hot": q_one_hot,
     "store_counts": q_store_counts,
     "labeled_part": q_labeled_part,
@@ -490,6 +513,7 @@ def run_stream(spark, sf, n_files: int = STREAM_FILES):
                             test=test.select("id", "x", "label"))
     q = start_learner(read_stream(spark, src), learner, scratch_dir(spark, "stream-ckpt"))
     q.awaitTermination()
+    learner.finish()
     return learner
 
 
@@ -499,13 +523,25 @@ def q_stream_fit(spark, sf):
     return f.select("id", F.col("class").cast("int").alias("class"), r6("p").alias("p"))
 
 
+def q_stream_points(spark, sf):
+    """The stored points: what arrived, once each, without the labels that aren't observed."""
+    learner = run_stream(spark, sf)
+    return learner.points(learner.last_version()).select("seq", "id", F.col("label").alias("label_seen"), "observed")
+
+
+def q_stream_edges(spark, sf):
+    """The graph at the end of the stream: that of a rebuild, however the rows were batched."""
+    learner = run_stream(spark, sf)
+    return learner.edges(learner.last_version()).select("src", "dst", "dst_obs", r6("d2").alias("d2"), "rank")
+
+
 def q_stream_metrics(spark, sf):
     learner = run_stream(spark, sf)
     m = spark.read.parquet(learner._p("metrics"))
     return m.select("run", "batch_id", "t", "metric", r6("score").alias("score"))
 
 
-QUERIES.update({"stream_fit": q_stream_fit, "stream_metrics": q_stream_metrics})
+QUERIES.update({"stream_fit": q_stream_fit, "stream_metrics": q_stream_metrics, "stream_points": q_stream_points, "stream_edges": q_stream_edges})
 
 
 # ------------------------------------------------------------------ step 10: sweeps and runs

@@ -227,6 +227,24 @@ def q_stratified_split() -> str:
             "SELECT o_orderkey, o_orderstatus, is_test FROM m")
 
 
+HALF = ("half AS (SELECT d.doc_id, l.quality, CASE WHEN l.quality IS NOT NULL THEN d.doc_id % 97 END AS seq "
+        "FROM documents d LEFT JOIN labels l USING (doc_id))")
+
+
+def q_label_mask_nulls() -> str:
+    return (f"WITH {HALF}, m AS ({mask_sql('half', 'doc_id', 'quality', C.REST_RATIO, X.SEED)}) "
+            "SELECT doc_id, quality, observed AND quality IS NOT NULL AS observed FROM m")
+
+
+def q_replay_nulls() -> str:
+    return f"WITH {HALF} SELECT doc_id, seq, row_number() OVER (ORDER BY seq NULLS FIRST, doc_id) - 1 AS pos FROM half"
+
+
+def q_tail_split_nulls() -> str:
+    return (f"WITH {HALF} SELECT doc_id, seq, row_number() OVER (ORDER BY seq DESC NULLS LAST, doc_id DESC) "
+            f"<= {C.TAIL_N_NULLS} AS is_test FROM half")
+
+
 def q_one_hot() -> str:
     return (f"WITH {masked_pts()}, {classes_cte()} SELECT p.id, CAST(c.class AS INTEGER) AS class, "
             "CAST(CASE WHEN p.label = c.class THEN 1.0 ELSE 0.0 END AS DOUBLE) AS p FROM pts p, classes c WHERE p.observed")
@@ -765,4 +783,16 @@ def q_knn_approx() -> str:
     )
 
 
+def q_stream_points() -> str:
+    return (f"WITH {split_pts()} SELECT row_number() OVER (ORDER BY md5('{X.SEED}:order:' || id), id) - 1 AS seq, id, "
+            "CASE WHEN observed THEN label END AS label_seen, observed FROM pts")
+
+
+def q_stream_edges() -> str:
+    return f"WITH {split_pts()}, {graph_cte()} SELECT src, dst, dst_obs, round(d2, 6) AS d2, rank FROM edges"
+
+
+ORACLE.update({"stream_points": q_stream_points, "stream_edges": q_stream_edges})
+
+
 ORACLE.update({"knn_approx": q_knn_approx})

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,13 +65,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables (state, replays)."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" in base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """The path of a fresh folder under the shared checkpoint folder for written tables (state, replays).
+
+    Made through Hadoop's file system, whatever its scheme; nothing is local but what the
+    checkpoint folder makes so.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target, fs = hadoop_path(spark, path)
+    fs.mkdirs(target)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them (for existence checks and removal)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, fs = hadoop_path(spark, path)
+    return fs.exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder (nothing if it isn't there)."""
+    target, fs = hadoop_path(spark, path)
+    fs.delete(target, True)

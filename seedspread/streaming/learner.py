@@ -10,12 +10,16 @@ State lives in Parquet tables under one folder of the shared checkpoint storage:
 A batch reads the newest committed version below its own id, so a batch that is
 replayed after a failure recomputes from the same input and overwrites its own
 version: replays are idempotent, and restarting the query from its checkpoint
-gives the same state.  Ids already stored are dropped on arrival (D11).
+gives the same state.  Ids already stored are dropped on arrival, and of an id that
+comes twice in a batch the first by ``seq`` is taken (D11).  Labels that aren't observed
+are not stored (D6).  Versions that no replay needs are removed after each commit.  A
+folder with another run's state, or with newer versions than the stream, is refused.
 
 Per batch: burn-in rows are appended until ``n_burn_in`` rows are stored, then the
 graph is built and propagated offline (L12); later rows are inserted into the
 graph (K14/K15) and propagated locally (L5-L10), then ``F`` is normalised (L4) and
-metrics rows are appended (T3-T5).  One arrival per batch is exactly the
+metrics rows are appended (T3, T4) and a row for each new unlabelled point (T5,
+``arrivals``); ``finish`` evaluates once more at the end of a stream.  One arrival per batch is exactly the
 sequential algorithm; larger batches insert their rows together (the graph stays
 exact, ``F`` is the batch approximation described in the README).
 """
@@ -35,6 +39,7 @@ from seedspread.operators import metrics as M
 from seedspread.operators import sampling as S
 from seedspread.operators.predict import predict
 from seedspread.operators.propagate import hop_cap, normalize_l1, offline_propagate, propagate_local
+from seedspread.session import path_exists, remove_path, scratch_dir
 
 STREAM_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
@@ -45,6 +50,7 @@ STREAM_SCHEMA = T.StructType([
 ])
 
 METRIC_SCHEMA = "run string, batch_id long, t long, metric string, score double"
+META_SCHEMA = "n_labeled long, n_unlabeled long, phase string, hops int, seconds double"
 
 
 @dataclass
@@ -75,14 +81,14 @@ class StreamLearner:
     def _p(self, name: str) -> str:
         return f"{self.dir}/{name}"
 
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self._p(name))
-        except Exception:  # noqa: BLE001 - missing table
+    def _read(self, name: str, schema: str | T.StructType) -> DataFrame | None:
+        """A state table, or None if none of it is written yet; any other failure is raised."""
+        if not path_exists(self.spark, self._p(name)):
             return None
+        return self.spark.read.schema(schema).parquet(self._p(name))
 
     def last_version(self, below: int | None = None) -> int | None:
-        meta = self._read("meta")
+        meta = self.meta()
         if meta is None:
             return None
         if below is not None:
@@ -91,29 +97,46 @@ class StreamLearner:
         return None if v is None else int(v)
 
     def meta(self) -> DataFrame | None:
-        return self._read("meta")
+        return self._read("meta", f"{META_SCHEMA}, v int")
 
     def points(self, version: int | None) -> DataFrame:
-        pts = self._read("points")
+        pts = self._read("points", T.StructType([*STREAM_SCHEMA.fields, T.StructField("batch", T.IntegerType())]))
         if pts is None or version is None:
             return self.spark.createDataFrame([], STREAM_SCHEMA)
         return pts.where(F.col("batch") <= version).drop("batch")
 
     def edges(self, version: int) -> DataFrame | None:
-        e = self._read("edges")
-        return None if e is None else e.where(F.col("v") == version).drop("v")
+        return self._version("edges", version)
 
     def estimates(self, version: int) -> DataFrame | None:
-        f = self._read("f")
-        return None if f is None else f.where(F.col("v") == version).drop("v")
-
-    def _write_version(self, batch_id: int, edges: DataFrame | None, f: DataFrame | None, meta_row: dict) -> None:
-        if edges is not None:
-            edges.write.mode("overwrite").parquet(self._p(f"edges/v={batch_id}"))
-        if f is not None:
-            f.write.mode("overwrite").parquet(self._p(f"f/v={batch_id}"))
-        schema = "n_labeled long, n_unlabeled long, phase string, hops int, seconds double"
-        self.spark.createDataFrame([meta_row], schema).write.mode("overwrite").parquet(self._p(f"meta/v={batch_id}"))
+        return self._version("f", version)
+
+    def _version(self, name: str, version: int) -> DataFrame | None:
+        """One version's folder only: older ones are neither listed nor read."""
+        path = self._p(f"{name}/v={version}")
+        return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
+
+    def _claim(self, batch_id: int) -> None:
+        """Refuse a folder with another run's state, or one that this stream is behind of."""
+        owner = self._read("owner", "run string")
+        if owner is None:
+            self.spark.createDataFrame([(self.cfg.run,)], "run string").write.mode("overwrite").parquet(self._p("owner"))
+        elif (run := owner.first()["run"]) != self.cfg.run:
+            raise ValueError(f"{self.dir} holds the state of run {run!r}, not of {self.cfg.run!r}")
+        newest = self.last_version()
+        if newest is not None and batch_id < newest:
+            raise ValueError(f"{self.dir} holds version {newest}, the stream begins again at batch {batch_id}: take a fresh state folder")
+
+    def _forget(self, batch_id: int, prev: int | None) -> None:
+        """Remove work tables and the versions before the one that a replay of this batch would read."""
+        for name in ("edges_burn", "edges_ins"):
+            remove_path(self.spark, self._p(f"_work/{name}/b={batch_id}"))
+        if prev is not None and (older := self.last_version(below=prev)) is not None:
+            for name in ("edges", "f"):
+                remove_path(self.spark, self._p(f"{name}/v={older}"))
+
+    def _write_version(self, batch_id: int, meta_row: dict) -> None:
+        self.spark.createDataFrame([meta_row], META_SCHEMA).write.mode("overwrite").parquet(self._p(f"meta/v={batch_id}"))
 
     def _metrics(self, batch_id: int, t: int, rows: list[tuple[str, float]]) -> None:
         if not rows:
@@ -125,9 +148,13 @@ class StreamLearner:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         cfg = self.cfg
         tic = time.time()
+        self._claim(batch_id)
         prev = self.last_version(below=batch_id)
         stored = self.points(prev)
-        rows = batch.select(*[f.name for f in STREAM_SCHEMA.fields]).join(stored.select("id"), "id", "left_anti")
+        # An id counts once, also within a batch; D6: labels that aren't observed stay outside
+        rows = S.first_of_each(batch.select(*[f.name for f in STREAM_SCHEMA.fields]).join(stored.select("id"), "id", "left_anti"), "id", "seq")
+        rows = rows.withColumn("observed", F.coalesce("observed", F.lit(False)) & F.col("label").isNotNull())
+        rows = S.hide_labels(rows).withColumn("label", F.col("label_seen")).drop("label_seen")
         # the partition value lives in the folder name (points/batch=<b>)
         rows.write.mode("overwrite").parquet(self._p(f"points/batch={batch_id}"))
         new = self.spark.read.parquet(self._p(f"points/batch={batch_id}"))
@@ -147,8 +174,7 @@ class StreamLearner:
             need = cfg.n_burn_in - n_stored
             if n_new < need:
                 c = stored.unionByName(new).agg(F.count_if("observed").alias("l"), F.count_if(~F.col("observed")).alias("u")).first()
-                self._write_version(batch_id, None, None, dict(n_labeled=c["l"], n_unlabeled=c["u"],
-                                                             phase="burn_in", hops=0, seconds=time.time() - tic))
+                self._write_version(batch_id, dict(n_labeled=c["l"], n_unlabeled=c["u"], phase="burn_in", hops=0, seconds=time.time() - tic))
                 return
             # Complete the burn-in with the first rows of this batch, fit offline
             ranked = S.replay(new, "id", seq_col="seq")
@@ -164,7 +190,7 @@ class StreamLearner:
             metrics.append(("offline_iterations", res.n_iter))
             stored_now = base
             if online.count() == 0:
-                self._commit(batch_id, edges, f, stored_now, "online", hops, tic, (t_first, t_last), metrics)
+                self._commit(batch_id, prev, edges, f, stored_now, None, "online", hops, tic, (t_first, t_last), metrics)
                 return
             new = online
         else:
@@ -181,43 +207,64 @@ class StreamLearner:
                               max_hops=hop_cap(n_unl, cfg.k_unlabeled, cfg.max_iter))
         hops = res.hops
         metrics += [("iter_online_count", hops), ("n_updates", float(sum(res.applied_per_hop)))]
-        # T5: entropy / confidence / class of the new unlabelled rows
-        new_u = new.where(~F.col("observed")).select("id")
-        ps = M.point_stats(res.f.join(new_u, "id", "left_semi"), len(classes)).agg(
-            F.avg("entropy").alias("e"), F.avg("confidence").alias("c")).first()
-        if ps["e"] is not None:
-            metrics += [("entropy_point_after", ps["e"]), ("conf_point_after", ps["c"])]
-        self._commit(batch_id, edges2, res.f, all_pts, "online", hops, tic, (t_first, t_last), metrics)
+        self._commit(batch_id, prev, edges2, res.f, all_pts, new, "online", hops, tic, (t_first, t_last), metrics)
 
     def _materialise(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = self._p(f"_work/{name}/b={batch_id}")
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def _commit(self, batch_id, edges, f, pts, phase, hops, tic, span, metrics) -> None:
+    def _commit(self, batch_id, prev, edges, f, pts, arrived, phase, hops, tic, span, metrics) -> None:
         cfg = self.cfg
         t_first, t_last = span
         c = pts.agg(F.count_if("observed").alias("l"), F.count_if(~F.col("observed")).alias("u")).first()
         edges.write.mode("overwrite").parquet(self._p(f"edges/v={batch_id}"))
         f.write.mode("overwrite").parquet(self._p(f"f/v={batch_id}"))
+        seconds = time.time() - tic  # the insertion is done: evaluations don't count
         f_now = self.estimates(batch_id)
+        if arrived is not None:
+            # T5: entropy, confidence and class of each new unlabelled row
+            stats = M.point_stats(f_now.join(arrived.where(~F.col("observed")).select("id"), "id", "left_semi"), len(cfg.classes))
+            rows = arrived.select("seq", "id").join(stats, "id")
+            rows.select("seq", "id", "entropy", "confidence", "pred").write.mode("overwrite").parquet(self._p(f"arrivals/b={batch_id}"))
+            ps = self.spark.read.parquet(self._p(f"arrivals/b={batch_id}")).agg(F.avg("entropy").alias("e"), F.avg("confidence").alias("c")).first()
+            if ps["e"] is not None:
+                metrics += [("entropy_point_after", ps["e"]), ("conf_point_after", ps["c"])]
         if self.truth is not None and t_last is not None and t_last >= cfg.n_burn_in:
-            # Evaluate the committed estimates of the stored unlabelled rows
-            truth = self.truth.join(pts.where(~F.col("observed")).select("id"), "id", "left_semi")
-            ev = M.evaluate(f_now, truth, len(cfg.classes)).first().asDict()
-            metrics += [(k, v) for k, v in ev.items() if k not in ("n",)]
-        if self.test is not None and t_last is not None:
+            metrics += self._evaluated(f_now, pts)
+        if self.test is not None and t_last is not None and t_last // cfg.eval_every > (t_first - 1) // cfg.eval_every:
             # T4: test evaluation when this batch crosses a multiple of eval_every
-            if t_last // cfg.eval_every > (t_first - 1) // cfg.eval_every:
-                y_l = S.one_hot(pts.where("observed"), "id", "label", cfg.classes)
-                pair = predict(self.test.select("id", "x"), pts.select("id", "x", "observed"), f_now, y_l, cfg.classes,
-                               cfg.k_labeled, cfg.k_unlabeled, mode="pair")
-                te = M.test_error(pair, self.test.select("id", "label")).first()
-                metrics += [("test_error_knn", te["error_knn"]), ("test_error_ilp", te["error_combined"])]
-        metrics.append(("iter_online_duration", time.time() - tic))
+            metrics += self._tested(f_now, pts)
+        metrics.append(("iter_online_duration", seconds))
         self._metrics(batch_id, t_last or 0, metrics)
-        self._write_version(batch_id, None, None, dict(n_labeled=c["l"], n_unlabeled=c["u"], phase=phase,
-                                                       hops=int(hops), seconds=time.time() - tic))
+        self._write_version(batch_id, dict(n_labeled=c["l"], n_unlabeled=c["u"], phase=phase, hops=int(hops), seconds=seconds))
+        self._forget(batch_id, prev)
+
+    def _evaluated(self, f: DataFrame, pts: DataFrame) -> list[tuple[str, float]]:
+        """The committed estimates of the stored unlabelled rows against the truth."""
+        truth = self.truth.join(pts.where(~F.col("observed")).select("id"), "id", "left_semi")
+        ev = M.evaluate(f, truth, len(self.cfg.classes)).first().asDict()
+        return [(k, v) for k, v in ev.items() if k not in ("n",)]
+
+    def _tested(self, f: DataFrame, pts: DataFrame) -> list[tuple[str, float]]:
+        cfg = self.cfg
+        y_l = S.one_hot(pts.where("observed"), "id", "label", cfg.classes)
+        pair = predict(self.test.select("id", "x"), pts.select("id", "x", "observed"), f, y_l, cfg.classes, cfg.k_labeled, cfg.k_unlabeled, mode="pair")
+        te = M.test_error(pair, self.test.select("id", "label")).first()
+        return [("test_error_knn", te["error_knn"]), ("test_error_combined", te["error_combined"])]
+
+    def finish(self) -> DataFrame:
+        """T3 and T4 at the end of the stream, on the newest version: ``(metric, score)``, also kept as ``final``."""
+        v = self.last_version()
+        pts, f = self.points(v), None if v is None else self.estimates(v)
+        rows: list[tuple[str, float]] = []
+        if f is not None and self.truth is not None:
+            rows += self._evaluated(f, pts)
+        if f is not None and self.test is not None:
+            rows += self._tested(f, pts)
+        out = self.spark.createDataFrame([(m, None if x is None else float(x)) for m, x in rows], "metric string, score double")
+        out.write.mode("overwrite").parquet(self._p("final"))
+        return self.spark.read.parquet(self._p("final"))
 
 
 def start_learner(stream: DataFrame, learner: StreamLearner, checkpoint_location: str, available_now: bool = True,
@@ -231,17 +278,23 @@ def start_learner(stream: DataFrame, learner: StreamLearner, checkpoint_location
     return w.start()
 
 
-def write_stream_files(points: DataFrame, folder: str, n_files: int) -> None:
-    """Derive a replayable file stream from a table: ``n_files`` Parquet files in arrival (``seq``) order.
+def write_stream_files(points: DataFrame, folder: str, n_steps: int, files_per_step: int = 1) -> None:
+    """Derive a replayable file stream from a table: ``n_steps`` steps in arrival (``seq``) order.
 
-    Each file is written by its own job so that the file source sees them in order.
+    The file source takes files by their time, so each step is a job of its own, of
+    ``files_per_step`` tasks and files (read them with as many files per trigger).  The
+    steps read a copy sorted by ``seq``, of which a step's filter leaves a few row groups.
     """
-    n = points.count()
-    size = max(1, -(-n // n_files))
-    for i in range(n_files):
-        part = points.where((F.col("seq") >= i * size) & (F.col("seq") < (i + 1) * size))
-        part.coalesce(1).write.mode("append").parquet(folder)
+    spark = points.sparkSession
+    ordered = scratch_dir(spark, "stream-order")
+    points.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(ordered)
+    rows = spark.read.parquet(ordered)
+    size = max(1, -(-rows.count() // n_steps))
+    for i in range(n_steps):
+        part = rows.where((F.col("seq") >= i * size) & (F.col("seq") < (i + 1) * size))
+        part.repartition(files_per_step).write.mode("append").parquet(folder)
         time.sleep(0.01)
+    remove_path(spark, ordered)
 
 
 def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:

@@ -65,3 +65,21 @@ def test_one_hot_and_decode(spark):
     assert rows[(1, 2)] == 1.0 and rows[(2, 0)] == 0.0 and sum(v for (i, _), v in rows.items() if i == 2) == 0.0
     f = spark.createDataFrame([(1, 0, 0.4), (1, 1, 0.4), (1, 2, 0.2)], "id long, class int, p double")
     assert S.decode(f).first()["pred"] == 0
+
+
+def test_rows_without_class_or_key_are_kept_and_never_drawn(spark):
+    rows = [(i, None if i % 4 == 0 else i % 3, None if i % 5 == 0 else float(i % 7)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label int, seq double")
+    for out, flag in (
+        (S.mask_labels(df, "id", "label", 0.5, 1), "observed"),
+        (S.stratified_split(df, "id", "label", 0.5, 1), "is_test"),
+        (S.burn_in_split(df, "id", "label", 3, 0.5, 1), "burn_in"),
+        (S.burn_in_split(df, "id", "label", 3, 0.5, 1, shuffle=False, seq_col="seq"), "observed"),
+    ):
+        got = out.collect()
+        assert len(got) == 100 and any(r[flag] for r in got) and not any(r[flag] for r in got if r["label"] is None)
+    pos = {r["id"]: r["pos"] for r in S.replay(df, "id", seq_col="seq").collect()}
+    want = sorted(range(100), key=lambda i: (rows[i][2] is not None, rows[i][2] or 0.0, i))
+    assert [pos[i] for i in want] == list(range(100))
+    last = sorted(range(100), key=lambda i: (rows[i][2] is not None, rows[i][2] or 0.0, i))[-90:]
+    assert {r["id"] for r in S.tail_split(df, "id", "seq", 90).where("is_test").collect()} == set(last)
