@@ -9,11 +9,14 @@ sources are used by propagation, so those are built by default.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedspread.functions.vectors import edge_weight
 from seedspread.operators.knn import knn_join, project
+from seedspread.session import materialize
 
 # Row sums below this are treated as 1 (float64 machine epsilon).
 EPS = 2.220446049250313e-16
@@ -38,12 +41,15 @@ def build_graph(
     bandwidth: float = 1.0,
     counts: tuple[int, int] | None = None,
     group_col: str | None = None,
+    knn: Mapping | None = None,
 ) -> DataFrame:
     """K6: heterogeneous kNN graph.  ``points`` = ``(id, x, observed)``.
 
     ``sources`` is ``"unlabeled"`` (what propagation reads) or ``"all"``.
     ``L`` applies a linear metric first (K2), once per point.  With ``group_col``
     one independent graph is built per group value (sweep variants) in one plan.
+    ``knn``: options of the neighbour search (``method="lsh"`` and its parameters for the
+    approximate one; not with ``group_col``).
     """
     gc = [group_col] if group_col else []
     pts = project(points, L) if L is not None else points
@@ -51,7 +57,7 @@ def build_graph(
     query = pts if sources == "all" else pts.where(~F.col("observed"))
     query = query.select(*gc, "id", "x")
     nn = knn_join(query, ref, {KIND_LABELED: k_labeled, KIND_UNLABELED: k_unlabeled}, exclude_self=True,
-                  kind_col="kind", group_col=group_col, counts=counts)
+                  kind_col="kind", group_col=group_col, counts=counts, **(knn or {}))
     obs = pts.select(*gc, F.col("id").alias("src"), F.col("observed").alias("src_obs"))
     return (
         nn.join(obs, gc + ["src"])
@@ -106,6 +112,7 @@ def insert_nodes(
     *,
     sources: str = "unlabeled",
     bandwidth: float = 1.0,
+    knn: Mapping | None = None,
 ) -> DataFrame:
     """K14 + K15: add a batch of points to a graph without rebuilding it.
 
@@ -122,10 +129,10 @@ def insert_nodes(
     all_pts = stored.unionByName(new.select(*stored.columns))
     # Rows of the new sources, against everything stored so far
     new_src = new if sources == "all" else new.where(~F.col("observed"))
-    own = knn_join(new_src.select("id", "x"), _kinded(all_pts), k_map, exclude_self=True, kind_col="kind")
+    own = knn_join(new_src.select("id", "x"), _kinded(all_pts), k_map, exclude_self=True, kind_col="kind", **(knn or {}))
     # Stored sources against the new points only
     old_src = stored if sources == "all" else stored.where(~F.col("observed"))
-    cand = knn_join(old_src.select("id", "x"), _kinded(new), k_map, exclude_self=True, kind_col="kind")
+    cand = knn_join(old_src.select("id", "x"), _kinded(new), k_map, exclude_self=True, kind_col="kind", **(knn or {}))
     cand = cand.select("src", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2")
     # prefilter by the radius of the source (or a free slot)
     rad = radii(edges)
@@ -133,6 +140,7 @@ def insert_nodes(
     beat = (cand.join(rad, ["src", "dst_obs"], "left")
             .where(F.col("radius").isNull() | (F.col("n_neighbors") < kk) | (F.col("d2") <= F.col("radius")))
             .select("src", "dst", "dst_obs", "d2"))
+    beat = materialize(beat, "entering")  # read twice: the search runs once
     touched = beat.select("src").distinct()
     old_touched = edges.join(touched, "src", "left_semi").select("src", "dst", "dst_obs", "d2")
     merged = old_touched.unionByName(beat)

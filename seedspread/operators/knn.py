@@ -3,9 +3,10 @@
 Method: *blocked* nested loop.  Both sides are cut into blocks by a hash of the
 id (uniform, so no hot block whatever the data); each (query block, reference
 block) pair meets in one ``cogroup`` group, where NumPy scores the pair matrix and
-keeps only the ``k`` best per query row and neighbour kind.  Nothing quadratic
-ever leaves a task: the shuffle carries ``rows x other-side blocks`` vectors in,
-and ``query rows x reference blocks x k`` candidate edges out, which a
+keeps only the ``k`` best per query row and neighbour kind.  No pairs leave a task,
+but the exact join's shuffle grows with the square of the rows: it carries ``rows x
+other-side blocks`` vectors in (use ``method="lsh"`` where that is too much), and
+``query rows x reference blocks x k`` candidate edges out, which a
 ``row_number() <= k`` window merges (Catalyst plans it as a partial
 ``WindowGroupLimit`` before the exchange).
 
@@ -28,6 +29,8 @@ DEFAULT_BLOCK_ROWS = 2048
 # candidates kept per row before the exact re-scoring; absorbs rounding of the
 # norm expansion so that the final k are those of the exact differences
 CANDIDATE_MARGIN = 8
+# sign bits of a hash bucket in the approximate join
+LSH_BITS = 8
 
 
 def _block_counts(n_query: int, n_ref: int, block_rows: int, parallelism: int) -> tuple[int, int]:
@@ -103,7 +106,7 @@ def knn_join(
     method: str = "exact",
     lsh_tables: int = 4,
     lsh_seed: int = 17,
-    lsh_bits: int | None = None,
+    lsh_bits: int = LSH_BITS,
 ) -> DataFrame:
     """Exact kNN join.  ``query``/``ref`` have ``(id long, x array<double>)``.
 
@@ -183,26 +186,31 @@ def knn_join(
 
 
 def lsh_planes(tables: int, bits: int, width: int, seed: int) -> np.ndarray:
-    """The random hyperplanes of the hash tables: ``(tables, bits, width)`` standard normals."""
-    return np.random.default_rng(seed).standard_normal((tables, max(bits, 1), width))
+    """The hyperplanes of the hash tables, ``(tables, bits, width)``.
+
+    Component ``i`` of plane ``n`` (both from 1, planes counted through all tables) is the
+    fraction of ``sin(12.9898 n + 78.233 i n + seed) * 43758.5453`` less one half: scattered
+    like random numbers, and the same in any language.
+    """
+    n = np.arange(1, tables * max(bits, 1) + 1, dtype=np.float64)[:, None]
+    i = np.arange(1, width + 1, dtype=np.float64)[None]
+    u = np.sin(12.9898 * n + 78.233 * i * n + seed) * 43758.5453
+    return (u - np.floor(u) - 0.5).reshape(tables, max(bits, 1), width)
 
 
 def _lsh_join(query: DataFrame, ref: DataFrame, k, *, exclude_self: bool, kind_col: str | None, block_rows: int,
-              tables: int, seed: int, bits: int | None = None) -> DataFrame:
+              tables: int, seed: int, bits: int) -> DataFrame:
     """Approximate kNN: random-hyperplane buckets as candidate groups, exact kernel inside.
 
     Each of ``tables`` hash tables gives every point a bucket (the signs of
-    ``bits`` random projections, ``bits`` chosen so that a bucket holds about
-    ``block_rows`` reference rows).  Rows meet only rows of the same (table,
+    ``bits`` random projections; about ``rows / 2^bits`` rows share a bucket, 0 bits are the
+    exact join).  Rows meet only rows of the same (table,
     bucket); inside a group the exact blocked kernel runs (a hot bucket is cut into
     blocks, see the grouped join).  The candidates of all tables are merged into
     the ``k`` best per row and kind.  Distances are exact; only recall is approximate.
     """
     k_by_kind = dict(k) if isinstance(k, Mapping) else {0: int(k)}
     width = len(ref.select("x").first()["x"])
-    if bits is None:
-        n_ref = ref.count()
-        bits = max(0, min(30, int(round(math.log2(max(n_ref, 1) / block_rows))))) if n_ref > block_rows else 0
     planes = lsh_planes(tables, bits, width, seed)
     from pyspark.sql.functions import pandas_udf
 

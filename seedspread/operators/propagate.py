@@ -5,10 +5,12 @@ probabilities of unlabelled sources (``trans``: ``src, dst, dst_obs, p``), ``Y_l
 one-hot labels and ``F`` the estimates of unlabelled nodes:
 
 * offline (L2):  ``F <- P_ul Y_l + P_uu F`` until ``max |dF| < tol`` or ``max_iter``;
-  ``P_ul Y_l`` is computed once, every iteration is one join of ``P_uu`` with ``F`` on
-  ``dst`` and one ``groupBy(src, class).sum`` (partial aggregation before the
-  shuffle); ``F`` is checkpointed to the shared checkpoint folder each iteration, so
-  lineage never grows and a lost executor costs one step;
+  ``P_ul Y_l`` is computed once.  Inside the loop ``F`` is wide: one row per node and
+  ``WIDTH`` classes, a column per class.  ``P_uu`` is written once as a table bucketed by
+  ``dst``: an iteration shuffles ``F`` to meet it and the partial sums per ``src``, never
+  the graph.  A node with more than ``HUB_EDGES`` edges to it has them in several buckets
+  (salted), and its row of ``F`` goes to each.  Every iterate is written to the shared
+  folder with its change, so lineage never grows and a lost executor costs one step;
 * local (L5-L10): after new nodes arrive, only rows that point at changed rows are
   recomputed, hop by hop; a change is applied where ``||dF||_1 > theta``.
   Every hop works on frontier-sized DataFrames; the driver only sees counts.
@@ -17,13 +19,14 @@ one-hot labels and ``F`` the estimates of unlabelled nodes:
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from seedspread.session import cut_lineage
+from seedspread.session import cut_lineage, discard, materialize, remove_path, scratch_dir
 
 
 # ---------------------------------------------------------------- L1
@@ -66,6 +69,84 @@ class OfflineResult:
     residuals: list = field(default_factory=list)
 
 
+# classes per wide row, and edges of one node in one bucket
+WIDTH = 64
+HUB_EDGES = 100_000
+
+
+def _slots(classes: Sequence[int]) -> list[str]:
+    return [f"c{j}" for j in range(min(len(classes), WIDTH))]
+
+
+def _chunked(ids: DataFrame, keys: Sequence[str], classes: Sequence[int], value: float) -> DataFrame:
+    """One wide row per id and chunk of classes, with one value everywhere."""
+    n_chunks = -(-len(classes) // WIDTH)
+    return ids.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")).select(
+        *keys, "chunk", *[F.lit(float(value)).alias(c) for c in _slots(classes)])
+
+
+def _widened(rows: DataFrame, keys: Sequence[str], classes: Sequence[int], value: str) -> DataFrame:
+    """Long ``(keys, class, value)`` rows, summed up per key, as wide rows."""
+    at = F.array_position(F.array(*[F.lit(int(c)) for c in classes]), F.col("class").cast("int")) - 1
+    placed = rows.select(*keys, at.alias("_at"), F.col(value).alias("_v")).where("_at >= 0")
+    placed = placed.select(*keys, F.floor(F.col("_at") / WIDTH).cast("int").alias("chunk"), (F.col("_at") % WIDTH).alias("_slot"), "_v")
+    sums = [F.coalesce(F.sum(F.when(F.col("_slot") == j, F.col("_v"))), F.lit(0.0)).alias(c) for j, c in enumerate(_slots(classes))]
+    return placed.groupBy(*keys, "chunk").agg(*sums)
+
+
+def _long(f: DataFrame, keys: Sequence[str], classes: Sequence[int]) -> DataFrame:
+    """Wide rows as ``(keys, class, p)``."""
+    slots = _slots(classes)
+    entries = F.array(*[F.struct((F.col("chunk") * WIDTH + j).alias("at"), F.col(c).alias("p")) for j, c in enumerate(slots)])
+    rows = f.select(*keys, F.explode(entries).alias("e")).where(F.col("e.at") < len(classes))
+    return rows.select(*keys, F.element_at(F.array(*[F.lit(int(c)) for c in classes]), F.col("e.at") + 1).alias("class"), F.col("e.p").alias("p"))
+
+
+class _Graph:
+    """``P_uu`` as a table bucketed by the node that edges point at, with the hubs' salts."""
+
+    def __init__(self, uu: DataFrame, keys: Sequence[str]):
+        self.spark, self.keys = uu.sparkSession, list(keys)
+        self.path, self.name = scratch_dir(self.spark, "transitions"), f"transitions_{uuid.uuid4().hex}"
+        degrees = uu.groupBy(*self.keys, "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_EDGES)
+        self.hubs = materialize(degrees.select(*self.keys, "dst", F.ceil(F.col("n") / HUB_EDGES).cast("int").alias("parts")), "hubs")
+        self.salted = not self.hubs.isEmpty()
+        salt = F.lit(0)
+        if self.salted:
+            uu = uu.join(self.hubs, [*self.keys, "dst"], "left")
+            salt = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).cast("int")
+        at = [*self.keys, "dst", "salt"]
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = uu.select(*self.keys, "src", "dst", "p", salt.alias("salt")).repartition(n, *at)
+        rows.write.option("path", self.path).bucketBy(n, *at).sortBy(*at).saveAsTable(self.name)
+
+    def products(self, f: DataFrame, slots: Sequence[str]) -> DataFrame:
+        """``p(src, dst) * f(dst)`` of each edge, as wide rows of ``src``."""
+        rows = f.withColumnRenamed("id", "dst")
+        if self.salted:
+            rows = rows.join(self.hubs, [*self.keys, "dst"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        else:
+            rows = rows.withColumn("salt", F.lit(0))
+        met = self.spark.table(self.name).join(rows, [*self.keys, "dst", "salt"])
+        return met.select(*self.keys, F.col("src").alias("id"), "chunk", *[(F.col("p") * F.col(c)).alias(c) for c in slots])
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(self.spark, self.path)
+        discard(self.hubs)
+
+
+def _step(graph: _Graph, base: DataFrame, f: DataFrame, keys: Sequence[str], slots: Sequence[str]) -> DataFrame:
+    """The next iterate and the largest change of each row (``d``): one aggregation of the products, the static part and the last iterate."""
+    minus = [f"m_{c}" for c in slots]
+    none = [F.lit(0.0).alias(m) for m in minus]
+    gain = base.select(*keys, "chunk", *slots).unionByName(graph.products(f, slots)).select("*", *none)
+    last = f.select(*keys, "chunk", *[F.lit(0.0).alias(c) for c in slots], *[F.col(c).alias(m) for c, m in zip(slots, minus)])
+    new = gain.unionByName(last).groupBy(*keys, "chunk").agg(*[F.sum(c).alias(c) for c in [*slots, *minus]])
+    change = [F.abs(F.col(c) - F.col(m)) for c, m in zip(slots, minus)]
+    return new.select(*keys, "chunk", *slots, (F.greatest(*change) if len(change) > 1 else change[0]).alias("d"))
+
+
 # ---------------------------------------------------------------- L2 / L3
 def offline_propagate(
     trans: DataFrame,
@@ -86,69 +167,64 @@ def offline_propagate(
     iterations and the max change of each iteration.
 
     With ``group_col`` on every input, independent propagations (sweep variants)
-    run in the same jobs; each group stops at its own convergence (its rows are
-    frozen from then on), ``n_iter`` / ``residuals`` become dicts per group.
+    run in the same jobs; each group stops at its own convergence and its rows are
+    left where they are from then on; ``n_iter`` / ``residuals`` become dicts per group.
     """
     gc = [group_col] if group_col else []
-    # the graph is read every iteration: materialise it once (reliable checkpoint)
-    t = cut_lineage(trans.select(*gc, "src", "dst", "dst_obs", "p"))
+    keys, slots = [*gc, "id"], _slots(classes)
+    t = materialize(trans.select(*gc, "src", "dst", "dst_obs", "p"), "graph")
+    ids = unlabeled_ids.select(*gc, "id")
     y = labels_onehot(y_l)
     static = t.where(F.col("dst_obs")).join(y.withColumnRenamed("id", "dst"), gc + ["dst"]).select(
         *gc, F.col("src").alias("id"), "class", (F.col("p") * F.col("y")).alias("p"))
-    # static term + zero rows so that every (id, class) exists: computed once
-    zero = unlabeled_ids.select(*gc, "id", F.explode(F.array(*[F.lit(int(k)) for k in classes])).alias("class"),
-                                F.lit(0.0).alias("p"))
-    base = cut_lineage(static.unionByName(zero).groupBy(*gc, "id", "class").agg(F.sum("p").alias("p")))
-    # static across iterations: hash-partitioned by the join key once (the checkpoint keeps the
-    # partitioning), so an iteration shuffles only F when F is too big to broadcast
-    n_parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    uu = cut_lineage(t.where(~F.col("dst_obs")).select(*gc, "src", "dst", "p").repartition(n_parts, *gc, "dst"))
-    start = f0 if f0 is not None else zero.withColumn("p", F.lit(1.0 / len(classes)))
-    f = cut_lineage(start.select(*gc, "id", "class", "p"))
-    active = None
-    if gc:
-        active = sorted(r[0] for r in base.select(group_col).distinct().collect())
+    # the static term, with a row for every id and chunk
+    rows = _chunked(ids, keys, classes, 0.0).unionByName(_widened(static, keys, classes, "p"))
+    base = materialize(rows.groupBy(*keys, "chunk").agg(*[F.sum(c).alias(c) for c in slots]), "static")
+    start = _chunked(ids, keys, classes, 1.0 / max(1, len(classes))) if f0 is None else _widened(f0, keys, classes, "p")
+    f = materialize(start, "estimates")
+    graph = _Graph(t.where(~F.col("dst_obs")), gc)
+    active = sorted(r[0] for r in base.select(group_col).distinct().collect()) if gc else []
+    done: list[DataFrame] = []
     residuals: dict | list = {} if gc else []
     n_iters: dict = {}
     n_iter = 0
-    while n_iter < max_iter:
-        cur_f, cur_base, cur_uu = f, base, uu
-        if gc:
-            cur_f = f.where(F.col(group_col).isin(active))
-            cur_base = base.where(F.col(group_col).isin(active))
-            cur_uu = uu.where(F.col(group_col).isin(active))
-        prop = cur_uu.join(cur_f.select(*gc, F.col("id").alias("dst"), "class", F.col("p").alias("fp")), gc + ["dst"]).select(
-            *gc, F.col("src").alias("id"), "class", (F.col("p") * F.col("fp")).alias("p"))
-        # one job per iteration: new estimate and its change, written together
-        step = (cur_base.unionByName(prop).groupBy(*gc, "id", "class").agg(F.sum("p").alias("p"))
-                .join(cur_f.withColumnRenamed("p", "p_prev"), gc + ["id", "class"])
-                .withColumn("d", F.abs(F.col("p") - F.col("p_prev"))))
-        if gc:
-            frozen = f.where(~F.col(group_col).isin(active)).withColumn("p_prev", F.col("p")).withColumn("d", F.lit(0.0))
-            step = step.unionByName(frozen)
-        else:
-            # the max change is observed while the iterate is written: no second job
-            obs = Observation(f"lp_change_{n_iter}")
-            step = step.observe(obs, F.max("d").alias("d"))
-        step = cut_lineage(step)
+    while n_iter < max_iter and (active or not gc):
+        here = base.where(F.col(group_col).isin(active)) if gc else base
+        step = _step(graph, here, f.where(F.col(group_col).isin(active)) if gc else f, keys, slots)
         n_iter += 1
-        f = step.select(*gc, "id", "class", "p")
         if not gc:
-            change = obs.get.get("d")
-            residuals.append(float(change) if change is not None else 0.0)
+            # the max change is observed while the iterate is written: no second job
+            obs = Observation(f"lp_change_{n_iter}")
+            step = materialize(step.observe(obs, F.max("d").alias("d")), "estimates")
+            discard(f)
+            f = step
+            residuals.append(float(obs.get.get("d") or 0.0))
             if residuals[-1] < tol:
                 break
             continue
-        per = {r[0]: float(r[1] or 0.0) for r in
-               step.where(F.col(group_col).isin(active)).groupBy(group_col).agg(F.max("d")).collect()}
-        for gv in list(active):
+        step = materialize(step, "estimates")
+        per = {r[0]: float(r[1] or 0.0) for r in step.groupBy(group_col).agg(F.max("d")).collect()}
+        if not any(f is x for x in done):
+            discard(f)
+        f = step
+        for gv in active:
             residuals.setdefault(gv, []).append(per.get(gv, 0.0))
             n_iters[gv] = n_iter
-            if per.get(gv, 0.0) < tol:
-                active.remove(gv)
-        if not active:
-            break
-    return OfflineResult(f, n_iters if gc else n_iter, residuals)
+        ended = [gv for gv in active if per.get(gv, 0.0) < tol]
+        if ended:
+            # kept as they are: the files of this iterate stay
+            done.append(f)
+            done[-1]._groups = ended
+            active = [gv for gv in active if gv not in ended]
+    graph.drop(), discard(t), discard(base)
+    if not gc:
+        return OfflineResult(_long(f, keys, classes), n_iter, residuals)
+    parts = [(x, x._groups) for x in done] + ([(f, active)] if active else [])
+    out = None
+    for x, groups in parts:
+        part = _long(x.where(F.col(group_col).isin(groups)), keys, classes)
+        out = part if out is None else out.unionByName(part)
+    return OfflineResult(_long(f, keys, classes) if out is None else out, n_iters, residuals)
 
 
 # ---------------------------------------------------------------- L10 hop cap

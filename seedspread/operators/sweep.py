@@ -9,7 +9,8 @@ graph once at the largest ``k`` and keep ``rank <= k`` per variant.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,18 +18,20 @@ from pyspark.sql import functions as F
 from seedspread.operators import graph as G
 from seedspread.operators import metrics as M
 from seedspread.operators import sampling as S
-from seedspread.operators.propagate import normalize_l1, offline_propagate
-from seedspread.session import cut_lineage
+from seedspread.operators.knn import knn_join
+from seedspread.operators.predict import from_neighbors
+from seedspread.operators.propagate import OfflineResult, offline_propagate
+from seedspread.session import cut_lineage, materialize
 
 GROUP = "g"
 
 
 def run_variants(points_g: DataFrame, classes: Sequence[int], k_labeled: int, k_unlabeled: int,
-                 max_iter: int, tol: float, edges_g: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
+                 max_iter: int, tol: float, edges_g: DataFrame | None = None) -> tuple[DataFrame, DataFrame, OfflineResult]:
     """Graph (unless given), propagation and evaluation for every group of ``points_g``.
 
     ``points_g``: ``(g, id, x, label, observed)``.  Returns (estimates ``(g, id, class, p)``,
-    evaluation per group, iterations per group).
+    evaluation per group, the propagation's result with iterations and changes per group).
     """
     if edges_g is None:
         edges_g = G.build_graph(points_g.select(GROUP, "id", "x", "observed"), k_labeled, k_unlabeled, group_col=GROUP)
@@ -38,10 +41,10 @@ def run_variants(points_g: DataFrame, classes: Sequence[int], k_labeled: int, k_
     res = offline_propagate(trans, y_l, unl, classes, max_iter=max_iter, tol=tol, group_col=GROUP)
     f = res.f
     s = F.sum(F.abs("p")).over(Window.partitionBy(GROUP, "id"))
-    f = cut_lineage(f.withColumn("p", F.coalesce(F.col("p") / F.nullif(s, F.lit(0.0)), F.lit(0.0))))
+    f = materialize(f.withColumn("p", F.coalesce(F.col("p") / F.nullif(s, F.lit(0.0)), F.lit(0.0))), "estimates")
     truth = points_g.where(~F.col("observed")).select("id", "label").distinct()
     ev = M.evaluate(f, truth, len(classes), group_col=GROUP)
-    return f, ev, res.n_iter
+    return f, ev, res
 
 
 def sweep_neighbors(points: DataFrame, classes: Sequence[int], values: Sequence[int], which: str,
@@ -54,8 +57,51 @@ def sweep_neighbors(points: DataFrame, classes: Sequence[int], values: Sequence[
     vals = F.explode(F.array(*[F.lit(int(v)) for v in values])).alias(GROUP)
     edges_g = edges.select(vals, *edges.columns).where(~swept | (F.col("rank") <= F.col(GROUP)))
     points_g = points.select(F.explode(F.array(*[F.lit(int(v)) for v in values])).alias(GROUP), *points.columns)
-    _, ev, iters = run_variants(points_g, classes, k_l, k_u, max_iter, tol, edges_g=edges_g)
-    return _with_iters(ev, iters)
+    _, ev, res = run_variants(points_g, classes, k_l, k_u, max_iter, tol, edges_g=edges_g)
+    return _with_iters(ev, res.n_iter)
+
+
+def sweep_test_errors(points: DataFrame, test: DataFrame, classes: Sequence[int], values: Sequence[int],
+                      k_unlabeled: int, max_iter: int, tol: float) -> DataFrame:
+    """X3 with a test set: per number of labelled neighbours the errors that M16 reports.
+
+    ``(value, runtime, est_error, knn_error, combined_error)``: the error of the estimates
+    of the unlabelled points, and of the kNN part and the combined prediction (P4) on
+    ``test``.  One search, one graph and one propagation serve all values; ``runtime`` is
+    the seconds they took together.
+    """
+    tic = time.time()
+    kmax = max(values)
+    each = F.explode(F.array(*[F.lit(int(v)).cast("long") for v in values])).alias(GROUP)
+    edges = materialize(G.build_graph(points.select("id", "x", "observed"), kmax, k_unlabeled), "edges")
+    edges_g = edges.select(each, *edges.columns).where(~F.col("dst_obs") | (F.col("rank") <= F.col(GROUP)))
+    points_g = points.select(each, *points.columns)
+    f, ev, _ = run_variants(points_g, classes, kmax, k_unlabeled, max_iter, tol, edges_g=edges_g)
+    kinds = {G.KIND_LABELED: kmax, G.KIND_UNLABELED: k_unlabeled}
+    nn = materialize(knn_join(test.select("id", "x"), G._kinded(points), kinds, kind_col="kind"), "neighbors")
+    nn_g = nn.select(each, *nn.columns).where((F.col("kind") != G.KIND_LABELED) | (F.col("rank") <= F.col(GROUP)))
+    y_l = S.one_hot(points.where("observed"), "id", "label", classes)
+    p_knn, p_lp = from_neighbors(nn_g, test.select(each, "id"), f, y_l, classes, group_col=GROUP)
+    both = p_knn.withColumnRenamed("p", "pk").join(p_lp, [GROUP, "id", "class"])
+    best = lambda p: F.min_by(F.col("class"), F.struct(-p, F.col("class")))
+    pred = both.groupBy(GROUP, "id").agg(best(F.col("pk")).alias("knn"), best(F.col("pk") + F.col("p")).alias("combined"))
+    miss = lambda c: F.avg((F.col(c) != F.col("label")).cast("double"))
+    errors = pred.join(test.select("id", "label"), "id").groupBy(GROUP).agg(miss("knn").alias("knn_error"), miss("combined").alias("combined_error"))
+    out = materialize(ev.select(GROUP, F.col("clf_error_mixed").alias("est_error")).join(errors, GROUP), "errors")
+    return out.select(F.col(GROUP).alias("value"), F.lit(time.time() - tic).alias("runtime"), "est_error", "knn_error", "combined_error")
+
+
+def prefixes(points_g: DataFrame, steps: int, seed_of: Mapping[int, int]) -> DataFrame:
+    """The runs of ``points_g`` as they fill up: group ``g * (steps + 1) + t`` holds the first ``t / steps`` of run ``g`` in its arrival order."""
+    out = None
+    for g, seed in seed_of.items():
+        run = S.replay(points_g.where(F.col(GROUP) == g), "id", shuffle=True, seed=seed)
+        size = run.count()
+        t = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_t")
+        part = run.select(*run.columns, t).where(F.col("pos") < F.ceil(F.lit(float(size)) * F.col("_t") / steps))
+        part = part.withColumn(GROUP, F.col(GROUP) * (steps + 1) + F.col("_t")).drop("pos", "_t")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _with_iters(ev: DataFrame, iters: dict) -> DataFrame:
@@ -67,9 +113,9 @@ def _with_iters(ev: DataFrame, iters: dict) -> DataFrame:
 def sweep_masks(points_g: DataFrame, classes: Sequence[int], k_labeled: int, k_unlabeled: int,
                 max_iter: int, tol: float) -> DataFrame:
     """One variant per mask (seed, label budget or label ratio)."""
-    _, ev, iters = run_variants(points_g, classes, k_labeled, k_unlabeled, max_iter, tol)
+    _, ev, res = run_variants(points_g, classes, k_labeled, k_unlabeled, max_iter, tol)
     n_lab = points_g.groupBy(GROUP).agg(F.count_if("observed").alias("n_labeled"))
-    return _with_iters(ev, iters).join(n_lab, GROUP)
+    return _with_iters(ev, res.n_iter).join(n_lab, GROUP)
 
 
 def seeded_masks(points: DataFrame, seeds: Sequence[int], ratio: float) -> DataFrame:

@@ -187,6 +187,10 @@ def q_scaled_features(spark, sf):
 
 
 # ------------------------------------------------------------------ step 3: kNN and graph
+def _graph_out(e):
+    return e.select("src", "dst", "dst_obs", r6("d2").alias("d2"), r6("w").alias("w"), F.col("rank").cast("int").alias("rank"))
+
+
 def _edge_out(df):
     return df.select("src", "dst", r6("d2").alias("d2"), F.col("rank").cast("int").alias("rank"))
 
@@ -226,8 +230,7 @@ def _graph(spark, sf):
 
 
 def q_knn_graph(spark, sf):
-    e = _graph(spark, sf)
-    return e.select("src", "dst", "dst_obs", r6("d2").alias("d2"), r6("w").alias("w"), F.col("rank").cast("int").alias("rank"))
+    return _graph_out(_graph(spark, sf))
 
 
 def q_adjacency(spark, sf):
@@ -638,31 +641,29 @@ def q_sweep_theta(spark, sf):
     return out
 
 
-# run statistics: (run, metric, t, score); t = iteration for the propagation change, 0 for final errors
-FINAL_METRICS = ("clf_error_mixed", "l1_error_mixed", "cross_ent_mixed", "entropy_pred_mixed", "invalid_ratio")
+# run statistics: (run, metric, t, score); t = iteration for the propagation change, share of the arrivals for the rest
+RUN_STEPS = 4
+RUN_METRICS = ("clf_error_mixed", "l1_error_mixed", "cross_ent_mixed", "entropy_pred_mixed", "invalid_ratio")
 
 
 def run_metrics(spark, sf):
-    from seedspread.operators.sweep import GROUP, seeded_masks
-    from seedspread.operators.sweep import run_variants
+    """Statistics of N_RUNS runs: each is evaluated when a quarter, half, ... of its arrivals are in (``t``),
+    and the changes of its last propagation are kept (``lp_change``, ``t`` counts its iterations)."""
+    from seedspread.operators.sweep import GROUP, prefixes, run_variants, seeded_masks
     from seedspread.plans.fixtures import OBS_RATIO
+    from seedspread.session import materialize
 
     pts = load_points(spark, sf, "embeddings")
     seeds = [SEED * n for n in range(N_RUNS)]
-    points_g = seeded_masks(pts, seeds, OBS_RATIO)
-    classes = classes_of(pts)
-    edges_g = G.build_graph(points_g.select(GROUP, "id", "x", "observed"), K_L, K_U, group_col=GROUP)
-    trans = G.transitions(edges_g, group_col=GROUP)
-    y_l = S.one_hot(points_g.where("observed"), "id", "label", classes, keep=[GROUP])
-    res = offline_propagate(trans, y_l, points_g.where(~F.col("observed")).select(GROUP, "id"), classes,
-                            max_iter=MAX_ITER, tol=TOL, group_col=GROUP)
-    _, ev, _ = run_variants(points_g, classes, K_L, K_U, MAX_ITER, TOL, edges_g=edges_g)
-    rows = [(int(g), "lp_change", i + 1, float(v)) for g, vals in res.residuals.items() for i, v in enumerate(vals)]
+    points_g = materialize(prefixes(materialize(seeded_masks(pts, seeds, OBS_RATIO)), RUN_STEPS, dict(enumerate(seeds))))
+    _, ev, res = run_variants(points_g, classes_of(pts), K_L, K_U, MAX_ITER, TOL)
+    width = RUN_STEPS + 1
+    rows = [(int(g) // width, "lp_change", i + 1, float(v)) for g, vals in res.residuals.items() if g % width == RUN_STEPS for i, v in enumerate(vals)]
     changes = spark.createDataFrame(rows, "run long, metric string, t int, score double")
-    finals = ev.select(F.col(GROUP).alias("run"), F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in FINAL_METRICS])).alias("m")).select(
-        "run", F.col("m.metric").alias("metric"), F.lit(0).alias("t"), F.col("m.score").alias("score"))
-    return changes.unionByName(finals)
+    series = ev.select(F.floor(F.col(GROUP) / width).alias("run"), (F.col(GROUP) % width).cast("int").alias("t"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in RUN_METRICS])).alias("m")).select(
+        "run", F.col("m.metric").alias("metric"), "t", F.col("m.score").alias("score"))
+    return materialize(changes.unionByName(series))
 
 
 def q_runs_aggregate(spark, sf):
@@ -671,14 +672,15 @@ def q_runs_aggregate(spark, sf):
 
 
 def q_run_summary(spark, sf):
+    """First and last classification error over the runs (the time per step differs from run to run: not returned)."""
     agg = M.aggregate_runs(run_metrics(spark, sf), n_runs=N_RUNS)
-    s = M.run_summary(agg.where(F.col("metric") == "lp_change"), error_metric="lp_change", time_metric="lp_change")
-    return s.select(r6("mean_time").alias("mean_step"), r6("first_error").alias("first"), r6("last_error").alias("last"))
+    s = M.run_summary(agg, error_metric="clf_error_mixed")
+    return s.select(r6("first_error").alias("first_error"), r6("last_error").alias("last_error"))
 
 
 def q_metric_series(spark, sf):
     agg = M.aggregate_runs(run_metrics(spark, sf), n_runs=N_RUNS)
-    s = M.metric_series(agg, ["lp_change"])
+    s = M.metric_series(agg, ["lp_change", "clf_error_mixed"])
     return s.select("metric", "t", r6("mean").alias("mean"), r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
@@ -687,22 +689,21 @@ def q_metric_sizes(spark, sf):
 
 
 def q_sweep_report(spark, sf):
-    """Per swept k_labeled value, mean / population std over runs of the final errors."""
-    from seedspread.operators.sweep import seeded_masks, sweep_neighbors
+    """Per swept k_labeled value, mean / population std over runs of the estimates' error and of the
+    kNN and combined errors on the test split (the runtime differs from run to run: not returned)."""
+    from seedspread.operators.sweep import seeded_masks, sweep_test_errors
     from seedspread.plans.fixtures import OBS_RATIO
 
-    pts = load_points(spark, sf, "embeddings")
+    train, test = embeddings_split(spark, sf)
+    classes = classes_of(train)
     out = None
     for n in range(N_RUNS):
-        masked = seeded_masks(pts, [SEED * n], OBS_RATIO).drop("g")
-        ev = sweep_neighbors(masked, classes_of(pts), SWEEP_K, "labeled", K_U, MAX_ITER, TOL).withColumn("run", F.lit(n))
-        out = ev if out is None else out.unionByName(ev)
-    per_run = out.select(F.col("g").alias("value"), "run", F.col("n_iter").cast("double").alias("runtime"),
-                         F.col("clf_error_mixed").alias("est_error"), F.col("l1_error_mixed").alias("knn_error"),
-                         F.col("cross_ent_mixed").alias("combined_error"))
-    rep = M.sweep_report(per_run)
-    return rep.select(F.col("value").cast("int").alias("value"), *[r6(c).alias(c) for c in rep.columns if c not in ("value", "n_runs")],
-                      F.col("n_runs").cast("long").alias("n_runs"))
+        masked = seeded_masks(train.drop("observed"), [SEED * n], OBS_RATIO).drop("g")
+        rows = sweep_test_errors(masked, test, classes, SWEEP_K, K_U, MAX_ITER, TOL).withColumn("run", F.lit(n))
+        out = rows if out is None else out.unionByName(rows)
+    rep = M.sweep_report(out)
+    shown = [c for c in rep.columns if c not in ("value", "n_runs") and not c.startswith("runtime")]
+    return rep.select(F.col("value").cast("int").alias("value"), *[r6(c).alias(c) for c in shown], F.col("n_runs").cast("long").alias("n_runs"))
 
 
 def q_latest_run(spark, sf):
@@ -803,4 +804,23 @@ def q_knn_approx(spark, sf):
     return _edge_out(nn)
 
 
-QUERIES.update({"knn_approx": q_knn_approx})
+# With 12 tables of 2 planes, over 9 of 10 nearest neighbours of `embeddings` share a bucket.
+APPROX = {"method": "lsh", "lsh_tables": 12, "lsh_bits": 2, "lsh_seed": 17}
+
+
+def q_graph_approx(spark, sf):
+    """K6 with the approximate search."""
+    pts = embeddings_points(spark, sf)
+    return _graph_out(G.build_graph(pts.select("id", "x", "observed"), K_L, K_U, knn=APPROX))
+
+
+def q_predict_approx(spark, sf):
+    """P1 with the approximate search."""
+    train, test = embeddings_split(spark, sf)
+    classes = classes_of(train)
+    y_l = S.one_hot(train.where("observed"), "id", "label", classes)
+    p = predict_proba(test.select("id", "x"), train.select("id", "x", "observed"), None, y_l, classes, K_L, K_U, mode="knn", knn=APPROX)
+    return p.select("id", F.col("class").cast("int").alias("class"), r6("p").alias("p"))
+
+
+QUERIES.update({"knn_approx": q_knn_approx, "graph_approx": q_graph_approx, "predict_approx": q_predict_approx})

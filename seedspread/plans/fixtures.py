@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedspread.operators.sampling import mask_labels, stratified_split
+from seedspread.session import materialize
 from seedspread.sources.datasets import load_points, read_table
 
 # Fixed values of the query suite.
@@ -35,21 +36,17 @@ def classes_of(df: DataFrame, col: str = "label") -> list:
 def embeddings_points(spark: SparkSession, sf_dir: str, seed: int = SEED, ratio: float = OBS_RATIO) -> DataFrame:
     """``embeddings`` as ``(id, x, label, observed)`` with the standard per-class mask.
 
-    Written once to the checkpoint folder: every query reads it several times
+    Written once as Parquet to the shared folder: every query reads it several times
     (class list, block sizing, joins), and a lost executor must not redo the mask.
     """
-    from seedspread.session import cut_lineage
-
-    return cut_lineage(mask_labels(load_points(spark, sf_dir, "embeddings"), "id", "label", ratio, seed))
+    return materialize(mask_labels(load_points(spark, sf_dir, "embeddings"), "id", "label", ratio, seed), "points")
 
 
 def embeddings_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(train points with mask, test points) for prediction queries."""
-    from seedspread.session import cut_lineage
-
     pts = load_points(spark, sf_dir, "embeddings")
-    split = cut_lineage(stratified_split(pts, "id", "label", TEST_RATIO, TEST_SEED))
-    train = cut_lineage(mask_labels(split.where(~F.col("is_test")).drop("is_test"), "id", "label", OBS_RATIO, SEED))
+    split = materialize(stratified_split(pts, "id", "label", TEST_RATIO, TEST_SEED), "split")
+    train = materialize(mask_labels(split.where(~F.col("is_test")).drop("is_test"), "id", "label", OBS_RATIO, SEED), "train")
     test = split.where(F.col("is_test")).drop("is_test")
     return train, test
 

@@ -323,9 +323,9 @@ def q_graph_incremental() -> str:
 
 
 # ------------------------------------------------------------------ step 4
-def lp_with(pts_body: str | None = None) -> str:
+def lp_with(pts_body: str | None = None, k_l: int = X.K_L) -> str:
     head = pts_body if pts_body is not None else masked_pts()
-    return f"WITH {head}, {graph_cte()}, {lp_cte()} "
+    return f"WITH {head}, {graph_cte('pts', k_l, X.K_U)}, {lp_cte()} "
 
 
 def q_offline_lp() -> str:
@@ -354,19 +354,19 @@ def q_two_class_lp() -> str:
 
 
 # ------------------------------------------------------------------ step 5
-def split_pts() -> str:
+def split_pts(seed: int = X.SEED) -> str:
     return (
         f"pts0 AS ({pts_sql()}), "
         f"sp AS ({mask_sql('pts0', 'id', 'label', X.TEST_RATIO, X.TEST_SEED, out='is_test')}), "
         "test AS (SELECT id, x, label FROM sp WHERE is_test), "
         "tr0 AS (SELECT id, x, label FROM sp WHERE NOT is_test), "
-        f"pts AS ({mask_sql('tr0', 'id', 'label', X.OBS_RATIO, X.SEED)})"
+        f"pts AS ({mask_sql('tr0', 'id', 'label', X.OBS_RATIO, seed)})"
     )
 
 
-def predict_cte() -> str:
-    return lp_with(split_pts()) + (
-        f", nnl AS ({knn_sql('test', '(SELECT * FROM pts WHERE observed)', X.K_L, False)}), "
+def predict_cte(k_l: int = X.K_L, seed: int = X.SEED) -> str:
+    return lp_with(split_pts(seed), k_l) + (
+        f", nnl AS ({knn_sql('test', '(SELECT * FROM pts WHERE observed)', k_l, False)}), "
         f"nnu AS ({knn_sql('test', '(SELECT * FROM pts WHERE NOT observed)', X.K_U, False)}), "
         "wl AS (SELECT src, dst, coalesce(exp(-d2) / nullif(sum(exp(-d2)) OVER (PARTITION BY src), 0.0), 0.0) AS pn FROM nnl), "
         "wu AS (SELECT src, dst, coalesce(exp(-d2) / nullif(sum(exp(-d2)) OVER (PARTITION BY src), 0.0), 0.0) AS pn FROM nnu), "
@@ -635,22 +635,31 @@ def q_default_runs() -> str:
 FINALS = ("clf_error_mixed", "l1_error_mixed", "cross_ent_mixed", "entropy_pred_mixed", "invalid_ratio")
 
 
+def prefix_pts(seed: int, t: int) -> str:
+    """The first t / RUN_STEPS of a run's masked points in arrival order."""
+    return (
+        f"pts0 AS ({pts_sql()}), ptm AS ({mask_sql('pts0', 'id', 'label', X.OBS_RATIO, seed)}), "
+        f"ptr AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}:order:' || id), id) - 1 AS pos, count(*) OVER () AS n_all FROM ptm), "
+        f"pts AS (SELECT id, x, label, observed FROM ptr WHERE pos < ceil(CAST(n_all AS DOUBLE) * {t} / {C.RUN_STEPS}))"
+    )
+
+
 def run_metric_sql() -> str:
     """(run, metric, t, score) of every run, as the Spark side stores them."""
     parts = []
+    finals = (
+        "SELECT count(*) FILTER (WHERE NOT valid) / count(*) AS invalid_ratio, "
+        "avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END) AS clf_error_mixed, avg(l1) AS l1_error_mixed, "
+        "avg(xent) AS cross_ent_mixed, "
+        "(coalesce(sum(entropy) FILTER (WHERE valid), 0.0) + count(*) FILTER (WHERE NOT valid)) / count(*) AS entropy_pred_mixed FROM rowm"
+    )
     for i, s in enumerate(run_seeds()):
-        finals = (
-            "SELECT count(*) FILTER (WHERE NOT valid) / count(*) AS invalid_ratio, "
-            "avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END) AS clf_error_mixed, avg(l1) AS l1_error_mixed, "
-            "avg(xent) AS cross_ent_mixed, "
-            "(coalesce(sum(entropy) FILTER (WHERE valid), 0.0) + count(*) FILTER (WHERE NOT valid)) / count(*) AS entropy_pred_mixed FROM rowm"
-        )
-        unpiv = " UNION ALL ".join(f"SELECT {i} AS run, '{m}' AS metric, 0 AS t, CAST({m} AS DOUBLE) AS score FROM ev" for m in FINALS)
-        parts.append(
-            f"(WITH {masked_pts(seed=s)}, {graph_cte()}, {lp_cte()}, {rowm_cte()}, ev AS ({finals}) "
-            f"SELECT {i} AS run, 'lp_change' AS metric, CAST(it AS INTEGER) AS t, d AS score FROM deltas WHERE it <= (SELECT it FROM stop) "
-            f"UNION ALL {unpiv})"
-        )
+        for t in range(1, C.RUN_STEPS + 1):
+            series = " UNION ALL ".join(f"SELECT {i} AS run, '{m}' AS metric, {t} AS t, CAST({m} AS DOUBLE) AS score FROM ev" for m in FINALS)
+            lp = lp_cte().replace("AS class FROM pts WHERE", "AS class FROM pts0 WHERE")
+            last = ("" if t < C.RUN_STEPS else
+                    f" UNION ALL SELECT {i} AS run, 'lp_change' AS metric, CAST(it AS INTEGER) AS t, d AS score FROM deltas WHERE it <= (SELECT it FROM stop)")
+            parts.append(f"(WITH {prefix_pts(s, t)}, {graph_cte()}, {lp}, {rowm_cte()}, ev AS ({finals}) {series}{last})")
     return " UNION ALL ".join(parts)
 
 
@@ -665,14 +674,14 @@ def q_runs_aggregate() -> str:
 
 def q_run_summary() -> str:
     return runs_agg_sql() + (
-        "SELECT round(avg(mean), 6) AS mean_step, round(arg_min(mean, t), 6) AS first, round(arg_max(mean, t), 6) AS last "
-        "FROM agg WHERE metric = 'lp_change'")
+        "SELECT round(arg_min(mean, t), 6) AS first_error, round(arg_max(mean, t), 6) AS last_error "
+        "FROM agg WHERE metric = 'clf_error_mixed'")
 
 
 def q_metric_series() -> str:
     return runs_agg_sql() + (
         "SELECT metric, CAST(t AS INTEGER) AS t, round(mean, 6) AS mean, round(mean - coalesce(std, 0.0), 6) AS lower, "
-        "round(mean + coalesce(std, 0.0), 6) AS upper FROM agg WHERE metric = 'lp_change'")
+        "round(mean + coalesce(std, 0.0), 6) AS upper FROM agg WHERE metric IN ('lp_change', 'clf_error_mixed')")
 
 
 def q_metric_sizes() -> str:
@@ -745,12 +754,12 @@ def q_sweep_report() -> str:
     per = []
     for n, s in enumerate(run_seeds()):
         for k in C.SWEEP_K:
+            miss = lambda c: f"(SELECT avg(CASE WHEN {c} <> t.label THEN 1.0 ELSE 0.0 END) FROM pair JOIN test t USING (id))"
             per.append(
-                f"(WITH {masked_pts(seed=s)}, {graph_cte('pts', k, X.K_U)}, {lp_cte()}, {rowm_cte()} "
-                f"SELECT {k} AS value, {n} AS run, CAST((SELECT it FROM stop) AS DOUBLE) AS runtime, "
-                "avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END) AS est_error, avg(l1) AS knn_error, "
-                "avg(xent) AS combined_error FROM rowm)")
-    cols = ["runtime", "est_error", "knn_error", "combined_error"]
+                f"({predict_cte(k, s)}, {rowm_cte()} SELECT {k} AS value, {n} AS run, "
+                f"avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END) AS est_error, {miss('pred_knn')} AS knn_error, "
+                f"{miss('pred_combined')} AS combined_error FROM rowm)")
+    cols = ["est_error", "knn_error", "combined_error"]
     aggs = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in cols)
     return (f"WITH pr AS ({' UNION ALL '.join(per)}) SELECT CAST(value AS INTEGER) AS value, {aggs}, count(*) AS n_runs "
             "FROM pr GROUP BY value")
@@ -760,29 +769,57 @@ ORACLE.update({"sweep_report": q_sweep_report})
 
 
 # ------------------------------------------------------------------ approximate kNN
-EMBED_WIDTH = 64  # fixed: width of the `embeddings` vectors
-
-
-def q_knn_approx() -> str:
-    from seedspread.operators.knn import lsh_planes
-
-    planes = lsh_planes(C.LSH_TABLES, C.LSH_BITS, EMBED_WIDTH, C.LSH_SEED)
+def buckets_sql(src: str, tables: int, bits: int, seed: int) -> str:
+    """Every row of ``src`` once per hash table, with its bucket ``g``: planes from the published formula."""
     sel = []
-    for t in range(C.LSH_TABLES):
+    for t in range(tables):
         terms = []
-        for b in range(C.LSH_BITS):
-            lit = "[" + ", ".join(repr(float(v)) for v in planes[t, b]) + "]::DOUBLE[]"
-            dot = f"list_sum(list_transform(list_zip(x, {lit}), lambda z: z[1] * z[2]))"
+        for b in range(bits):
+            n = t * bits + b + 1
+            u = f"(sin(CAST(12.9898 AS DOUBLE) * {n} + CAST(78.233 AS DOUBLE) * i * {n} + {seed}) * CAST(43758.5453 AS DOUBLE))"
+            dot = f"list_sum(list_transform(x, lambda v, i: v * ({u} - floor({u}) - 0.5)))"
             terms.append(f"(CASE WHEN {dot} > 0 THEN {1 << b} ELSE 0 END)")
-        sel.append(f"SELECT id, x, CAST({' + '.join(terms)} AS BIGINT) + {t << 32} AS g FROM pts")
+        sel.append(f"SELECT *, CAST({' + '.join(terms)} AS BIGINT) + {t << 32} AS g FROM {src}")
+    return " UNION ALL ".join(sel)
+
+
+def q_knn_approx() -> str:
     return (
-        f"WITH pts AS ({pts_sql()}), gp AS ({' UNION ALL '.join(sel)}), "
+        f"WITH pts AS ({pts_sql()}), gp AS ({buckets_sql('pts', C.LSH_TABLES, C.LSH_BITS, C.LSH_SEED)}), "
         f"cand AS (SELECT DISTINCT a.id AS src, b.id AS dst, {D2} AS d2 FROM gp a JOIN gp b ON a.g = b.g AND a.id <> b.id), "
         "nn AS (SELECT src, dst, d2, CAST(row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS INTEGER) AS rank FROM cand) "
         "SELECT src, dst, round(d2, 6) AS d2, rank FROM nn WHERE rank <= 3"
     )
 
 
+def _approx(src: str) -> str:
+    return buckets_sql(src, C.APPROX["lsh_tables"], C.APPROX["lsh_bits"], C.APPROX["lsh_seed"])
+
+
+def q_graph_approx() -> str:
+    return (
+        f"WITH {masked_pts()}, gp AS ({_approx('pts')}), "
+        f"pairs AS (SELECT DISTINCT a.id AS src, b.id AS dst, b.observed AS dst_obs, {D2} AS d2 FROM gp a JOIN gp b ON a.g = b.g AND a.id <> b.id WHERE NOT a.observed), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY src, dst_obs ORDER BY d2, dst) AS rk FROM pairs) "
+        f"SELECT src, dst, dst_obs, round(d2, 6) AS d2, round(exp(-d2), 6) AS w, CAST(rk AS INTEGER) AS rank FROM ranked "
+        f"WHERE rk <= CASE WHEN dst_obs THEN {X.K_L} ELSE {X.K_U} END"
+    )
+
+
+def q_predict_approx() -> str:
+    return (
+        f"WITH {split_pts()}, {classes_cte()}, gq AS ({_approx('test')}), gr AS ({_approx('(SELECT * FROM pts WHERE observed)')}), "
+        f"cand AS (SELECT DISTINCT a.id AS src, b.id AS dst, b.label AS y, {D2} AS d2 FROM gq a JOIN gr b ON a.g = b.g), "
+        f"nn AS (SELECT *, exp(-d2) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rk FROM cand) WHERE rk <= {X.K_L}), "
+        "wn AS (SELECT src, y, coalesce(w / nullif(sum(w) OVER (PARTITION BY src), 0.0), 0.0) AS pn FROM nn) "
+        "SELECT t.id, CAST(c.class AS INTEGER) AS class, round(coalesce(sum(wn.pn), 0.0), 6) AS p FROM test t CROSS JOIN classes c "
+        "LEFT JOIN wn ON wn.src = t.id AND wn.y = c.class GROUP BY t.id, c.class"
+    )
+
+
+ORACLE.update({"graph_approx": q_graph_approx, "predict_approx": q_predict_approx})
+
+
 def q_stream_points() -> str:
     return (f"WITH {split_pts()} SELECT row_number() OVER (ORDER BY md5('{X.SEED}:order:' || id), id) - 1 AS seq, id, "
             "CASE WHEN observed THEN label END AS label_seen, observed FROM pts")

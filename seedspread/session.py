@@ -64,6 +64,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    Cuts lineage like ``cut_lineage``, but later reads prune columns and push filters
+    down.  ``discard`` removes the files once nothing reads them any more.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._materialized_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files behind a table that ``materialize`` returned."""
+    path = getattr(df, "_materialized_path", None)
+    if path:
+        remove_path(df.sparkSession, path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """The path of a fresh folder under the shared checkpoint folder for written tables (state, replays).
 
