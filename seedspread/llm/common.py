@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def text_key(text: Column) -> Column:
-    """128 bits of a text as two longs; null and empty texts differ."""
-    return F.struct(F.xxhash64(F.lit(1), text.isNull(), text).alias("t1"), F.xxhash64(F.lit(2), text.isNull(), text).alias("t2"))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a few rows, so that a task never holds a whole batch of texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedspread.llm.common import col, forget, written
+from seedspread.llm.common import col, forget, slices, written
 
 #: Entities of later attempts that are broadcast at most.
 TOLD = 100_000
@@ -198,7 +198,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct ``(kind, entity)`` of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen = sorted({(kind, entity) for text in batch.column(0).to_pylist() for _, _, kind, entity in mentions(text)})
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(2)], names=["kind", "entity"])
 
@@ -209,7 +209,7 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     """Adds the surrogate of each ``(kind, entity, attempt)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = [surrogate(key, *x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "entity", "attempt", "surrogate"])
 
@@ -252,7 +252,7 @@ def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = ({(x["kind"], x["entity"]): x["attempt"] for x in o} if o else shared.value for o in batch.column(len(keep)).to_pylist())
             new = [rewrite(t, key, o) for t, o in zip(batch.column(at).to_pylist(), own, strict=True)]
             columns = [pa.array([t for t, _ in new], pa.string()) if k == at else batch.column(k) for k in range(len(keep))]
@@ -270,7 +270,7 @@ def _with_own(rows: DataFrame, later: DataFrame, id_col: str, text_col: str) ->
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(k, x) for k, t in enumerate(batch.column(3).to_pylist()) for x in sorted({(kind, entity) for _, _, kind, entity in mentions(t)})]
             owner = pa.array([k for k, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in range(3)], *[pa.array([x[k] for _, x in found], pa.string()) for k in range(2)]], names=schema.names)
