@@ -11,11 +11,8 @@ import string
 from dataclasses import dataclass
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from seedspread.functions.vectors import scale
 
@@ -32,29 +29,14 @@ PART_SCALE = 1000.0
 
 
 def letter_profile(text: Column) -> Column:
-    """L2-normalised counts of the letters a-z (either case) over the whole text.
+    """L2-normalised counts of the letters a-z (either case) over the whole text, by built-in functions.
 
-    One pass per text: the UTF-8 bytes are counted with ``numpy.bincount`` (an
-    ASCII letter is one byte and never occurs inside a multi-byte character), in
-    Arrow batches.
+    Other letters (accents, other scripts) count for nothing: it is a fixture mapping that SQL can repeat.
     """
-    lower = np.frombuffer(LETTERS.encode(), np.uint8)
-    upper = np.frombuffer(LETTERS.upper().encode(), np.uint8)
-
-    @pandas_udf("array<double>")
-    def _profile(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            c = np.bincount(np.frombuffer(t.encode("utf-8"), np.uint8), minlength=256)
-            v = (c[lower] + c[upper]).astype(np.float64)
-            n = np.sqrt((v * v).sum())
-            out.append(v / n if n > 0 else np.zeros(len(LETTERS)))
-        return pd.Series(out)
-
-    return _profile(text)
+    count = lambda c: (F.length(text) - F.length(F.replace(F.replace(text, F.lit(c)), F.lit(c.upper())))).cast("double")
+    counts = F.when(text.isNotNull(), F.array(*[count(c) for c in LETTERS]))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
+    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
 
 
 @dataclass(frozen=True)
@@ -104,12 +86,29 @@ def scale_features(points: DataFrame, divisor: float, x_col: str = "x") -> DataF
     return points.withColumn(x_col, scale(x_col, divisor))
 
 
+# ---------------------------------------------------------------- lines
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, line)`` of a text file or folder: lines counted from 0 through the files in name order.
+
+    Files are read in splits; a split's lines come in order, so a line's number is its place
+    in the split plus the lines of the splits before it.  Only the splits' counts (one row
+    each) are put in order.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(offsets, ["_file", "_at"]).select("value", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"))
+
+
 # ---------------------------------------------------------------- S3
 def read_labeled_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace-separated numbers per line: column 0 is the class, the rest the features (gz is read as is)."""
-    lines = spark.read.text(path)
+    """Whitespace-separated numbers per line: column 0 is the class, the rest the features (gz is read as is); the id is the line number."""
+    lines = numbered_lines(spark, path)
     parts = F.split(F.trim(F.col("value")), r"\s+")
     return lines.where(F.length(F.trim("value")) > 0).select(
+        F.col("line").alias("id"),
         parts.getItem(0).cast("double").cast("int").alias("label"),
         F.slice(parts, 2, F.size(parts) - 1).cast("array<double>").alias("x"),
     )
@@ -125,17 +124,10 @@ def write_labeled_text(points: DataFrame, path: str, compression: str = "gzip")
 def read_paired_text(spark: SparkSession, data_path: str, labels_path: str, header: bool = True) -> DataFrame:
     """Line n of the data file belongs to line n of the labels file; one header line each.
 
-    Line numbers come from ``zipWithIndex`` (one small job counting lines per
-    partition, no rows through the driver); the pairing is an equi-join on them.
+    The pairing is an equi-join on the line numbers (``numbered_lines``).
     """
     def numbered(path: str, name: str) -> DataFrame:
-        # a folder of part files is read in file-name order (the order it was written in)
-        files = sorted(spark.read.text(path).inputFiles())
-        rdd = spark.sparkContext.textFile(",".join(files)).zipWithIndex()
-        df = spark.createDataFrame(rdd, "value string, line long")
-        if header:
-            df = df.where(F.col("line") > 0)
-        return df.withColumnRenamed("value", name)
+        return numbered_lines(spark, path).where(F.col("line") >= int(header)).withColumnRenamed("value", name)
 
     data = numbered(data_path, "data")
     labels = numbered(labels_path, "lab")

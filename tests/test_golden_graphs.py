@@ -126,3 +126,39 @@ def test_hop_cap():
     assert hop_cap(4, 2) == 2
     assert hop_cap(10, 1, max_iter=30) == 30
     assert hop_cap(2, 3) == 0
+
+
+def test_an_iteration_shuffles_no_edge_and_salts_hubs(spark, monkeypatch):
+    """L2: the graph is bucketed by the node that edges point at; hubs lie in several buckets; same result."""
+    from seedspread.operators import propagate as P
+
+    n = 60
+    edges = [(i, 0, False, 0.5) for i in range(1, n)] + [(i, i % 7 + 1, False, 0.25) for i in range(8, n)] + [(i, 1000, True, 0.25) for i in range(1, n)]
+    trans = spark.createDataFrame(edges, "src long, dst long, dst_obs boolean, p double")
+    y = spark.createDataFrame([(1000, 0, 1.0), (1000, 1, 0.0)], "id long, class int, p double")
+    ids = spark.range(n).withColumnRenamed("id", "id")
+    runs = {}
+    for hub in (100_000, 10):
+        monkeypatch.setattr(P, "HUB_EDGES", hub)
+        res = P.offline_propagate(trans, y, ids, [0, 1], max_iter=6, tol=0.0)
+        runs[hub] = sorted((r["id"], r["class"], round(r["p"], 12)) for r in res.f.collect())
+    assert runs[10] == runs[100_000] and len(runs[10]) == 2 * n
+    many = list(range(150))  # more classes than a wide row has columns
+    y150 = spark.createDataFrame([(1000, c, float(c == 149)) for c in many], "id long, class int, p double")
+    wide = {(r["id"], r["class"]): r["p"] for r in P.offline_propagate(trans, y150, ids, many, max_iter=1).f.collect()}
+    assert len(wide) == 150 * n and wide[5, 149] == pytest.approx(0.25 + 0.5 / 150) and wide[5, 3] == pytest.approx(0.5 / 150)
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        graph = P._Graph(trans.where("not dst_obs"), [])
+        f = spark.createDataFrame([(i, 0, 0.5, 0.5) for i in range(n)], "id long, chunk int, c0 double, c1 double")
+        plan = P._step(graph, f, f, ["id"], ["c0", "c1"])._jdf.queryExecution().executedPlan().toString()
+        scan = next(k for k, x in enumerate(plan.splitlines()) if graph.name in x)
+        join = max(k for k, x in enumerate(plan.splitlines()[:scan]) if "Join" in x)
+        assert not any("Exchange" in x for x in plan.splitlines()[join:scan]), plan
+        graph.drop()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
