@@ -11,8 +11,11 @@ import string
 from dataclasses import dataclass
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from seedspread.functions.vectors import scale
 
@@ -29,14 +32,29 @@ PART_SCALE = 1000.0
 
 
 def letter_profile(text: Column) -> Column:
-    """L2-normalised counts of the letters a-z (either case) over the whole text, by built-in functions.
+    """L2-normalised counts of the letters a-z (either case) over the whole text.
 
-    Other letters (accents, other scripts) count for nothing: it is a fixture mapping that SQL can repeat.
+    One pass per text: the UTF-8 bytes are counted with ``numpy.bincount`` (an
+    ASCII letter is one byte and never occurs inside a multi-byte character), in
+    Arrow batches.
     """
-    count = lambda c: (F.length(text) - F.length(F.replace(F.replace(text, F.lit(c)), F.lit(c.upper())))).cast("double")
-    counts = F.when(text.isNotNull(), F.array(*[count(c) for c in LETTERS]))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+    lower = np.frombuffer(LETTERS.encode(), np.uint8)
+    upper = np.frombuffer(LETTERS.upper().encode(), np.uint8)
+
+    @pandas_udf("array<double>")
+    def _profile(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            c = np.bincount(np.frombuffer(t.encode("utf-8"), np.uint8), minlength=256)
+            v = (c[lower] + c[upper]).astype(np.float64)
+            n = np.sqrt((v * v).sum())
+            out.append(v / n if n > 0 else np.zeros(len(LETTERS)))
+        return pd.Series(out)
+
+    return _profile(text)
 
 
 @dataclass(frozen=True)
