@@ -27,20 +27,17 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedspread.llm.common import col
+from seedspread.llm.common import col, slices
 
 #: Texts above so many characters are encoded in pieces of about that size.
 PIECE_CHARS = 1 << 16
-#: So many different matches a worker remembers (some 100 MB).
-MEMO = 400_000
-#: Rows in an output batch.
-ROWS = 256
+#: So many different matches a worker remembers (some 25 MB).
+MEMO = 100_000
 
 
 def byte_chars() -> list[str]:
@@ -174,17 +171,6 @@ class Encoder:
         return b"".join(ids), np.concatenate(offsets)
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(model: str, pattern: str) -> Encoder:
-    """The encoder of a model, built once per Python worker."""
-    if (model, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model, pattern] = Encoder(model, pattern)
-    return _ENCODERS[model, pattern]
-
-
 class Vocabulary:
     """Ranks and split pattern, with the model that the driver has built from them."""
 
@@ -193,27 +179,29 @@ class Vocabulary:
         self.model = spark.sparkContext.broadcast(model_json(read_ranks(path)))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", spans_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", spans_col: str | None = None, packed_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds the ids of each whole text and, if ``spans_col`` is named, each token's start and end in characters (arrays).
 
-    ``keep`` names the input columns to return (all by default).
+    ``packed_col`` names a column for the ids as unsigned 32-bit little-endian integers, one
+    after another (binary), the form in which token files hold them.  ``keep`` names the
+    input columns to return (all by default).
     """
     model, pattern, spans = vocabulary.model, vocabulary.pattern, spans_col is not None
-    added = [ids_col, *([f"{spans_col}_start", f"{spans_col}_end"] if spans else [])]
+    lists_added = [ids_col, *([f"{spans_col}_start", f"{spans_col}_end"] if spans else [])]
+    added = [*lists_added, *([packed_col] if packed_col else [])]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     narrow = docs.select(*[col(c) for c in keep], F.coalesce(col(text_col), F.lit("")).alias("_encode_text"))
-    schema = T.StructType([*[f for f in narrow.schema if f.name in keep], *[T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in added]])
+    schema = T.StructType([*[f for f in narrow.schema if f.name in keep], *[T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in lists_added], *([T.StructField(packed_col, T.BinaryType())] if packed_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model.value, pattern)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                found = [own.encode(x, spans) for x in part.column(part.num_columns - 1).to_pylist()]
-                ends = pa.array(np.cumsum([0, *(len(x) // 4 for x, _ in found)]).astype(np.int32))
-                lists = [np.frombuffer(b"".join(x for x, _ in found), dtype="<i4"), *(np.concatenate([x for _, x in found]).T if spans else ())]
-                arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*keep, *added])
+        own = Encoder(model.value, pattern)  # one for each task: an idle worker holds nothing
+        for part in slices(batches):
+            found = [own.encode(x, spans) for x in part.column(part.num_columns - 1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(x) // 4 for x, _ in found)]).astype(np.int32))
+            lists = [np.frombuffer(b"".join(x for x, _ in found), dtype="<i4"), *(np.concatenate([x for _, x in found]).T if spans else ())]
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in lists]
+            packed = [pa.array([x for x, _ in found], pa.binary())] if packed_col else []
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays, *packed], names=[*keep, *added])
 
     return narrow.mapInArrow(run, schema)
 
@@ -232,7 +220,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_
         parts = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             parts[k] = bytes(to_byte[c] for c in token)
-        for batch in batches:
+        for batch in slices(batches):
             out = [b"".join([parts[k] for k in ids]) if ids is not None else b"" for ids in _lists(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, bytes_col])
 
@@ -244,9 +232,3 @@ def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
     values, ends, missing = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
     for k in range(len(column)):
         yield None if missing[k] else values[ends[k] : ends[k + 1]].tolist()
-
-
-@F.pandas_udf(T.BinaryType())
-def little_endian(ids: pd.Series) -> pd.Series:
-    """Ids as unsigned 32-bit little-endian integers, one after another."""
-    return ids.map(lambda x: np.asarray(x, dtype="<u4").tobytes())

@@ -25,8 +25,8 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     vocabulary = bpe.Vocabulary(spark, VOCABULARY, public_tokenizers.PATTERN)
-    both = bpe.decode(bpe.encode(docs, vocabulary, keep=["doc_id"]), vocabulary)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.decode(bpe.encode(docs, vocabulary, packed_col="packed", keep=["doc_id"]), vocabulary)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

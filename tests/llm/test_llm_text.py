@@ -168,8 +168,9 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, small, cases, empty):
     vocabulary = bpe.Vocabulary(spark, path, P.PATTERN)
     odd = spark.createDataFrame([(1, "<|endoftext|> café \U0001f44d\U0001f3fd ½Ⅷ \x1c\x85 � it's"), (2, "\U000325e5't ٠١ 　　x")], "doc_id long, text string")
     for docs in (small, cases, odd):
-        for r in bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary, spans_col="at"), vocabulary).collect():
+        for r in bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary, spans_col="at", packed_col="packed"), vocabulary).collect():
             text = r.text or ""
+            assert bytes(r.packed) == np.array(r.ids, "<u4").tobytes()
             assert r.ids == own.encode_ordinary(text)
             assert bytes(r.decoded) == text.encode()
             if len(text) < 10_000:
