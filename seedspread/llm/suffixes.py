@@ -3,8 +3,8 @@
 Prefix polynomial hashes (modulo 2^64, a random number for each byte value) give the hash
 of any substring in constant time, and a binary search over lengths the common extension
 of two suffixes.  A bottom-up mergesort orders suffixes with that comparison; both the
-searches and the merges run over whole arrays.  Equal hashes are not trusted: an extension
-is compared byte by byte before it counts, and mended where the bytes differ.
+searches and the merges run over whole arrays.  Equal hashes are not trusted: strings that
+they call equal are compared byte by byte before they count.
 """
 
 from __future__ import annotations
@@ -48,44 +48,45 @@ class Suffixes:
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length = data, length
         self.prefix, self.back = prefix_hashes(data), powers(len(data) + 1)[1]
+        self.windows = np.lib.stride_tricks.sliding_window_view(data, length)
 
     def _same(self, p: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether the hashes of the ``n`` bytes at ``p`` and at ``q`` agree."""
         return (self.prefix[p + n] - self.prefix[p]) * self.back[p] == (self.prefix[q + n] - self.prefix[q]) * self.back[q]
 
-    def _verified(self, p: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """``n``, or where the bytes before it differ, the place of the first that does."""
-        out = n.copy()
+    def equal(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether the first ``length`` bytes at ``p`` and at ``q`` are the same, byte by byte."""
+        out = np.zeros(len(p), bool)
         step = max(1, CHUNK // self.length)
-        reach = np.arange(self.length)
-        last = len(self.data) - 1
         for at in range(0, len(p), step):
-            a, b, m = p[at : at + step, None], q[at : at + step, None], n[at : at + step]
-            differ = (self.data[np.minimum(a + reach, last)] != self.data[np.minimum(b + reach, last)]) & (reach < m[:, None])
-            out[at : at + step] = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
+            out[at : at + step] = (self.windows[p[at : at + step]] == self.windows[q[at : at + step]]).all(axis=1)
         return out
 
-    def extension(self, p: np.ndarray, q: np.ndarray, verify: bool) -> np.ndarray:
-        """Bytes that the suffixes at ``p`` and at ``q`` have in common, ``length`` at most."""
-        low, high = np.zeros(len(p), np.int64), np.full(len(p), self.length, np.int64)
+    def extension(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at ``p`` and at ``q`` have in common by their hashes, ``length`` at most."""
+        found = np.full(len(p), self.length, np.int64)
+        differ = np.flatnonzero(~self._same(p, q, found))
+        p, q = p[differ], q[differ]
+        low, high = np.zeros(len(p), np.int64), np.full(len(p), self.length - 1, np.int64)
         while (low < high).any():
             middle = (low + high + 1) >> 1
             same = self._same(p, q, middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        return self._verified(p, q, low) if verify else low
+        found[differ] = low
+        return found
 
     def less(self, p: np.ndarray, q: np.ndarray, or_equal: bool) -> np.ndarray:
         """Whether the suffix at ``p`` comes before that at ``q`` (or is equal to it)."""
-        n = self.extension(p, q, verify=False)
-        short = n < self.length
+        n = self.extension(p, q)
         a, b = self.data[p + np.minimum(n, self.length - 1)], self.data[q + np.minimum(n, self.length - 1)]
-        # a hash that agrees by chance ends the search too late; such a pair is compared by bytes
-        wrong = short & (a == b)
-        if wrong.any():
-            n[wrong] = self._verified(p[wrong], q[wrong], np.full(wrong.sum(), self.length))
-            a, b = self.data[p + np.minimum(n, self.length - 1)], self.data[q + np.minimum(n, self.length - 1)]
-            short = n < self.length
-        return np.where(short, a < b, or_equal)
+        # hashes that agree by chance end the search too late: such a pair is compared by bytes
+        wrong = np.flatnonzero((n < self.length) & (a == b))
+        if len(wrong):
+            differ = self.windows[p[wrong]] != self.windows[q[wrong]]
+            n[wrong] = np.where(differ.any(axis=1), differ.argmax(axis=1), self.length)
+            at = np.minimum(n[wrong], self.length - 1)
+            a[wrong], b[wrong] = self.data[p[wrong] + at], self.data[q[wrong] + at]
+        return np.where(n < self.length, a < b, or_equal)
 
     def sorted(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Positions ``at`` in the order of their group (given in ascending order), then of their suffixes."""
@@ -95,6 +96,13 @@ class Suffixes:
         place = np.arange(len(at)) - first
         width, longest = 1, int(size.max()) if len(at) else 0
         while width < longest:
+            if width == 1:
+                # runs of one: a pair is in order or changes places
+                left = np.flatnonzero((place % 2 == 0) & (place + 1 < size))
+                swap = left[self.less(at[left + 1], at[left], or_equal=False)]
+                at[swap], at[swap + 1] = at[swap + 1], at[swap]
+                width = 2
+                continue
             moving = np.flatnonzero(size > width)
             run, base, inside = place[moving] // width, first[moving], place[moving] % width
             other = run ^ 1
@@ -129,8 +137,10 @@ def repeated(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -
     suffixes = Suffixes(data, length)
     order = suffixes.sorted(at, group)
     pair = np.flatnonzero(group[1:] == group[:-1])  # the sort keeps each group's places
-    equal = pair[suffixes.extension(order[pair], order[pair + 1], verify=True) == length]
+    equal = pair[suffixes.extension(order[pair], order[pair + 1]) == length]
+    equal = equal[suffixes.equal(order[equal], order[equal + 1])]
     twice = np.zeros(len(at), bool)
     twice[equal] = twice[equal + 1] = True
-    found = np.sort(order[twice])
-    return np.isin(at, found, assume_unique=False)
+    mark = np.zeros(len(data), bool)
+    mark[order[twice]] = True
+    return mark[at]
