@@ -13,7 +13,7 @@ keeps its ``k`` nearest.  The tables' finds are merged by query: a row counts on
 nearest ``k`` stay.  Neither candidates nor pairs are ever written.
 
 Hot buckets: of equal vectors only the ``k + 1`` smallest ids can be among the ``k``
-nearest of anything, so only these are indexed (limited before the shuffle); buckets
+nearest of anything, so only these, each once, are indexed (limited before the shuffle); buckets
 with more than ``BLOCK`` rows or probes are dealt to several tasks as blocks of rows
 times blocks of probes, without loss.  Queries for which the tables find fewer than
 ``k`` rows are compared with all rows in the same way, as one bucket in blocks.
@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, tables: int = 12,
 
     pack = lambda t: t.select("id", "vector").mapInArrow(packed, "length int, id long, vector binary")
     same = Window.partitionBy("vector").orderBy("id")
-    distinct = written(pack(part).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors")
+    distinct = written(pack(part).distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors")
     asked = written(pack(part.where("is_query")).dropDuplicates(["id", "vector"]), "queries")
 
     def hashed(probe: bool):

@@ -62,6 +62,18 @@ def test_neighbours_cases(spark, block, monkeypatch):
     assert neighbors.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    same = [(1, [1.0, 2.0, 3.0])] * 11 + [(k, [1.0, 2.0, 3.0]) for k in range(2, 51)]  # one id many times beside others with its vector
+    far = [(100 + k, (rng.normal(size=3) + 50).tolist()) for k in range(30)]
+    for rows in (same + far, 2 * (same[10:] + far)):  # and each row there twice
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbors.nearest(table, F.col("vec_id").isin(1, 7, 50), k=10).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == {q: [(k, 0.0) for k in range(1, 51) if k != q][:10] for q in (1, 7, 50)}
+
+
 def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour)
 
