@@ -97,6 +97,28 @@ def test_lsh_distances_exact_and_recall(spark):
     assert got == exact
 
 
+def test_lsh_recall_of_the_query_and_of_the_defaults(spark):
+    from seedspread.plans.catalog import QUERIES
+
+    pts = load_points(spark, SF_SMALL, "embeddings")
+    exact = {(r["src"], r["dst"]) for r in knn_join(pts, pts, 3, exclude_self=True).collect()}
+    for nn in (QUERIES["knn_approx"](spark, SF_SMALL), knn_join(pts, pts, 3, exclude_self=True, method="lsh")):
+        got = {(r["src"], r["dst"]) for r in nn.collect()}
+        assert len(got) == len(exact) and len(got & exact) / len(exact) >= 0.9
+
+
+def test_lsh_rows_with_too_few_in_their_buckets_meet_all_rows(spark):
+    # 2^16 buckets of a single table: nearly every row is alone in its bucket
+    rng = np.random.default_rng(7)
+    pts = spark.createDataFrame([(i, rng.normal(size=5).tolist(), i % 2) for i in range(60)], "id long, x array<double>, kind int")
+    key = lambda t: sorted((r["src"], r["kind"], r["rank"], r["dst"]) for r in t.collect())
+    for opts in ({"k": 3}, {"k": {0: 2, 1: 4}, "kind_col": "kind"}):
+        got = key(knn_join(pts, pts, exclude_self=True, method="lsh", lsh_tables=1, lsh_bits=16, **opts))
+        want = key(knn_join(pts, pts, exclude_self=True, **opts))
+        assert len(got) == len(want)
+        assert sum(a == b for a, b in zip(got, want, strict=True)) > 0.9 * len(want)
+
+
 def test_grouped_join_hot_group(spark):
     # one group holds most rows: it is cut into blocks, the result stays exact
     rows = [(0 if i < 300 else 1 + i % 5, i, [float(i % 17), float(i % 29)]) for i in range(400)]
