@@ -53,12 +53,17 @@ SYLLABLES = {
     "cyrillic": ("ба бе бо ва ве ви га да де ди за зо ка ко ла ле ли ма ме ми на не ни но па ра ре ри ро са се си та те ти то".split(), {"f": ["на", "ла", "ра", "ия"], "m": ["н", "р", "слав", "к"], "n": ["ль", "нь", "р", "ко"]}),
     "greek": ("βα βε γα δα δη ζα θα θε κα κο λα λε λι μα με μι να νε νι πα πε ρα ρο σα σι τα τε το φα".split(), {"f": ["να", "λα", "ρα", "ια"], "m": ["νος", "ρος", "λης", "κης"], "n": ["λ", "ν", "ρ", "κο"]}),
 }
+#: What doesn't end an unquoted secret, and the signs that short secrets get.
+CLOSING, SIGNS = ".,;:)]}\\", "!#$%*+-./?@^_~"
 _TITLES = {t: g for g, titles in ADDRESS.items() for t in titles}
 _HINTS = tuple(sorted({t[:2] for t in _TITLES}))
 _NAME = r"[A-ZÀ-ÖØ-ÞŁŚŠŽŻČА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*+(?:['’-][^\W\d_]++)*+"
 _KINDS: dict[str, re.Pattern] = {
     "email": re.compile(r"(?<![\w.%+-])[\w%+-][\w.%+-]*+@[\w-]++(?:\.[\w-]++)++"),
-    "secret": re.compile(r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:(?<![a-z])(?:token|password|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[0-9A-Za-z_/+-]{8,512}+)"),
+    "secret": re.compile(
+        r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:(?<![a-z])(?:token|password|secret|api[_-]?key))(?:\\?[\"'])?\s*+[=:]=?>?\s*+"
+        r"(?:(?P<quote>[\"'`])(?P<quoted>(?:\\[^\n]|(?!(?P=quote))[^\\\n])++)(?P=quote)|(?:\\?[\"'`])?(?:(?i:bearer|basic)[ \t]++)?(?P<value>(?:[^\s\"'`<>,;&]|[,;&](?![\w.-]++[\"']?\s{0,3}[=:])){8,}+))"
+    ),
     "phone": re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}+(?![\d])|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"),
     "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]|[ -]\d)"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
@@ -90,7 +95,9 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         if (kind == "email" and "@" not in text) or (kind in ("phone", "card", "ip") and not digits) or (kind == "person" and not any(h in text for h in _HINTS)):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span("value") if "value" in pattern.groupindex and m["value"] else m.span()
+            a, b = next((m.span(g) for g in ("value", "quoted") if g in pattern.groupindex and m[g]), m.span())
+            if kind == "secret" and m["value"]:
+                b = a + len(m["value"].rstrip(CLOSING))
             value = text[a:b]
             if kind == "email":
                 parts = [(a, b, kind, value.lower())]
@@ -103,7 +110,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
                 octets = [int(x) for x in value.split(".")]
                 parts = [(a, b, kind, ".".join(map(str, octets)))] if max(octets) < 256 else []
             elif kind == "secret":
-                parts = [(a, b, kind, value)]
+                parts = [(a, b, kind, value)] if (m["quoted"] and value.strip()) or len(value) >= 8 else []
             else:
                 words = [(a + w.start(), a + w.end()) for w in re.finditer(_NAME, value)]
                 gender = _TITLES[m["title"]]
@@ -140,10 +147,23 @@ def _word(draw: Draw, letters: int, gender: str = "n", kind: str = "latin") -> s
 
 
 def _like(value: str, draw: Draw) -> str:
-    """Another string of the same character classes; hexadecimal ones stay hexadecimal."""
+    """Another string of the same character classes; hexadecimal ones stay hexadecimal.
+
+    Signs and escapes stay where there are eight letters and digits; else signs are drawn too, and a short value grows to eight.
+    """
     hexadecimal = re.fullmatch(r"[0-9a-f]+", value)
-    letter = lambda c: "abcdef"[draw(6)] if hexadecimal else chr(ord("a") + draw(26))
-    return "".join(str(draw(10)) if c.isdigit() else letter(c) if c.islower() else chr(ord("A") + draw(26)) if c.isupper() else c for c in value)
+    signs = sum(map(str.isalnum, value)) < 8
+    letter = lambda: "abcdef"[draw(6)] if hexadecimal else chr(ord("a") + draw(26))
+
+    def other(c: str) -> str:
+        if c.isdigit():
+            return str(draw(10))
+        if c.isalpha():
+            return chr(ord("A") + draw(26)) if c.isupper() else letter()
+        return c if c.isspace() or not signs else SIGNS[draw(len(SIGNS))]
+
+    out = [x if x[0] == "\\" and not signs else other(x[-1]) for x in re.findall(r"(?s)\\.|.", value)]
+    return "".join(out + [letter() for _ in range(8 - sum(not x.isspace() for x in out))])
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:

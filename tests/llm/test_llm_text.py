@@ -390,6 +390,35 @@ def test_surrogates_gender_script_and_parts():
     assert all(surrogates.script(m[k].lower()) == s for k, s in ((1, "latin"), (4, "cyrillic"), (5, "cyrillic"), (6, "greek")))
 
 
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c="
+
+
+@pytest.mark.parametrize(
+    "before, secret, after",
+    [
+        ("token: ", "aB3_" * 175, " end"),
+        ("token: ", JWT, ". Then"),
+        ("token=Bearer ", JWT, ""),
+        ("password = ", "P@ssw0rd!23", " x"),
+        ('{"password": "', "abcdefgh1", '", "user": 1}'),
+        ('{\\"password\\": \\"', "abcdefgh1", '\\"}'),
+        ("api_key     =     ", "abcd1234efgh", ", next"),
+        ("secret: '", 'it "is" a, long; one', "' x"),
+        ('password="', "ab1", '"'),
+        ('password="', "!@#$%^&*", '"'),
+        ("https://a.example/?token=", "abcd.efgh~1234", "&page=2"),
+        ("(token=", "abcdefgh1", ")"),
+        ("token: \"", "unclosed_secret", "\nnext line"),
+    ],
+)
+def test_surrogates_replace_whole_secrets(before, secret, after):
+    new, spans = surrogates.rewrite(before + secret + after, KEY, {})
+    assert [s["kind"] for s in spans] == ["secret"] and new.startswith(before) and new.endswith(after)
+    got = new[len(before) : len(new) - len(after)]
+    assert len(got) == max(8, len(secret)) and got != secret and not any(secret[k : k + 8] in new for k in range(max(1, len(secret) - 7)))
+    assert surrogates.mentions("token: short, password: x, token count = 5, password=''") == []
+
+
 def test_surrogates_collisions_are_drawn_again(spark, monkeypatch):
     import pandas as pd
 
