@@ -18,7 +18,7 @@ first attempt by itself, so only entities of later attempts, some in a million,
 told: they are broadcast up to ``TOLD`` rows; above, they go to their documents by a join.
 
 Defined cases: a null text stays null and has no mention; an empty text stays empty;
-overlapping finds go to the leftmost, then to the kind named first above; equal texts get
+overlapping finds go to the leftmost, then to the longest, then to the kind named first above; equal texts get
 equal results.  Added columns replace input columns of the same name.
 """
 
@@ -64,7 +64,12 @@ _KINDS: dict[str, re.Pattern] = {
         r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:(?<![a-z])(?:token|password|secret|api[_-]?key))(?:\\?[\"'])?\s*+[=:]=?>?\s*+"
         r"(?:(?P<quote>[\"'`])(?P<quoted>(?:\\[^\n]|(?!(?P=quote))[^\\\n])++)(?P=quote)|(?:\\?[\"'`])?(?:(?i:bearer|basic)[ \t]++)?(?P<value>(?:[^\s\"'`<>,;&]|[,;&](?![\w.-]++[\"']?\s{0,3}[=:])){8,}+))"
     ),
-    "phone": re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}+(?![\d])|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"),
+    "phone": re.compile(
+        r"(?<![\w+])\+\d{1,3}[ \xa0.-]?(?:\(\d{1,4}\)|\d{2,4}|\d(?=(?:[ \xa0.-]?\d{2,4}){3}))(?:[ \xa0.-]?\d{2,4}){1,6}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+        r"|(?<![\w(])\(0\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w|[.,]\d)"
+        r"|(?<![\w.,+/-])(?:1[.-])?\d{3}([.-])\d{3}\1\d{4}(?!\w|[.,/-]\d)"
+        r"|(?<![\w.,+:/-])(?!\d\d([ .-])\d\d\2\d{4}(?!\d))(?!\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))0\d{1,4}(?:(?:[ \xa0-]\d{2,4}){2,4}|(?:\.\d{2,4}){2,4}|[ /-]\d{5,8})(?!\w|[.,:/-]\d|[ \xa0]\d)"
+    ),
     "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]|[ -]\d)"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
     "person": re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\.?[ \t](?P<value>{_NAME}(?:[ \t]{_NAME}){{0,2}})"),
@@ -102,7 +107,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "email":
                 parts = [(a, b, kind, value.lower())]
             elif kind == "phone":
-                parts = [(a, b, kind, re.sub(r"[^\d+]", "", value))]
+                number = re.sub(r"[^\d+]", "", value)
+                parts = [(a, b, kind, number)] if value[0] in "+(" or 9 <= len(number) <= 12 else []
             elif kind == "card":
                 number = re.sub(r"\D", "", value)
                 parts = [(a, b, kind, number)] if luhn(number) else []
@@ -118,7 +124,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             if parts:
                 found.append((a, order, b, parts))
     out, at = [], 0
-    for a, _, b, parts in sorted(found, key=lambda x: x[:2]):
+    for a, _, b, parts in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
         if a >= at:
             out += parts
             at = b
@@ -174,7 +180,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         pieces = "".join(_word(draw, len(p)) if p[0].isalpha() else "".join(str(draw(10)) if c.isdigit() else c for c in p) for p in re.findall(r"[^\W\d_]+|[\W\d_]+", local))
         return f"{pieces}@{_word(Draw(key, 'domain', domain, 0), 8)}.example.{('com', 'net', 'org')[Draw(key, 'ending', domain, 0)(3)]}"
     if kind == "phone":
-        country = re.match(r"\+(?:1|7|\d{2})", entity)
+        country = re.match(r"\+(?:1|7|\d{2})|0", entity)
         fixed = country.group() if country else ""
         rest = len(entity) - len(fixed)
         return fixed + "".join(str(2 + draw(8)) if k == 0 else str(draw(10)) for k in range(rest))

@@ -419,6 +419,23 @@ def test_surrogates_replace_whole_secrets(before, secret, after):
     assert surrogates.mentions("token: short, password: x, token count = 5, password=''") == []
 
 
+@pytest.mark.parametrize(
+    "phone",
+    ["555-123-4567", "555.123.4567", "1-800-555-1234", "020 7946 0958", "(020) 7946 0958", "01 23 45 67 89", "01.23.45.67.89", "030 12345678", "030/12345678", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "+49 30 12345", "+1 (743) 555-3824", "(743) 555-3824", "+33\xa01\xa023\xa045\xa067\xa089"],
+)
+def test_surrogates_find_phone_forms(phone):
+    new, spans = surrogates.rewrite(f"call {phone}, or {phone}.", KEY, {})
+    m = re.fullmatch(r"call (.+), or (.+)\.", new)
+    assert [s["kind"] for s in spans] == ["phone"] * 2 and m[1] == m[2] != phone
+    assert re.sub(r"\d", "d", m[1]) == re.sub(r"\d", "d", phone) and m[1][0] in (phone[0], *"23456789")
+
+
+def test_surrogates_take_no_dates_and_decimals_for_phones():
+    for text in ("01-02-2024", "01.02.2024 10:30", "2024-01-02", "01 02 2024 12", "0.123.4567", "3.555.123.4567", "1,555.123.4567", "555.123.4567.8", "012.345", "555-123-45678", "x555-123-4567", "10:02-03 04 05", "2024-01-02 03:04:05", "007 12", "01/02/2024", "+1 2 34"):
+        assert surrogates.mentions(f"on {text} at") == [], text
+    assert [m[2] for m in surrogates.mentions("010.20.30.40 and 4785 3805 9239 1139")] == ["ip", "card"]
+
+
 def test_surrogates_collisions_are_drawn_again(spark, monkeypatch):
     import pandas as pd
 
