@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent, distinct, the same for every mention.
 
 Detected are e-mail addresses, phone numbers, payment card numbers (Luhn), IPv4
-addresses, secrets (keys, tokens, passwords) and persons after a form of address.  A
+addresses, secrets (keys, tokens, passwords) and persons after a form of address; the full and family
+names so found are names in the whole document.  A
 mention's entity is its normal form: separators and upper case don't make another one.
 
 The surrogate is drawn from HMAC-SHA256 of a secret key over kind, entity and attempt, and
@@ -57,7 +58,9 @@ SYLLABLES = {
 CLOSING, SIGNS = ".,;:)]}\\", "!#$%*+-./?@^_~"
 _TITLES = {t: g for g, titles in ADDRESS.items() for t in titles}
 _HINTS = tuple(sorted({t[:2] for t in _TITLES}))
-_NAME = r"[A-ZÀ-ÖØ-ÞŁŚŠŽŻČА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*+(?:['’-][^\W\d_]++)*+"
+_NAME = r"[A-ZÀ-ÖØ-ÞŁŚŠŽŻČА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*+(?:(?!['’]s(?!\w))['’-][^\W\d_]++)*+"
+_WORD = re.compile(rf"(?<!\w){_NAME}")
+_PIECE = re.compile(r"[^\W\d_]+")
 _KINDS: dict[str, re.Pattern] = {
     "email": re.compile(r"(?<![\w.%+-])[\w%+-][\w.%+-]*+@[\w-]++(?:\.[\w-]++)++"),
     "secret": re.compile(
@@ -75,6 +78,8 @@ _KINDS: dict[str, re.Pattern] = {
     "person": re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\.?[ \t](?P<value>{_NAME}(?:[ \t]{_NAME}){{0,2}})"),
 }
 
+PERSON = list(_KINDS).index("person")
+
 
 def luhn(digits: str) -> bool:
     """Whether the last of a card number's digits is its check digit."""
@@ -87,6 +92,32 @@ def script(word: str) -> str:
     return "greek" if 0x370 <= first < 0x400 else "cyrillic" if 0x400 <= first < 0x530 else "latin"
 
 
+def _bare(text: str, persons: list[list[tuple]]) -> Iterator[list[tuple]]:
+    """Mentions without a form of address of family names found with one, and of the given names found that stand before them."""
+    families, given = {}, {}
+    for *first, last in persons:
+        families[last[3]] = last[2]
+        for x in first:
+            given.setdefault((x[3], last[3]), x[2])
+            given.setdefault(x[3], x[2])
+    words = [m.span() for m in _WORD.finditer(text)]
+    for k, (a, b) in enumerate(words):
+        whole = text[a:b].lower() in families
+        for x, y in [(a, b)] if whole else [(a + m.start(), a + m.end()) for m in _PIECE.finditer(text[a:b])]:
+            family = text[x:y].lower()
+            if family not in families or not text[x].isupper():
+                continue
+            parts, j = [(x, y, families[family], family)], k - 1
+            while j >= 0 and x == a and text[words[j][1] : parts[0][0]].isspace():
+                name = text[slice(*words[j])].lower()
+                kind = given.get((name, family)) or given.get(name)
+                if not kind:
+                    break
+                parts.insert(0, (*words[j], kind, name))
+                j -= 1
+            yield parts
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, entity)`` of each find, in order and apart.
 
@@ -123,6 +154,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
                 parts = [(x, y, f"{'family' if k == len(words) - 1 else 'given'}:{gender if k < len(words) - 1 else 'n'}:{script(text[x:y])}", text[x:y].lower()) for k, (x, y) in enumerate(words)]
             if parts:
                 found.append((a, order, b, parts))
+    named = [x for x in found if x[1] == PERSON]
+    found += [(parts[0][0], len(_KINDS), parts[-1][1], parts) for parts in (_bare(text, [x[3] for x in named]) if named else [])]
     out, at = [], 0
     for a, _, b, parts in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
         if a >= at:

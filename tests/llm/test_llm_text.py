@@ -436,6 +436,19 @@ def test_surrogates_take_no_dates_and_decimals_for_phones():
     assert [m[2] for m in surrogates.mentions("010.20.30.40 and 4785 3805 9239 1139")] == ["ip", "card"]
 
 
+def test_surrogates_of_bare_mentions():
+    text = "Kowalska came. Mrs Anna Kowalska, Mrs Kowalska's car; Anna Kowalska and Anna\nKowalska. KOWALSKA said: Kowalska's, a Kowalska-led team, Anna, kowalska, Kowalskaya. г-жа Анна Иванова. Анна Иванова. Иванова"
+    new, spans = surrogates.rewrite(text, KEY, {})
+    m = re.fullmatch(r"(\w+) came\. Mrs (\w+) (\w+), Mrs (\w+)'s car; (\w+) (\w+) and (\w+)\n(\w+)\. (\w+) said: (\w+)'s, a (\w+)-led team, Anna, kowalska, Kowalskaya\. г-жа (\w+) (\w+)\. (\w+) (\w+)\. (\w+)", new)
+    family, given = m[3], m[2]
+    assert {m[k] for k in (1, 4, 6, 8, 10, 11)} == {family} != {"Kowalska"} and m[9] == family.upper() and {m[5], m[7]} == {given} != {"Anna"}
+    assert (m[14], m[15], m[16]) == (m[12], m[13], m[13]) and "Иванова" not in new
+    assert [new[s["start"] : s["end"]] for s in spans] == [m[k] for k in range(1, 17)]
+    # of two persons with one given name, each keeps the own surrogate
+    m = re.fullmatch(r"Mr (\w+) (\w+), Mrs (\w+) (\w+): (\w+) (\w+), (\w+) (\w+)", surrogates.rewrite("Mr Andrea Rossi, Mrs Andrea Bianchi: Andrea Bianchi, Andrea Rossi", KEY, {})[0])
+    assert (m[5], m[6], m[7], m[8]) == (m[3], m[4], m[1], m[2]) and m[1] != m[3]
+
+
 def test_surrogates_collisions_are_drawn_again(spark, monkeypatch):
     import pandas as pd
 
