@@ -12,7 +12,7 @@ valid check digit, an IP address its octets, a secret its character classes; a n
 gender (form of address), script and number of parts, each part replaced alike wherever it occurs.
 A mention's own format is then put on: separators, capitals.
 
-Collision checks: all entities of the corpus are drawn up, and an entity whose surrogate
+Collision checks: all entities of the corpus, the domains of addresses too, are drawn up, and an entity whose surrogate
 is another entity's, or is itself an entity of the corpus, is drawn again (the smallest
 entity keeps a shared surrogate) until none is left.  Every task can draw a
 first attempt by itself, so only entities of later attempts, some in a million, need to be
@@ -205,13 +205,15 @@ def _like(value: str, draw: Draw) -> str:
     return "".join(out + [letter() for _ in range(8 - sum(not x.isspace() for x in out))])
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """What stands for an entity, in normal form."""
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, of_domain: int = 0) -> str:
+    """What stands for an entity, in normal form; an address has its domain's surrogate of the attempt ``of_domain``."""
     draw = Draw(key, kind, entity, attempt)
     if kind == "email":
-        local, _, domain = entity.rpartition("@")
+        local = entity.rpartition("@")[0]
         pieces = "".join(_word(draw, len(p)) if p[0].isalpha() else "".join(str(draw(10)) if c.isdigit() else c for c in p) for p in re.findall(r"[^\W\d_]+|[\W\d_]+", local))
-        return f"{pieces}@{_word(Draw(key, 'domain', domain, 0), 8)}.example.{('com', 'net', 'org')[Draw(key, 'ending', domain, 0)(3)]}"
+        return f"{pieces}@{surrogate(key, 'domain', domain(entity), of_domain)}"
+    if kind == "domain":  # longer from attempt to attempt, so that there are enough
+        return f"{_word(draw, 8 + 2 * attempt)}.example.{('com', 'net', 'org')[Draw(key, 'ending', entity, attempt)(3)]}"
     if kind == "phone":
         country = re.match(r"\+(?:1|7|\d{2})|0", entity)
         fixed = country.group() if country else ""
@@ -244,7 +246,8 @@ def rewrite(text: str | None, key: bytes, attempts: Mapping[tuple[str, str], int
     """The text with surrogates, and kind, start and end of each in it."""
     out, spans, at, length = [], [], 0, 0
     for a, b, kind, entity in mentions(text):
-        new = dressed(surrogate(key, kind, entity, attempts.get((kind, entity), 0)), kind, text[a:b])
+        of_domain = [attempts.get(("domain", domain(entity)), 0)] if kind == "email" else []
+        new = dressed(surrogate(key, kind, entity, attempts.get((kind, entity), 0), *of_domain), kind, text[a:b])
         out += [text[at:a], new]
         length += a - at
         spans.append({"kind": kind.partition(":")[0], "start": length, "end": length + len(new)})
@@ -253,36 +256,58 @@ def rewrite(text: str | None, key: bytes, attempts: Mapping[tuple[str, str], int
     return (text if not out else "".join([*out, text[at:]])), spans
 
 
+def domain(address: str) -> str:
+    return address.rpartition("@")[2]
+
+
+def known_in(text: str | None) -> list[tuple[str, str]]:
+    """The distinct ``(kind, entity)`` of a text; the domain of an address is one of its own."""
+    found = {(kind, entity) for _, _, kind, entity in mentions(text)}
+    return sorted(found | {("domain", domain(entity)) for kind, entity in found if kind == "email"})
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct ``(kind, entity)`` of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            seen = sorted({(kind, entity) for text in batch.column(0).to_pylist() for _, _, kind, entity in mentions(text)})
+            seen = sorted({x for text in batch.column(0).to_pylist() for x in known_in(text)})
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(2)], names=["kind", "entity"])
 
     return docs.select(col(text_col).alias("text")).mapInArrow(run, "kind string, entity string").distinct()
 
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
-    """Adds the surrogate of each ``(kind, entity, attempt)``."""
+    """Adds the surrogate of each ``(kind, entity, attempt, of_domain)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            new = [surrogate(key, *x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "entity", "attempt", "surrogate"])
+            new = [surrogate(key, *(x if x[3] else x[:3])) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "entity", "attempt", "of_domain", "surrogate"])
 
-    return rows.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, surrogate string")
+    return rows.select("kind", "entity", "attempt", "of_domain").mapInArrow(run, "kind string, entity string, attempt int, of_domain int, surrogate string")
 
 
 def assigned(known: DataFrame, key: bytes) -> DataFrame:
-    """``(kind, entity, attempt, surrogate)``: of one class (names: one gender and script) no two surrogates are equal, and none is an entity."""
+    """``(kind, entity, attempt, surrogate)``: of one class (names: one gender and script) no two surrogates are equal, and none is an entity.
+
+    Addresses come after the domains, as their surrogates hold those of the domains.
+    """
+    first = _settled(known.where("kind <> 'email'").withColumn("of_domain", F.lit(0)), key)
+    domains = first.where("kind = 'domain' and attempt > 0").select(F.col("entity").alias("domain"), F.col("attempt").alias("of_domain"))
+    mails = known.where("kind = 'email'").withColumn("domain", F.substring_index("entity", "@", -1)).join(domains, "domain", "left")
+    then = _settled(mails.select("kind", "entity", F.coalesce("of_domain", F.lit(0)).alias("of_domain")), key)
+    return first.unionByName(then).drop("of_domain")
+
+
+def _settled(known: DataFrame, key: bytes) -> DataFrame:
+    """The last attempt of each ``(kind, entity, of_domain)``, when nothing collides any more."""
     now = written(_drawn(known.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(ATTEMPTS):
         owners = now.groupBy("kind", "surrogate").agg(F.min("entity").alias("owner"))
         real = known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         marked = now.join(owners, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        clash = written(marked.where(F.col("real") | (F.col("owner") != F.col("entity"))).select("kind", "entity", F.col("attempt") + 1), "clashes").toDF("kind", "entity", "attempt")
+        clash = written(marked.where(F.col("real") | (F.col("owner") != F.col("entity"))).select("kind", "entity", F.col("attempt") + 1, "of_domain"), "clashes").toDF("kind", "entity", "attempt", "of_domain")
         if clash.isEmpty():
             return now
         rest = now.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti")
@@ -330,7 +355,7 @@ def _with_own(rows: DataFrame, later: DataFrame, id_col: str, text_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [(k, x) for k, t in enumerate(batch.column(3).to_pylist()) for x in sorted({(kind, entity) for _, _, kind, entity in mentions(t)})]
+            found = [(k, x) for k, t in enumerate(batch.column(3).to_pylist()) for x in known_in(t)]
             owner = pa.array([k for k, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in range(3)], *[pa.array([x[k] for _, x in found], pa.string()) for k in range(2)]], names=schema.names)
 

@@ -461,6 +461,19 @@ def test_surrogates_collisions_are_drawn_again(spark, monkeypatch):
     assert real is not surrogates.surrogate
 
 
+@pytest.mark.parametrize("told", [100_000, -1])
+def test_domains_stay_distinct(spark, told, monkeypatch):
+    monkeypatch.setattr(surrogates, "TOLD", told)
+    real = surrogates._word
+    # first attempts at a domain have a single syllable and few endings
+    monkeypatch.setattr(surrogates, "_word", lambda draw, letters, *rest: "ba" + "lnr"[draw(3)] if letters == 8 and b"domain" in draw.what else real(draw, letters, *rest))
+    docs = spark.createDataFrame([(k, f"write to Ann@site{k}.example.org or bob@site{k}.example.org") for k in range(30)], "doc_id long, text string")
+    found = {r.doc_id: re.findall(r"[^\s@]+@(\S+)", r.text) for r in surrogates.replaced(docs, KEY).collect()}
+    assert all(len(d) == 2 and d[0] == d[1] for d in found.values()) and len({d[0] for d in found.values()}) == 30
+    known = surrogates.entities(docs)
+    assert known.where("kind = 'domain'").count() == 30 and known.where("kind = 'email'").count() == 60
+
+
 @pytest.mark.parametrize("told", [100_000, -1])
 def test_replaced_documents(spark, cases, empty, told, monkeypatch):
     monkeypatch.setattr(surrogates, "TOLD", told)
