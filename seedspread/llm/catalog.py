@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedspread.llm import bpe, linededup, mixing, neighbors, quality, repeats, simhash, surrogates, toxicity, urlfilter
+from seedspread.llm import bpe, filteraudit, linededup, mixing, neighbors, quality, recompression, repeats, simhash, surrogates, toxicity, urlfilter, vectorcodes
 from seedspread.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -114,6 +114,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the windows of 13 words that an earlier one has."""
+    cut = recompression.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's code and error, and the digest of the codebooks."""
+    coded, books = vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each order, by source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_surrogates, op2_mixing, op3_line_dedup, op4_ann, op5_url_filter, op6_quality, op7_byte_bpe, op8_toxicity, op9_suffix_dedup, op10_simhash)
+    f.__name__: f for f in (op1_surrogates, op2_mixing, op3_line_dedup, op4_ann, op5_url_filter, op6_quality, op7_byte_bpe, op8_toxicity, op9_suffix_dedup, op10_simhash, op11_recompression, op12_vector_codes, op13_filter_audit)
 }

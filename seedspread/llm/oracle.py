@@ -141,4 +141,83 @@ FROM measured m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source I
 LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality": OP6}
+OP11 = rf"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), starts AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 11))) AS i FROM split)
+), least AS (
+  SELECT k, min(doc_id) AS m FROM starts GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT s.doc_id, unnest(range(s.i, s.i + 13)) AS j FROM starts s JOIN least USING (k) WHERE s.doc_id > m
+), marked AS (
+  SELECT w.doc_id, w.j, w.word, g.j IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM split) w LEFT JOIN gone g USING (doc_id, j)
+), cut AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN cut USING (doc_id)
+"""
+
+
+def _codes(rounds: int = 2) -> str:
+    """The rounds of assignment and means, one CTE after the other; a part's entry is the least of distance * 64 + index."""
+    out = [
+        "vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "parts AS (SELECT vec_id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM vectors, range(16) r(p))",
+        "firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM vectors ORDER BY vec_id LIMIT 64)",
+        "book0 AS (SELECT p, e, x AS c FROM parts JOIN firsts USING (vec_id))",
+    ]
+    distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        out.append(f"near{k} AS (SELECT vec_id, p, any_value(x) AS x, min(CAST({distance} AS BIGINT) * 64 + e) AS best FROM parts JOIN book{k} USING (p) GROUP BY vec_id, p)")
+        if k < rounds:
+            out.append(f"sums{k} AS (SELECT p, best % 64 AS e, j, sum(y) AS s, count(*) AS n FROM (SELECT p, best, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM near{k}) GROUP BY ALL)")
+            out.append(f"means{k} AS (SELECT p, e, list(CAST(floor((s - ((s % n) + n) % n) / n) AS BIGINT) ORDER BY j) AS m FROM sums{k} GROUP BY p, e)")
+            out.append(f"book{k + 1} AS (SELECT p, e, coalesce(m, c) AS c FROM book{k} LEFT JOIN means{k} USING (p, e))")
+    return ",\n".join(out)
+
+
+OP12 = f"""
+WITH {_codes()}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM near2 JOIN vectors USING (vec_id) GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded
+"""
+
+OP13 = rf"""
+WITH known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM split LEFT JOIN known USING (doc_id)
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask
+), f AS (SELECT unnest(range(5)) AS f), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: chr(CAST(65 + x AS INTEGER))), '') AS filter_order, CAST(s AS INTEGER) AS step, CAST(1 << o[s] AS BIGINT) AS bit,
+         CAST(coalesce(list_sum(list_transform(o[1:s - 1], lambda x: 1 << x)), 0) AS BIGINT) AS before
+  FROM orders, range(1, 6) r(s)
+), audited AS (
+  SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM audited
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality": OP6, "op11_recompression": OP11, "op12_vector_codes": OP12, "op13_filter_audit": OP13}
