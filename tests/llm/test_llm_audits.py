@@ -156,8 +156,8 @@ def test_bounds_spare_distances():
 
 
 def audited(docs, labels):
-    good = {i for i, q, t in labels if q == 1}
-    toxic = {i for i, q, t in labels if t == 1}
+    good = {i for i, q, t in labels if q == 1 and i is not None}
+    toxic = {i for i, q, t in labels if t == 1 and i is not None}
     least = {}
     place = lambda i: (i is None, i or 0)
     for i, text, _ in docs:
