@@ -55,6 +55,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def written_alone(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, and the shuffle files of the job go when the table is there.
+
+    They stay otherwise until the driver's garbage collector finds them unused.  For plans
+    that are run once; nothing is lost, as later steps read the table.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files behind a table that ``written`` returned; later reads of it fail."""
     path = getattr(df, "_written_path", None)

@@ -18,7 +18,7 @@ below find out globally which names several documents share.
    and then left symbols) are named as a whole.  Names are counted over the corpus; windows
    whose name occurs once have no twin, which leaves little more than what is repeated.
 2. The texts that are left are compressed for ``ROUNDS`` rounds, to symbols of some
-   sixteen words.  Each high-level symbol, with the words that the windows starting
+   forty words.  Each high-level symbol, with the words that the windows starting
    in it reach, is cut out; equal ones are a class, with its smallest document.  Long
    repeats are runs of shared classes, however many documents have them: of a class only
    one text is looked at again.
@@ -51,10 +51,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedspread.llm.common import col, forget, slices, written
+from seedspread.llm.common import col, forget, slices, written_alone
 from seedspread.llm.suffixes import powers, prefix_hashes
 
-WINDOW, ROUNDS = 13, 10
+WINDOW, ROUNDS = 13, 13
 #: Bytes of text that a task works on at once (a longer text is alone).
 HELD = 1 << 21
 KEY = ["_p_id", "_p_text"]
@@ -256,12 +256,12 @@ def _members(docs: DataFrame, choices: DataFrame, window: int, rounds: int) -> D
 
 
 def _windows(classes: DataFrame, window: int) -> DataFrame:
-    """``(w1, w2, least, d1, d2, at)``: the digest of each window of each class."""
+    """``(w1, w2, least, class, at)``: the digest of each window of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             digests, many = [], []
-            for t in part.column(3).to_pylist():
+            for t in part.column(2).to_pylist():
                 ends = [k for k, x in enumerate(t) if x == 0x20] + [len(t)]
                 starts = [0, *(k + 1 for k in ends[:-1])]
                 digests += [xxhash.xxh3_128_digest(t[x:y]) for x, y in zip(starts, ends[window - 1 :], strict=False)]
@@ -269,18 +269,18 @@ def _windows(classes: DataFrame, window: int) -> DataFrame:
             w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             owner = pa.array(np.repeat(np.arange(len(many)), many))
             at = np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *[part.column(k).take(owner) for k in (2, 0, 1)], pa.array(at.astype(np.int32))], names=["w1", "w2", "least", "d1", "d2", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *[part.column(k).take(owner) for k in (1, 0)], pa.array(at.astype(np.int32))], names=["w1", "w2", "least", "class", "at"])
 
-    return classes.select(*CLASS, "least", "words").mapInArrow(run, "w1 long, w2 long, least long, d1 long, d2 long, at int")
+    return classes.select("class", "least", "words").mapInArrow(run, "w1 long, w2 long, least long, class long, at int")
 
 
 def _hits(members: DataFrame, window: int) -> DataFrame:
     """``(key, start, n, windows)`` of each stretch with repeated windows; null stands for all of them."""
-    classes = written(members.groupBy(*CLASS).agg(F.min(KEY[0]).alias("least"), F.max(KEY[0]).alias("most"), F.first("words").alias("words")), "passage-classes")
+    classes = written_alone(members.groupBy(*CLASS).agg(F.min(KEY[0]).alias("least"), F.max(KEY[0]).alias("most"), F.first("words").alias("words")).withColumn("class", F.monotonically_increasing_id()), "passage-classes")
     windows = _windows(classes, window)
-    shared = written(windows.groupBy("w1", "w2").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "passage-windows")
-    some = windows.join(shared, ["w1", "w2"]).where("lo < least").groupBy(*CLASS).agg(F.sort_array(F.collect_list("at")).alias("windows"))
-    verdicts = written(classes.select(*CLASS, "least", "most").join(some, CLASS, "left").where("least < most or windows is not null").select(*CLASS, "least", "windows"), "passage-verdicts")
+    shared = written_alone(windows.groupBy("w1", "w2").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "passage-windows")
+    some = windows.join(shared, ["w1", "w2"]).where("lo < least").groupBy("class").agg(F.sort_array(F.collect_list("at")).alias("windows"))
+    verdicts = written_alone(classes.select(*CLASS, "class", "least", "most").join(some, "class", "left").where("least < most or windows is not null").select(*CLASS, "least", "windows"), "passage-verdicts")
     met = members.select(*KEY, "start", "n", *CLASS).join(verdicts, CLASS)
     rest = F.when(F.col(KEY[0]) == F.col("least"), F.col("windows"))
     return met.where((F.col(KEY[0]) > F.col("least")) | F.col("windows").isNotNull()).select(*KEY, "start", "n", rest.alias("windows"))
@@ -292,9 +292,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     keep = [c for c in ([id_col] if keep is None else keep) if c.lower() not in {f.name for f in added}]
     keyed = _keyed(docs, id_col, text_col, keep)
     choices = _choices(keyed, window)
-    shared = written(choices.groupBy("name").count().where("count > 1").select("name"), "passage-names")
+    shared = written_alone(choices.groupBy("name").count().where("count > 1").select("name"), "passage-names")
     texts = _compressed(keyed.select(*KEY, "_p_words"))
-    members = written(_members(texts, choices.join(shared, "name"), window, rounds), "passages")
+    members = written_alone(_members(texts, choices.join(shared, "name"), window, rounds), "passages")
     forget(shared)
     lists = _hits(members, window).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "windows")).alias("hits"))
     joined = _compressed(keyed).join(lists, KEY, "left").select("_p_row", "_p_words", "hits")
