@@ -91,16 +91,17 @@ def reverse_adjacency(edges: DataFrame) -> DataFrame:
 
     In-degrees of kNN graphs are unbounded (a hub can be the neighbour of a large
     share of all rows), so the sources are never collected into one row; the
-    in-degree is a partial aggregation joined back (AQE splits a skewed join).
+    in-degree is a partial aggregation, written before it is joined back: AQE splits a
+    skewed join only where both sides come straight from a shuffle.
     """
     rev = edges.select(F.col("dst").alias("node"), "src_obs", "src")
-    deg = rev.groupBy("node").agg(F.count(F.lit(1)).alias("in_degree"))
+    deg = materialize(rev.groupBy("node").agg(F.count(F.lit(1)).alias("in_degree")), "degrees")
     return rev.join(deg, "node")
 
 
-def radii(edges: DataFrame) -> DataFrame:
+def radii(edges: DataFrame, group_col: str | None = None) -> DataFrame:
     """Squared distance of each source's farthest kept neighbour, per neighbour kind."""
-    return edges.groupBy("src", "dst_obs").agg(F.max("d2").alias("radius"), F.count(F.lit(1)).alias("n_neighbors"))
+    return edges.groupBy(*([group_col] if group_col else []), "src", "dst_obs").agg(F.max("d2").alias("radius"), F.count(F.lit(1)).alias("n_neighbors"))
 
 
 def insert_nodes(
@@ -113,6 +114,7 @@ def insert_nodes(
     sources: str = "unlabeled",
     bandwidth: float = 1.0,
     knn: Mapping | None = None,
+    group_col: str | None = None,
 ) -> DataFrame:
     """K14 + K15: add a batch of points to a graph without rebuilding it.
 
@@ -123,34 +125,37 @@ def insert_nodes(
       can enter, so they come from one kNN join ``stored x new`` and a re-rank of
       the affected sources -- a bounded top-k merge.
 
-    The result equals ``build_graph`` on ``stored + new`` (ties by smaller id).
+    The result equals ``build_graph`` on ``stored + new`` (ties by smaller id).  With
+    ``group_col`` on all inputs, a batch enters many independent graphs in the same jobs.
     """
+    gc = [group_col] if group_col else []
     k_map = {KIND_LABELED: k_labeled, KIND_UNLABELED: k_unlabeled}
+    search = dict(exclude_self=True, kind_col="kind", group_col=group_col, **(knn or {}))
     all_pts = stored.unionByName(new.select(*stored.columns))
     # Rows of the new sources, against everything stored so far
     new_src = new if sources == "all" else new.where(~F.col("observed"))
-    own = knn_join(new_src.select("id", "x"), _kinded(all_pts), k_map, exclude_self=True, kind_col="kind", **(knn or {}))
+    own = knn_join(new_src.select(*gc, "id", "x"), _kinded(all_pts, group_col), k_map, **search)
     # Stored sources against the new points only
     old_src = stored if sources == "all" else stored.where(~F.col("observed"))
-    cand = knn_join(old_src.select("id", "x"), _kinded(new), k_map, exclude_self=True, kind_col="kind", **(knn or {}))
-    cand = cand.select("src", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2")
+    cand = knn_join(old_src.select(*gc, "id", "x"), _kinded(new, group_col), k_map, **search)
+    cand = cand.select(*gc, "src", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2")
     # prefilter by the radius of the source (or a free slot)
-    rad = radii(edges)
+    rad = radii(edges, group_col)
     kk = F.when(F.col("dst_obs"), F.lit(k_labeled)).otherwise(F.lit(k_unlabeled))
-    beat = (cand.join(rad, ["src", "dst_obs"], "left")
+    beat = (cand.join(rad, [*gc, "src", "dst_obs"], "left")
             .where(F.col("radius").isNull() | (F.col("n_neighbors") < kk) | (F.col("d2") <= F.col("radius")))
-            .select("src", "dst", "dst_obs", "d2"))
+            .select(*gc, "src", "dst", "dst_obs", "d2"))
     beat = materialize(beat, "entering")  # read twice: the search runs once
-    touched = beat.select("src").distinct()
-    old_touched = edges.join(touched, "src", "left_semi").select("src", "dst", "dst_obs", "d2")
+    touched = beat.select(*gc, "src").distinct()
+    old_touched = edges.join(touched, [*gc, "src"], "left_semi").select(*gc, "src", "dst", "dst_obs", "d2")
     merged = old_touched.unionByName(beat)
-    w = Window.partitionBy("src", "dst_obs").orderBy("d2", "dst")
+    w = Window.partitionBy(*gc, "src", "dst_obs").orderBy("d2", "dst")
     merged = merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kk)
-    kept = edges.join(touched, "src", "left_anti").select("src", "dst", "dst_obs", "d2", "rank")
-    fresh = own.select("src", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2", F.col("rank").cast("int"))
+    kept = edges.join(touched, [*gc, "src"], "left_anti").select(*gc, "src", "dst", "dst_obs", "d2", "rank")
+    fresh = own.select(*gc, "src", "dst", (F.col("kind") == KIND_LABELED).alias("dst_obs"), "d2", F.col("rank").cast("int"))
     out = kept.unionByName(merged.withColumn("rank", F.col("rank").cast("int"))).unionByName(fresh)
-    obs = all_pts.select(F.col("id").alias("src"), F.col("observed").alias("src_obs"))
-    return out.join(obs, "src").select("src", "src_obs", "dst", "dst_obs", "d2", edge_weight("d2", bandwidth).alias("w"), "rank")
+    obs = all_pts.select(*gc, F.col("id").alias("src"), F.col("observed").alias("src_obs"))
+    return out.join(obs, [*gc, "src"]).select(*gc, "src", "src_obs", "dst", "dst_obs", "d2", edge_weight("d2", bandwidth).alias("w"), "rank")
 
 
 def rebuild_with_metric(points: DataFrame, L, k_labeled: int, k_unlabeled: int, **kw) -> DataFrame:

@@ -1,23 +1,26 @@
 """Exact k-nearest-neighbour joins (K1-K4, K7, K8) and the linear metric (K2).
 
-Method: *blocked* nested loop.  Both sides are cut into blocks by a hash of the
+``method="exact"`` is a *blocked* nested loop.  Both sides are cut into blocks by a hash of the
 id (uniform, so no hot block whatever the data); each (query block, reference
 block) pair meets in one ``cogroup`` group, where NumPy scores the pair matrix and
 keeps only the ``k`` best per query row and neighbour kind.  No pairs leave a task,
-but the exact join's shuffle grows with the square of the rows: it carries ``rows x
-other-side blocks`` vectors in (use ``method="lsh"`` where that is too much), and
-``query rows x reference blocks x k`` candidate edges out, which a
-``row_number() <= k`` window merges (Catalyst plans it as a partial
+but the join's shuffle grows with the square of the rows: it carries ``rows x
+other-side blocks`` vectors in, and ``query rows x reference blocks x k`` candidate
+edges out, which a ``row_number() <= k`` window merges (Catalyst plans it as a partial
 ``WindowGroupLimit`` before the exchange).
 
+``method="pruned"`` gives the same rows from pivot cells: see ``_pruned_join``.
+``method="lsh"`` is approximate: see ``_lsh_join``.
+
 Block size bounds the memory of one task (``block_rows^2`` doubles for the score
-matrix); the block count follows the row counts of both sides.
+matrix); the block count follows the row counts of both sides.  Rows whose vector is
+null or holds a null or NaN take no part, on either side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -28,9 +31,10 @@ from pyspark.sql import types as T
 from seedspread.session import materialize
 
 DEFAULT_BLOCK_ROWS = 2048
-# candidates kept per row before the exact re-scoring; absorbs rounding of the
-# norm expansion so that the final k are those of the exact differences
-CANDIDATE_MARGIN = 8
+# exact differences that are held at once, in components
+DIFFERENCES = 1 << 22
+# pivots of the pruned join: at most so many rows reach the driver and each task
+MAX_PIVOTS = 1024
 # hash tables of the approximate join and sign bits of a bucket: with these over 9 of 10
 # nearest neighbours of `embeddings` share a bucket (tests ask 0.9)
 LSH_TABLES, LSH_BITS = 12, 2
@@ -45,57 +49,82 @@ def _block_counts(n_query: int, n_ref: int, block_rows: int, parallelism: int) -
     return nqb, nrb
 
 
-def _kernel(k_by_kind: Mapping[int, int], exclude_self: bool):
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"g": pd.Series([], dtype="int64"),
-                              "src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
-                              "kind": pd.Series([], dtype="int32"), "d2": pd.Series([], dtype="float64")})
-        if len(q) == 0 or len(r) == 0:
-            return empty
+def usable(x) -> F.Column:
+    """Whether a vector takes part."""
+    return x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
+
+
+def nearest(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, id and squared distance of the ``k`` nearest by ``(d2, id)``.
+
+    The norm expansion only picks candidates: all whose approximate distance is within its
+    rounding error of the ``k``-th, so that ties are decided by the exact distances and ids.
+    """
+    qn, rn = np.einsum("ij,ij->i", qx, qx), np.einsum("ij,ij->i", rx, rx)
+    approx = qn[:, None] + rn[None, :] - 2.0 * (qx @ rx.T)
+    if exclude_self:
+        approx[qid[:, None] == rid[None, :]] = np.inf
+    m = len(rid)
+    kth = np.partition(approx, k - 1, axis=1)[:, k - 1] if k < m else np.full(len(qid), np.inf)
+    error = 8 * np.finfo(np.float64).eps * (qx.shape[1] + 4) * (qn + (rn.max() if m else 0.0))
+    row, at = np.nonzero((approx <= (kth + 2 * error)[:, None]) & np.isfinite(approx))
+    d2 = np.empty(len(row))
+    step = max(1, DIFFERENCES // max(1, qx.shape[1]))
+    for a in range(0, len(row), step):
+        diff = qx[row[a : a + step]] - rx[at[a : a + step]]
+        d2[a : a + step] = np.einsum("ij,ij->i", diff, diff)
+    order = np.lexsort((rid[at], d2, row))
+    row, at, d2 = row[order], at[order], d2[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return row[keep], rid[at[keep]], d2[keep]
+
+
+def _found(q: pd.DataFrame, r: pd.DataFrame, k_by_kind: Mapping[int, int], exclude_self: bool, g: int = 0) -> pd.DataFrame:
+    """The ``k`` best of each kind for the query rows of one group."""
+    out = []
+    if len(q) and len(r):
         qx = np.stack(q["x"].to_numpy()).astype(np.float64, copy=False)
         rx_all = np.stack(r["x"].to_numpy()).astype(np.float64, copy=False)
-        qid = q["id"].to_numpy(np.int64)
-        rid_all = r["id"].to_numpy(np.int64)
-        kinds_all = r["kind"].to_numpy(np.int32)
-        qn = np.einsum("ij,ij->i", qx, qx)
-        out = []
+        qid, rid_all, kinds_all = q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64), r["kind"].to_numpy(np.int32)
         for kind, k in k_by_kind.items():
             sel = kinds_all == kind
-            if k <= 0 or not sel.any():
-                continue
-            rx, rid = rx_all[sel], rid_all[sel]
-            rn = np.einsum("ij,ij->i", rx, rx)
-            approx = qn[:, None] + rn[None, :] - 2.0 * (qx @ rx.T)
-            if exclude_self:
-                approx[qid[:, None] == rid[None, :]] = np.inf
-            m = rx.shape[0]
-            kk = min(k + CANDIDATE_MARGIN, m)
-            if kk < m:
-                cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
-            else:
-                cand = np.broadcast_to(np.arange(m), (len(qid), m))
-            diff = qx[:, None, :] - rx[cand]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            cid = rid[cand]
-            if exclude_self:
-                d2 = np.where(cid == qid[:, None], np.inf, d2)
-            # exact order (d2, dst): a stable sort on d2 after sorting by id; keep k
-            pre = np.argsort(cid, axis=1, kind="stable")
-            d2s = np.take_along_axis(d2, pre, 1)
-            cids = np.take_along_axis(cid, pre, 1)
-            idx = np.argsort(d2s, axis=1, kind="stable")[:, :k]
-            d2k = np.take_along_axis(d2s, idx, 1)
-            cidk = np.take_along_axis(cids, idx, 1)
-            keep = np.isfinite(d2k)
-            rows = np.repeat(qid, idx.shape[1]).reshape(idx.shape)
-            out.append(pd.DataFrame({"g": np.full(int(keep.sum()), int(q["g"].iloc[0]), np.int64),
-                                     "src": rows[keep], "dst": cidk[keep],
-                                     "kind": np.full(int(keep.sum()), kind, np.int32), "d2": d2k[keep]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+            if k > 0 and sel.any():
+                row, dst, d2 = nearest(qx, qid, rx_all[sel], rid_all[sel], k, exclude_self)
+                out.append(pd.DataFrame({"g": np.full(len(row), g, np.int64), "src": qid[row], "dst": dst, "kind": np.full(len(row), kind, np.int32), "d2": d2}))
+    if out:
+        return pd.concat(out, ignore_index=True)
+    return pd.DataFrame({"g": pd.Series([], dtype="int64"), "src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
+                         "kind": pd.Series([], dtype="int32"), "d2": pd.Series([], dtype="float64")})
+
+
+def _kernel(k_by_kind: Mapping[int, int], exclude_self: bool):
+    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        return _found(q, r, k_by_kind, exclude_self, int(key[0]))
 
     return run
 
 
+CANDIDATES = T.StructType([
+    T.StructField("g", T.LongType()),
+    T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
+    T.StructField("kind", T.IntegerType()), T.StructField("d2", T.DoubleType()),
+])
+
+
+def _best(cand: DataFrame, k_by_kind: Mapping[int, int], keys=("g", "src", "kind")) -> DataFrame:
+    """The candidates' ``rank`` by ``(d2, dst)``, up to the kind's ``k``."""
+    ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("d2", "dst")))
+    # a literal limit lets Catalyst insert the partial WindowGroupLimit
+    ranked = ranked.where(F.col("rank") <= F.lit(max(k_by_kind.values(), default=0)))
+    if len(set(k_by_kind.values())) > 1:
+        kmax = F.lit(0)
+        for kd, kv in k_by_kind.items():
+            kmax = F.when(F.col("kind") == kd, F.lit(int(kv))).otherwise(kmax)
+        ranked = ranked.where(F.col("rank") <= kmax)
+    return ranked
+
+
 def knn_join(
     query: DataFrame,
     ref: DataFrame,
@@ -110,6 +139,8 @@ def knn_join(
     lsh_tables: int = LSH_TABLES,
     lsh_seed: int = 17,
     lsh_bits: int = LSH_BITS,
+    pivots: int | None = None,
+    stats: dict | None = None,
 ) -> DataFrame:
     """Exact kNN join.  ``query``/``ref`` have ``(id long, x array<double>)``.
 
@@ -120,21 +151,25 @@ def knn_join(
     Returns ``(src, dst, kind, d2, rank)`` (plus the group column) with rank 1..k by
     ``(d2, dst)``; fewer rows where fewer candidates exist.
 
+    ``method="pruned"`` finds the same rows, and visits only the cells of rows that can hold
+    them (``pivots`` cells; ``stats``, a dict, receives the numbers of visits and pairs).
     ``method="lsh"`` is the approximate option for inputs where the exact block
     pairs are too many: see ``_lsh_join``.
     """
+    if method == "pruned" and not group_col:
+        return _pruned_join(query, ref, k, exclude_self=exclude_self, kind_col=kind_col, block_rows=block_rows, pivots=pivots, stats=stats)
     if method == "lsh":
         return _lsh_join(query, ref, k, exclude_self=exclude_self, kind_col=kind_col, block_rows=block_rows,
                          tables=lsh_tables, seed=lsh_seed, bits=lsh_bits)
-    if method != "exact":
-        raise ValueError("method is 'exact' or 'lsh'")
+    if method not in ("exact", "pruned"):
+        raise ValueError("method is 'exact', 'pruned' (groups are joined as 'exact') or 'lsh'")
     k_by_kind = dict(k) if isinstance(k, Mapping) else {0: int(k)}
     spark = query.sparkSession
     kind = F.col(kind_col).cast("int") if kind_col else F.lit(0)
     g = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
     # fresh attributes on both sides (both may come from one table: a self join)
-    q = query.select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("x").alias("x"))
-    r = ref.select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("x").alias("x"), kind.alias("kind"))
+    q = query.where(usable(F.col("x"))).select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("x").alias("x"))
+    r = ref.where(usable(F.col("x"))).select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("x").alias("x"), kind.alias("kind"))
     live = [kd for kd, kv in k_by_kind.items() if kv > 0]
     if len(live) < len(k_by_kind):
         r = r.where(F.col("kind").isin(live))
@@ -163,31 +198,167 @@ def knn_join(
     r = r.withColumn("rb", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), nrb_c).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), nqb_c - 1))).select("g", "id", "x", "kind", "qb", "rb")
 
-    schema = T.StructType([
-        T.StructField("g", T.LongType()),
-        T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
-        T.StructField("kind", T.IntegerType()), T.StructField("d2", T.DoubleType()),
-    ])
     cand = (
         q.groupBy("g", "qb", "rb")
         .cogroup(r.groupBy("g", "qb", "rb"))
-        .applyInPandas(_kernel(k_by_kind, exclude_self), schema)
+        .applyInPandas(_kernel(k_by_kind, exclude_self), CANDIDATES)
     )
-    kmax = F.lit(0)
-    for kd, kv in k_by_kind.items():
-        kmax = F.when(F.col("kind") == kd, F.lit(int(kv))).otherwise(kmax)
-    w = Window.partitionBy("g", "src", "kind").orderBy("d2", "dst")
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    if len(k_by_kind) == 1:
-        # a literal limit lets Catalyst insert the partial WindowGroupLimit
-        ranked = ranked.where(F.col("rank") <= F.lit(next(iter(k_by_kind.values()))))
-    else:
-        ranked = ranked.where(F.col("rank") <= F.lit(max(k_by_kind.values()))).where(F.col("rank") <= kmax)
+    ranked = _best(cand, k_by_kind)
     if group_col:
         return ranked.withColumnRenamed("g", group_col)
     return ranked.drop("g")
 
 
+class Cells:
+    """The cells of a table: every row belongs to its nearest pivot.
+
+    The driver and each task hold the pivots (at most ``MAX_PIVOTS`` vectors) and, per
+    cell and kind, the number of rows and their least and largest distance to the pivot.
+    """
+
+    def __init__(self, ref: DataFrame, pivots: int, kinds: list[int]):
+        # the pivots are rows in hash order: a top-k by that order (the limit is the feature)
+        chosen = ref.select("id", "x").orderBy(F.xxhash64("id", F.lit(11)), "id").limit(pivots).collect()
+        self.points = np.array([r["x"] for r in chosen], np.float64)
+        self.kinds = kinds
+        points = self.points
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    d = _to_pivots(np.stack(b["x"].to_numpy()).astype(np.float64), points)
+                    cell = d.argmin(axis=1)
+                    yield pd.DataFrame({"cell": cell.astype(np.int32), "at": d[np.arange(len(b)), cell], "id": b["id"], "kind": b["kind"], "x": b["x"]})
+
+        placed = ref.select("id", "kind", "x").mapInPandas(place, "cell int, at double, id long, kind int, x array<double>")
+        rows = materialize(placed, "cells")
+        self.count = np.zeros((len(kinds), len(points)), np.int64)
+        self.low, self.high = np.full(self.count.shape, np.inf), np.full(self.count.shape, -np.inf)
+        for r in rows.groupBy("kind", "cell").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).collect():
+            k = kinds.index(r["kind"])
+            self.count[k, r["cell"]], self.low[k, r["cell"]], self.high[k, r["cell"]] = r["n"], r["a"], r["b"]
+        self.rows = rows
+
+    def __getstate__(self) -> dict:
+        """What tasks get: everything but the table."""
+        return {name: value for name, value in self.__dict__.items() if name != "rows"}
+
+    def bounds(self, d: np.ndarray) -> np.ndarray:
+        """The least distance that a row of each kind and cell can have from queries at distances ``d`` of the pivots.
+
+        By the triangle inequality from the cell's ring, and from the border between the
+        query's own cell and the other one: its rows are nearer to their pivot than to
+        the query's, so half the difference of the query's two distances lies between.
+        """
+        ring = np.maximum(self.low[:, None, :] - d[None], d[None] - self.high[:, None, :])
+        border = (d - d.min(axis=1, keepdims=True)) / 2
+        out = np.maximum(ring, border[None]) - 1e-12 * d[None]
+        return np.where(self.count[:, None, :] > 0, out, np.inf)
+
+
+def _to_pivots(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots by differences (no cancellation), a block of rows at a time."""
+    out = np.empty((len(x), len(points)))
+    step = max(1, DIFFERENCES // max(1, points.size))
+    for a in range(0, len(x), step):
+        diff = x[a : a + step, None, :] - points[None]
+        out[a : a + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def _visit(cells: Cells, k_by_kind: Mapping[int, int], queries: DataFrame, k_first: bool, block_rows: int, stats: dict | None) -> tuple[DataFrame, dict]:
+    """``(cell, id, x)``: the cells each query row has to see.
+
+    ``k_first``: the nearest cells that hold enough rows of each kind; else ``queries`` has
+    the radius of each kind found there (``r<kind>``), and the remaining cells within it are taken.
+    """
+    kinds, live = cells.kinds, [kd for kd in cells.kinds if k_by_kind[kd] > 0]
+    need = [min(k_by_kind[kd] + 1, int(cells.count[kinds.index(kd)].sum())) for kd in live]
+    points, count = cells.points, cells.count
+
+    def first(d: np.ndarray) -> np.ndarray:
+        """Cells by distance of their pivots until all kinds have their rows (one more than ``k``: the row itself may be there)."""
+        order = np.argsort(d, axis=1, kind="stable")
+        taken = np.zeros(d.shape, bool)
+        for kd, n in zip(live, need, strict=True):
+            have = np.cumsum(count[kinds.index(kd)][order], axis=1)
+            depth = (have < n).sum(axis=1)
+            np.logical_or(taken, np.arange(d.shape[1])[None] <= depth[:, None], out=taken)
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, taken, axis=1)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.iloc[at : at + 512]
+                d = _to_pivots(np.stack(part["x"].to_numpy()).astype(np.float64), points)
+                seen = first(d)
+                if not k_first:
+                    bound = cells.bounds(d)
+                    open_ = np.zeros(d.shape, bool)
+                    for kd in live:
+                        open_ |= bound[kinds.index(kd)] <= part[f"r{kd}"].to_numpy()[:, None]
+                    seen = open_ & ~seen
+                row, cell = np.nonzero(seen)
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "id": part["id"].to_numpy()[row], "x": part["x"].to_numpy()[row]})
+
+    visits = materialize(queries.mapInPandas(run, "cell int, id long, x array<double>"), "visits")
+    many = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    if stats is not None:
+        size = count.sum(axis=0)
+        stats["visits"] = stats.get("visits", 0) + sum(many.values())
+        stats["pairs"] = stats.get("pairs", 0) + int(sum(n * size[c] for c, n in many.items()))
+    return visits, many
+
+
+def _met(cells: Cells, visits: DataFrame, many: dict, k_by_kind: Mapping[int, int], exclude_self: bool, block_rows: int) -> DataFrame:
+    """Candidates of the visits; cells with many rows or visits are dealt as blocks of rows times blocks of visits."""
+    size = cells.count.sum(axis=0)
+    parts = lambda n: F.array(*[F.lit(max(1, math.ceil(int(x) / block_rows))) for x in n])
+    row_blocks, visit_blocks = parts(size), parts([many.get(c, 0) for c in range(len(size))])
+    of = lambda blocks: F.element_at(blocks, F.col("cell") + 1)
+    q = visits.withColumn("qb", F.pmod(F.xxhash64("id"), of(visit_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), of(row_blocks) - 1)))
+    r = cells.rows.select("cell", "id", "kind", "x").withColumn("rb", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), of(row_blocks)).cast("int"))
+    r = r.where(F.col("cell").isin([int(c) for c in many])).withColumn("qb", F.explode(F.sequence(F.lit(0), of(visit_blocks) - 1)))
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _found(a, b, k_by_kind, exclude_self)
+
+    return q.groupBy("cell", "qb", "rb").cogroup(r.groupBy("cell", "qb", "rb")).applyInPandas(run, CANDIDATES)
+
+
+def _pruned_join(query: DataFrame, ref: DataFrame, k, *, exclude_self: bool, kind_col: str | None, block_rows: int,
+                 pivots: int | None, stats: dict | None) -> DataFrame:
+    """The exact join by pivot cells: a query row sees only cells that the triangle inequality leaves open.
+
+    Reference rows are dealt to the nearest of some pivots (about the square root of their number).
+    A query row first sees the nearest cells that hold ``k`` rows of each kind, which
+    gives it a radius per kind; then the cells whose bound is within it.  On clustered
+    data that are a few cells a row, so the vectors shuffled grow with the rows; on data without
+    structure nearly all cells stay open, and ``method="exact"`` with its larger
+    blocks is cheaper.  The rows are the same either way, ties included.
+    """
+    k_by_kind = {int(a): int(b) for a, b in k.items()} if isinstance(k, Mapping) else {0: int(k)}
+    kind = F.col(kind_col).cast("int") if kind_col else F.lit(0)
+    r = ref.where(usable(F.col("x"))).select(F.col("id").cast("long").alias("id"), kind.alias("kind"), F.col("x").cast("array<double>").alias("x")).where(F.col("kind").isin(list(k_by_kind)))
+    q = query.where(usable(F.col("x"))).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    n = r.count()
+    if not n:
+        return query.sparkSession.createDataFrame([], "src long, dst long, kind int, d2 double, rank int")
+    cells = Cells(r, pivots or min(MAX_PIVOTS, max(1, math.isqrt(n))), list(k_by_kind))
+    visits, many = _visit(cells, k_by_kind, q, True, block_rows, stats)
+    near = materialize(_best(_met(cells, visits, many, k_by_kind, exclude_self, block_rows), k_by_kind), "near")
+    radius = [F.coalesce(F.max(F.when((F.col("kind") == kd) & (F.col("rank") == kv), F.sqrt("d2"))), F.lit(float("inf"))).alias(f"r{kd}") for kd, kv in k_by_kind.items()]
+    radii = near.groupBy(F.col("src").alias("id")).agg(*radius)
+    limited = q.join(radii, "id", "left").fillna(float("inf"), [f"r{kd}" for kd in k_by_kind])
+    visits, many = _visit(cells, k_by_kind, limited, False, block_rows, stats)
+    if not many:
+        return near.drop("g")
+    far = _met(cells, visits, many, k_by_kind, exclude_self, block_rows)
+    return _best(near.drop("rank").unionByName(far), k_by_kind).drop("g")
+
+
 def lsh_planes(tables: int, bits: int, width: int, seed: int) -> np.ndarray:
     """The hyperplanes of the hash tables, ``(tables, bits, width)``.
 
@@ -214,7 +385,10 @@ def _lsh_join(query: DataFrame, ref: DataFrame, k, *, exclude_self: bool, kind_c
     compared with all rows.  Distances are exact; only recall is approximate.
     """
     k_by_kind = dict(k) if isinstance(k, Mapping) else {0: int(k)}
-    width = len(ref.select("x").first()["x"])
+    some = ref.where(usable(F.col("x"))).select("x").first()
+    if some is None:
+        return query.sparkSession.createDataFrame([], "src long, dst long, kind int, d2 double, rank int")
+    width = len(some["x"])
     planes = lsh_planes(tables, bits, width, seed)
     from pyspark.sql.functions import pandas_udf
 

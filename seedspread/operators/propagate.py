@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from seedspread.session import cut_lineage, discard, materialize, remove_path, scratch_dir
+from seedspread.session import discard, materialize, remove_path, scratch_dir
 
 
 # ---------------------------------------------------------------- L1
@@ -42,18 +42,18 @@ def zeros(ids: DataFrame, classes: Sequence[int], id_col: str = "id") -> DataFra
 
 
 # ---------------------------------------------------------------- L4
-def normalize_l1(f: DataFrame) -> DataFrame:
+def normalize_l1(f: DataFrame, group_col: str | None = None) -> DataFrame:
     """Rows divided by their L1 norm; all-zero rows stay zero."""
-    s = F.sum(F.abs("p")).over(Window.partitionBy("id"))
+    s = F.sum(F.abs("p")).over(Window.partitionBy(*([group_col] if group_col else []), "id"))
     return f.withColumn("p", F.coalesce(F.col("p") / F.nullif(s, F.lit(0.0)), F.lit(0.0)))
 
 
-def _row_products(trans: DataFrame, y_l: DataFrame, f: DataFrame) -> DataFrame:
+def _row_products(trans: DataFrame, y_l: DataFrame, f: DataFrame, gc: Sequence[str] = ()) -> DataFrame:
     """``P_ul Y_l + P_uu F`` restricted to the sources present in ``trans`` (no zero rows)."""
-    ul = trans.where(F.col("dst_obs")).join(y_l.withColumnRenamed("id", "dst"), "dst").select(
-        F.col("src").alias("id"), "class", (F.col("p") * F.col("y")).alias("p"))
-    uu = trans.where(~F.col("dst_obs")).join(f.withColumnRenamed("id", "dst").withColumnRenamed("p", "fp"), "dst").select(
-        F.col("src").alias("id"), "class", (F.col("p") * F.col("fp")).alias("p"))
+    ul = trans.where(F.col("dst_obs")).join(y_l.withColumnRenamed("id", "dst"), [*gc, "dst"]).select(
+        *gc, F.col("src").alias("id"), "class", (F.col("p") * F.col("y")).alias("p"))
+    uu = trans.where(~F.col("dst_obs")).join(f.withColumnRenamed("id", "dst").withColumnRenamed("p", "fp"), [*gc, "dst"]).select(
+        *gc, F.col("src").alias("id"), "class", (F.col("p") * F.col("fp")).alias("p"))
     return ul.unionByName(uu)
 
 
@@ -69,6 +69,8 @@ class OfflineResult:
     residuals: list = field(default_factory=list)
 
 
+# a change of a row that rounding alone can make is no change, whatever theta
+LEAST_CHANGE = 1e-12
 # classes per wide row, and edges of one node in one bucket
 WIDTH = 64
 HUB_EDGES = 100_000
@@ -239,15 +241,23 @@ def hop_cap(n_unlabeled: int, k_unlabeled: int, max_iter: int = 30) -> int:
 @dataclass
 class LocalResult:
     f: DataFrame
-    hops: int
-    frontier_sizes: list = field(default_factory=list)
-    applied_per_hop: list = field(default_factory=list)
+    hops: int | dict
+    frontier_sizes: list | dict = field(default_factory=list)
+    applied_per_hop: list | dict = field(default_factory=list)
     changed_ids: DataFrame | None = None
 
 
-def _effective(f: DataFrame, overlay: DataFrame) -> DataFrame:
-    """``F`` with the rows of ``overlay`` replacing those of the same id."""
-    return f.join(overlay.select("id").distinct(), "id", "left_anti").unionByName(overlay.select("id", "class", "p"))
+def _spread(ids: DataFrame, keys: Sequence[str], classes: Sequence[int], value: float) -> DataFrame:
+    """One value for every class of every given key."""
+    return ids.select(*keys, F.explode(F.array(*[F.lit(int(k)) for k in classes])).alias("class")).withColumn("p", F.lit(float(value)))
+
+
+def _of_group(values, group_col: str | None):
+    """A parameter as a column: one value, or one per group."""
+    if not isinstance(values, Mapping):
+        return F.lit(values)
+    pairs = [F.lit(x) for kv in values.items() for x in kv]
+    return F.element_at(F.create_map(*pairs), F.col(group_col))
 
 
 # ---------------------------------------------------------------- L5 - L10
@@ -258,9 +268,10 @@ def propagate_local(
     new_nodes: DataFrame,
     classes: Sequence[int],
     *,
-    theta: float,
-    max_hops: int,
+    theta: float | Mapping,
+    max_hops: int | Mapping,
     top_ratio: float | None = None,
+    group_col: str | None = None,
 ) -> LocalResult:
     """Local propagation after a batch of arrivals (graph and ``trans`` already updated).
 
@@ -269,69 +280,94 @@ def propagate_local(
     L5: a new unlabelled node gets its first estimate from its own row.
     L6: the first frontier are unlabelled sources pointing at a new node; their
     tentative label is their full row recomputed.
-    L7 (or L8 with ``top_ratio``): apply tentative labels that changed by more than theta.
+    L7 (or L8 with ``top_ratio``): apply tentative labels that changed by more than theta
+    (and by more than ``LEAST_CHANGE``, which is rounding: it matters for a theta of 0).
     L9: each applied change ``d`` at node ``j`` adds ``p(i, j) * d`` to every source ``i``
     pointing at ``j``; those sources form the next frontier; unapplied tentative
     labels are kept for later hops of the same batch.
     Returns the new ``F`` (changed rows L1-normalised).
+
+    With ``group_col`` on every input, many variants (seeds, thetas, label ratios) take the
+    same hops together: ``theta`` and ``max_hops`` may be given per group, a group stops at
+    its own cap or empty frontier, and the counts of the result are dicts by group.
     """
-    t = cut_lineage(trans.select("src", "dst", "dst_obs", "p"))
-    y = cut_lineage(labels_onehot(y_l))
-    new_u = new_nodes.where(~F.col("observed")).select("id")
-    # new unlabelled nodes start uniform (a neighbour inside the batch counts as uniform)
-    f_base = f.join(new_u, "id", "left_anti").unionByName(uniform_start(new_u, classes))
-    f_base = cut_lineage(f_base)
-    # First estimates of the new unlabelled nodes
-    first = _row_products(t.join(new_u.withColumnRenamed("id", "src"), "src", "left_semi"), y, f_base)
-    first = first.unionByName(zeros(new_u, classes)).groupBy("id", "class").agg(F.sum("p").alias("p"))
-    overlay = cut_lineage(first)
+    if group_col and top_ratio is not None:
+        raise ValueError("top_ratio takes the largest changes of one learner: not with group_col")
+    gc = [group_col] if group_col else []
+    keys = [*gc, "id"]
+    row = [*keys, "class"]
+    t = materialize(trans.select(*gc, "src", "dst", "dst_obs", "p"), "local-graph")
+    y = labels_onehot(y_l)
+    new_u = new_nodes.where(~F.col("observed")).select(*keys)
+    stored = f.select(*row, "p").join(new_u, keys, "left_anti")
+    # First estimates of the new unlabelled nodes (a neighbour inside the batch counts as uniform)
+    start = stored.unionByName(_spread(new_u, keys, classes, 1.0 / max(1, len(classes))))
+    first = _row_products(t.join(new_u.withColumnRenamed("id", "src"), [*gc, "src"], "left_semi"), y, start, gc)
+    first = first.unionByName(_spread(new_u, keys, classes, 0.0)).groupBy(*row).agg(F.sum("p").alias("p"))
+    base = materialize(stored.withColumn("fresh", F.lit(False)).unionByName(first.withColumn("fresh", F.lit(True))), "local-estimates")
     # frontier = unlabelled sources that point at any new node
-    new_ids = new_nodes.select(F.col("id").alias("dst"))
-    frontier = t.join(new_ids, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-    cur = _effective(f_base, overlay)
-    tent = _row_products(t.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi"), y, cur)
-    tent = tent.unionByName(zeros(frontier, classes)).groupBy("id", "class").agg(F.sum("p").alias("p"))
-    tent = cut_lineage(tent)
-    frontier = cut_lineage(frontier)
-    hops = 0
-    sizes: list[int] = []
-    applied_counts: list[int] = []
-    n_front = frontier.count()
-    uu = t.where(~F.col("dst_obs")).select("src", "dst", "p")
-    while n_front > 0 and hops < max_hops:
-        sizes.append(n_front)
-        cur = _effective(f_base, overlay)
-        cand = tent.join(frontier, "id", "left_semi")
-        diff = cand.join(cur.withColumnRenamed("p", "p_cur"), ["id", "class"]).withColumn("d", F.col("p") - F.col("p_cur"))
+    new_ids = new_nodes.select(*gc, F.col("id").alias("dst"))
+    frontier = t.join(new_ids, [*gc, "dst"], "left_semi").select(*gc, F.col("src").alias("id")).distinct()
+    tent = _row_products(t.join(frontier.withColumnRenamed("id", "src"), [*gc, "src"], "left_semi"), y, base.select(*row, "p"), gc)
+    tent = tent.unionByName(_spread(frontier, keys, classes, 0.0)).groupBy(*row).agg(F.sum("p").alias("tent"))
+    # the touched rows: their estimate, their tentative one, whether they are in the frontier, were just
+    # applied, or ever; each hop writes them once and reads from F only what it reaches
+    no = F.lit(False)
+    touched = materialize(tent.join(base, row).select(*row, F.col("p").alias("cur"), "tent", F.lit(True).alias("front"), no.alias("applied"), no.alias("ever")), "touched")
+    uu = t.where(~F.col("dst_obs")).select(*gc, "src", "dst", "p")
+    hops: dict = {}
+    sizes: dict = {}
+    applied_counts: dict = {}
+    hop = 0
+    cap = lambda g: max_hops[g] if isinstance(max_hops, Mapping) else max_hops
+    thetas = {g: float(x) for g, x in theta.items()} if isinstance(theta, Mapping) else float(theta)
+
+    def tally() -> tuple[dict, dict]:
+        """Rows in the frontier of the groups that may take another hop, and rows just applied, per group."""
+        marks = touched.groupBy(*gc).agg(F.count_if("front").alias("n"), F.count_if("applied").alias("a")).collect()
+        n = len(classes)
+        found = {r[group_col] if gc else None: (r["n"] // n, r["a"] // n) for r in marks}
+        return {g: x[0] for g, x in found.items() if x[0] and hop < cap(g)}, {g: x[1] for g, x in found.items()}
+
+    counts, _ = tally()
+    while counts:
+        for g, n in counts.items():
+            hops[g] = hop + 1
+            sizes.setdefault(g, []).append(n)
+        live = F.col(group_col).isin(list(counts)) if gc else F.lit(True)
         if top_ratio is None:
-            norm = F.sum(F.abs("d")).over(Window.partitionBy("id"))
-            diff = diff.withColumn("applied", norm > F.lit(float(theta)))
+            norm = F.sum(F.abs(F.col("tent") - F.col("cur"))).over(Window.partitionBy(*keys))
+            go = F.col("front") & live & (norm > F.greatest(_of_group(thetas, group_col), F.lit(LEAST_CHANGE)))
+            marked = touched.withColumn("go", go)
         else:
             # The int(ratio * n) largest changes (a top-k: the limit is the feature)
-            n_top = int(top_ratio * n_front)
-            norms = diff.groupBy("id").agg(F.sum(F.abs("d")).alias("norm"))
-            top = norms.orderBy(F.col("norm").desc(), F.col("id")).limit(n_top).select("id", F.lit(True).alias("applied"))
-            diff = diff.join(top, "id", "left").withColumn("applied", F.coalesce(F.col("applied"), F.lit(False)))
-        # the hop's differences are read three times: written once; every candidate has one row
-        # per class, so the applied count is observed while writing
-        obs = Observation(f"hop_{hops}")
-        diff = cut_lineage(diff.observe(obs, F.count_if("applied").alias("n")))
-        applied = diff.where("applied").select("id").distinct()
-        applied_counts.append(int(obs.get.get("n") or 0) // len(classes))
-        # apply: overlay rows of the applied ids become their tentative values
-        new_rows = tent.join(applied, "id", "left_semi")
-        overlay = cut_lineage(overlay.join(applied, "id", "left_anti").unionByName(new_rows))
+            norms = touched.where("front").groupBy("id").agg(F.sum(F.abs(F.col("tent") - F.col("cur"))).alias("norm"))
+            top = norms.orderBy(F.col("norm").desc(), F.col("id")).limit(int(top_ratio * counts[None])).select("id", F.lit(True).alias("go"))
+            marked = touched.join(top, "id", "left").withColumn("go", F.coalesce("go", F.lit(False)))
         # Push each applied change to the sources pointing at it
-        updates = diff.where("applied").select(F.col("id").alias("dst"), "class", "d")
-        # checkpointed so that the next hop's plan starts here (plans must not grow with hops)
-        contrib = cut_lineage(uu.join(updates, "dst").select(F.col("src").alias("id"), "class", (F.col("p") * F.col("d")).alias("p")))
-        nxt = contrib.select("id").distinct()
-        cur = _effective(f_base, overlay)
-        seed_rows = cur.join(nxt, "id", "left_semi").join(tent.select("id").distinct(), "id", "left_anti")
-        tent = cut_lineage(tent.unionByName(seed_rows).unionByName(contrib).groupBy("id", "class").agg(F.sum("p").alias("p")))
-        frontier = nxt
-        n_front = frontier.count()
-        hops += 1
-    changed = overlay.select("id").distinct()
-    out = f_base.join(changed, "id", "left_anti").unionByName(normalize_l1(overlay.select("id", "class", "p")))
-    return LocalResult(out, hops, sizes, applied_counts, changed)
+        updates = marked.where("go").select(*gc, F.col("id").alias("dst"), "class", (F.col("tent") - F.col("cur")).alias("d"))
+        contrib = uu.join(updates, [*gc, "dst"]).groupBy(*gc, F.col("src").alias("id"), "class").agg(F.sum(F.col("p") * F.col("d")).alias("gain"))
+        reached = base.join(contrib, row).select(*row, F.col("p").alias("p0"), "gain")
+        none = F.lit(None).cast("double")
+        rows = marked.select(*row, F.when(F.col("go"), F.col("tent")).otherwise(F.col("cur")).alias("cur"), "tent", none.alias("p0"), F.lit(0.0).alias("gain"),
+                             no.alias("front"), F.col("go").alias("applied"), (F.col("ever") | F.col("go")).alias("ever"))
+        rows = rows.unionByName(reached.select(*row, none.alias("cur"), none.alias("tent"), "p0", "gain", F.lit(True).alias("front"), no.alias("applied"), no.alias("ever")))
+        after = rows.groupBy(*row).agg(
+            F.coalesce(F.max("cur"), F.max("p0")).alias("cur"), (F.coalesce(F.max("tent"), F.max("p0")) + F.sum("gain")).alias("tent"),
+            F.max("front").alias("front"), F.max("applied").alias("applied"), F.max("ever").alias("ever"))
+        before, touched = touched, materialize(after, "touched")
+        discard(before)
+        hop += 1
+        taken, (counts, done) = list(counts), tally()
+        for g in taken:
+            applied_counts.setdefault(g, []).append(done.get(g, 0))
+    discard(t)
+    moved = touched.where("ever").select(*row, F.col("cur").alias("p"))
+    ids = moved.select(*keys).distinct()
+    rest = base.join(ids, keys, "left_anti")
+    changed = rest.where("fresh").select(*row, "p").unionByName(moved)
+    out = rest.where(~F.col("fresh")).select(*row, "p").unionByName(normalize_l1(changed, group_col))
+    ids = changed.select(*keys).distinct()
+    if gc:
+        return LocalResult(out, hops, sizes, applied_counts, ids)
+    return LocalResult(out, hops.get(None, 0), sizes.get(None, []), applied_counts.get(None, []), ids)

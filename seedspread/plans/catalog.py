@@ -825,3 +825,130 @@ def q_predict_approx(spark, sf):
 
 
 QUERIES.update({"knn_approx": q_knn_approx, "graph_approx": q_graph_approx, "predict_approx": q_predict_approx})
+
+
+# ------------------------------------------------------------------ step 12: sweeps of whole streaming runs
+STREAM_STEPS = 3                 # micro-batches after the burn-in
+
+
+def stream_order(burn, rest, seed: int):
+    """One run's rows in arrival order: burn-in (D2) first, the masked rest shuffled."""
+    both = burn.where("burn_in").unionByName(rest.select(*burn.columns))
+    return S.arrival_order(both, "id", "label", seed).select("seq", "id", "x", F.col("label").cast("int").alias("label"), "observed")
+
+
+def run_variants_stream(spark, sf, graphs: dict, thetas: dict):
+    """Replay many runs over the train part of `embeddings` as one stream through the grouped learner.
+
+    ``graphs``: graph -> (seed, mask of the rest, given the burn-in split); ``thetas``: variant -> (graph, theta).
+    Returns one row per variant and micro-batch, with the test errors at the end of its run.
+    """
+    from seedspread.session import materialize, scratch_dir
+    from seedspread.streaming.learner import start_learner
+    from seedspread.streaming.variants import VariantConfig, VariantLearner, read_steps, write_steps
+
+    train, test = embeddings_split(spark, sf)
+    train = train.drop("observed")
+    classes = classes_of(train)
+    rows = None
+    for g, (seed, mask) in graphs.items():
+        burn = materialize(S.burn_in_split(train, "id", "label", BURN_N_LABELED, BURN_RATIO, seed), "burn")
+        run = stream_order(burn, mask(burn, seed), seed).withColumn("g", F.lit(g).cast("long"))
+        rows = run if rows is None else rows.unionByName(run)
+    rows = materialize(rows, "runs")
+    # every run has the same rows, in its own order; the burn-in of a class doesn't depend on the seed
+    n, n_burn = train.count(), burn.where("burn_in").count()
+    size = max(1, -(-(n - n_burn) // STREAM_STEPS))
+    src = scratch_dir(spark, "variant-stream")
+    write_steps(rows, src, [0, *(n_burn + k * size for k in range(STREAM_STEPS + 1))])
+    cfg = VariantConfig(classes=classes, k_labeled=K_L, k_unlabeled=K_U, n_burn_in=n_burn, max_iter=MAX_ITER, tol=TOL, run="variants", thetas=thetas)
+    learner = VariantLearner(spark, scratch_dir(spark, "variant-state"), cfg, truth=train.select("id", "label"), test=test.select("id", "x", "label"))
+    start_learner(read_steps(spark, src), learner, scratch_dir(spark, "variant-ckpt")).awaitTermination()
+    series = learner.series().where(F.col("metric").isin("n_labeled", "n_unlabeled", "hops", "n_updates", "clf_error_mixed", "l1_error_mixed", "entropy_pred_mixed"))
+    wide = series.groupBy("v", "batch_id").pivot("metric", ["n_labeled", "n_unlabeled", "hops", "n_updates", "clf_error_mixed", "l1_error_mixed", "entropy_pred_mixed"]).agg(F.first("score"))
+    out = wide.join(learner.finish(), "v")
+    return out.select(
+        F.col("v").cast("int").alias("variant"), F.col("batch_id").cast("int").alias("step"), *[F.col(c).cast("long").alias(c) for c in ("n_labeled", "n_unlabeled", "hops", "n_updates")],
+        *[r6(c).alias(c) for c in ("clf_error_mixed", "l1_error_mixed", "entropy_pred_mixed", "error_knn", "error_combined")])
+
+
+def _masked(ratio: float):
+    return lambda burn, seed: S.mask_labels(burn.where(~F.col("burn_in")).drop("observed"), "id", "label", ratio, seed)
+
+
+def q_stream_runs(spark, sf):
+    """Runs over seeds, each a whole stream: burn-in, insertions, errors per step, test error."""
+    from seedspread.plans.fixtures import THETA
+
+    graphs = {n: (SEED * n, _masked(REST_RATIO)) for n in range(N_RUNS)}
+    return run_variants_stream(spark, sf, graphs, {n: (n, THETA) for n in graphs})
+
+
+def q_stream_theta(spark, sf):
+    """One stream and graph, learners with different thresholds."""
+    return run_variants_stream(spark, sf, {0: (SEED, _masked(REST_RATIO))}, {k: (0, th) for k, th in enumerate(SWEEP_THETA)})
+
+
+def q_stream_budgets(spark, sf):
+    """Label budgets per class."""
+    from seedspread.plans.fixtures import THETA
+
+    graphs = {k: (SEED, lambda burn, seed, b=b: S.label_budget(burn, "id", "label", b, seed)) for k, b in enumerate(SWEEP_BUDGETS)}
+    return run_variants_stream(spark, sf, graphs, {k: (k, THETA) for k in graphs})
+
+
+def q_stream_ratios(spark, sf):
+    """Label ratios of the stream, drawn without regard to class."""
+    from seedspread.plans.fixtures import THETA
+
+    graphs = {k: (SEED, lambda burn, seed, r=r: S.uniform_mask(burn.where(~F.col("burn_in")).drop("observed"), "id", r, seed)) for k, r in enumerate(SWEEP_RATIOS)}
+    return run_variants_stream(spark, sf, graphs, {k: (k, THETA) for k in graphs})
+
+
+QUERIES.update({"stream_runs": q_stream_runs, "stream_theta": q_stream_theta, "stream_budgets": q_stream_budgets, "stream_ratios": q_stream_ratios})
+
+
+# ------------------------------------------------------------------ step 13: exact search by pivot cells, ties
+PRUNED = {"method": "pruned"}
+
+
+def tied_parts(spark, sf):
+    """`part` with features of a few whole numbers: most distances repeat, also at the last neighbour kept."""
+    part = read_table(spark, sf, "part")
+    x = F.array((F.col("p_size") % 8).cast("double"), (F.floor(F.col("p_retailprice") / 50) % 8).cast("double"))
+    return part.select(F.col("p_partkey").cast("long").alias("id"), x.alias("x"))
+
+
+def q_knn_ties(spark, sf):
+    """K3, K4 where distances are equal: the smaller ids are kept."""
+    pts = tied_parts(spark, sf)
+    return _edge_out(knn_join(pts, pts, 3, exclude_self=True))
+
+
+def q_knn_ties_pruned(spark, sf):
+    pts = tied_parts(spark, sf)
+    return _edge_out(knn_join(pts, pts, 3, exclude_self=True, **PRUNED))
+
+
+def q_knn_pruned(spark, sf):
+    pts = load_points(spark, sf, "part")
+    return _edge_out(knn_join(pts, pts, 3, exclude_self=True, **PRUNED))
+
+
+def q_graph_pruned(spark, sf):
+    """K6 through the pruned search (both neighbour kinds at once)."""
+    pts = embeddings_points(spark, sf)
+    return _graph_out(G.build_graph(pts.select("id", "x", "observed"), K_L, K_U, knn=PRUNED))
+
+
+def q_predict_pruned(spark, sf):
+    """P1 through the pruned search."""
+    pts = embeddings_points(spark, sf)
+    classes = classes_of(pts)
+    hidden = pts.where(~F.col("observed"))
+    y_l = S.one_hot(pts.where("observed"), "id", "label", classes)
+    pred = predict(hidden.select("id", "x"), pts.where("observed"), None, y_l, classes, K_L, K_U, mode="knn", knn=PRUNED)
+    return pred.join(hidden.select("id", "label"), "id").select("id", F.col("pred").cast("int").alias("pred"), "label")
+
+
+QUERIES.update({"knn_ties": q_knn_ties, "knn_ties_pruned": q_knn_ties_pruned, "knn_pruned": q_knn_pruned, "graph_pruned": q_graph_pruned, "predict_pruned": q_predict_pruned})

@@ -519,7 +519,7 @@ def insert_sql(labeled: bool, theta: float | None = None, top_ratio: float | Non
             f"WHERE {h} <= (SELECT h FROM cap))"
         )
         if top_ratio is None:
-            parts.append(f"ap{h} AS (SELECT id FROM cd{h} GROUP BY id HAVING sum(abs(d)) > {_dbl(theta)})")
+            parts.append(f"ap{h} AS (SELECT id FROM cd{h} GROUP BY id HAVING sum(abs(d)) > {_dbl(max(theta, 1e-12))})")
         else:
             parts.append(
                 f"nf{h} AS (SELECT count(*) AS n FROM (SELECT DISTINCT id FROM cd{h})), "
@@ -833,3 +833,136 @@ ORACLE.update({"stream_points": q_stream_points, "stream_edges": q_stream_edges}
 
 
 ORACLE.update({"knn_approx": q_knn_approx})
+
+
+# ------------------------------------------------------------------ whole streaming runs
+CHAIN_HOPS = 8  # the hop cap int(ln u / ln 3) stays below for u < 3^9
+
+
+def stream_pts(seed: int, kind: str, value: float = 0.0) -> str:
+    """The train part in arrival order: ``pts (id, x, label, observed, step)``, step 0 being the burn-in."""
+    n_l, ratio = C.BURN_N_LABELED, C.BURN_RATIO
+    order = f"ORDER BY md5('{seed}:' || id), id"
+    masked = {
+        "ratio": f"row_number() OVER (PARTITION BY label {order}) <= floor(count(*) OVER (PARTITION BY label) * {_dbl(value)})",
+        "uniform": f"row_number() OVER ({order}) <= floor(count(*) OVER () * {_dbl(value)})",
+        "budget": f"row_number() OVER (PARTITION BY label {order}) <= floor(count(*) OVER (PARTITION BY label) * (SELECT q FROM quota))",
+    }[kind]
+    return (
+        f"pts0 AS ({pts_sql()}), sp AS ({mask_sql('pts0', 'id', 'label', X.TEST_RATIO, X.TEST_SEED, out='is_test')}), "
+        "test AS (SELECT id, x, label FROM sp WHERE is_test), tr0 AS (SELECT id, x, label FROM sp WHERE NOT is_test), "
+        "sz AS (SELECT label, count(*) AS n FROM tr0 GROUP BY 1), "
+        f"sz2 AS (SELECT label, {n_l} + least(CAST(floor({_dbl(n_l)} * (1.0 / {_dbl(ratio)} - 1.0)) AS BIGINT), n - {n_l}) AS nb FROM sz), "
+        f"r1 AS (SELECT p.*, sz2.nb, row_number() OVER (PARTITION BY p.label ORDER BY md5('{seed}:' || p.id), p.id) AS r FROM tr0 p JOIN sz2 USING (label)), "
+        "bi AS (SELECT *, r <= nb AS burn_in FROM r1), "
+        f"ob AS (SELECT id, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}:obs:' || id), id) <= {n_l} AS obs FROM bi WHERE burn_in), "
+        "burn AS (SELECT bi.id, bi.x, bi.label, bi.burn_in, coalesce(ob.obs, FALSE) AS observed, CASE WHEN bi.burn_in THEN bi.r END AS burn_rank FROM bi LEFT JOIN ob USING (id)), "
+        "tally AS (SELECT count(DISTINCT label) AS c, count(*) FILTER (observed) AS b, count(*) FILTER (NOT burn_in) AS r, count(*) FILTER (burn_in) AS nb FROM burn), "
+        f"quota AS (SELECT CAST({value} * c - b AS DOUBLE) / CAST(r AS DOUBLE) AS q FROM tally), "
+        f"rest AS (SELECT id, x, label, burn_in, {masked} AS observed, burn_rank FROM burn WHERE NOT burn_in), "
+        "allr AS (SELECT id, x, label, burn_in, observed, burn_rank FROM burn WHERE burn_in UNION ALL SELECT id, x, label, burn_in, observed, burn_rank FROM rest), "
+        "st AS (SELECT *, row_number() OVER (ORDER BY (NOT burn_in), CASE WHEN burn_in THEN label END NULLS FIRST, burn_rank NULLS FIRST, "
+        f"CASE WHEN NOT burn_in THEN md5('{seed}:order:' || id) END NULLS FIRST, id) - 1 AS seq FROM allr), "
+        f"pts AS (SELECT id, x, label, observed, CASE WHEN seq < nb THEN 0 ELSE 1 + (seq - nb) // greatest(1, CAST(ceil(r / {_dbl(C.STREAM_STEPS)}) AS BIGINT)) END AS step FROM st, tally)"
+    )
+
+
+def _named(sql: str, names: list[str], t: int) -> str:
+    """The CTE text with its tables ``names`` numbered by ``t``."""
+    import re
+
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: f"{m[1]}_{t}", sql)
+
+
+def step_cte(t: int, theta: float) -> str:
+    """Step ``t`` of a run: rebuild with the rows of the batch, first estimates, hops, normalised estimates ``out_t``; errors ``ev_t``."""
+    before = "fin" if t == 1 else f"out_{t - 1}"
+    graph = _named(graph_cte(f"all_{t}"), ["pairs", "ranked", "edges", "trans"], t)
+    parts = [
+        f"all_{t} AS (SELECT * FROM pts WHERE step <= {t})", f"new_{t} AS (SELECT * FROM pts WHERE step = {t})", graph,
+        f"cap_{t} AS (SELECT CAST(floor(ln(greatest(count(*), 1)) / ln({X.K_U})) AS INTEGER) AS h FROM all_{t} WHERE NOT observed)",
+        f"yl_{t} AS (SELECT p.id, c.class, CASE WHEN p.label = c.class THEN 1.0 ELSE 0.0 END AS y FROM all_{t} p, classes c WHERE p.observed)",
+        f"uni_{t} AS (SELECT n.id, c.class, 1.0 / (SELECT c FROM nc) AS p FROM new_{t} n, classes c WHERE NOT n.observed)",
+        f"fb_{t} AS (SELECT id, class, p FROM {before} UNION ALL SELECT * FROM uni_{t})",
+    ]
+    product = (
+        "coalesce(sum(CASE WHEN t.dst_obs THEN t.p * y.y ELSE t.p * f.p END), 0.0) AS p FROM {rows} r "
+        f"LEFT JOIN trans_{t} t ON t.src = r.id LEFT JOIN yl_{t} y ON t.dst_obs AND y.id = t.dst AND y.class = r.class "
+        "LEFT JOIN {f} f ON NOT t.dst_obs AND f.id = t.dst AND f.class = r.class GROUP BY r.id, r.class"
+    )
+    parts += [
+        f"cur_{t}_0 AS (SELECT id, class, p FROM {before} UNION ALL SELECT r.id, r.class, " + product.format(rows=f"uni_{t}", f=f"fb_{t}") + ")",
+        f"fr_{t}_1 AS (SELECT DISTINCT src AS id FROM trans_{t} WHERE dst IN (SELECT id FROM new_{t}))",
+        f"tent_{t}_0 AS (SELECT r.id, r.class, " + product.format(rows=f"(SELECT x.id, c.class FROM fr_{t}_1 x, classes c)", f=f"cur_{t}_0") + ")",
+    ]
+    for h in range(1, CHAIN_HOPS + 1):
+        a, b = f"{t}_{h - 1}", f"{t}_{h}"
+        parts += [
+            f"cd_{b} AS (SELECT t.id, t.class, t.p - c.p AS d FROM tent_{a} t JOIN fr_{b} USING (id) JOIN cur_{a} c USING (id, class) WHERE {h} <= (SELECT h FROM cap_{t}))",
+            f"ap_{b} AS (SELECT id FROM cd_{b} GROUP BY id HAVING sum(abs(d)) > {_dbl(max(theta, 1e-12))})",
+            f"cur_{b} AS (SELECT c.id, c.class, coalesce(t.p, c.p) AS p FROM cur_{a} c LEFT JOIN (SELECT * FROM tent_{a} WHERE id IN (SELECT id FROM ap_{b})) t USING (id, class))",
+            f"ct_{b} AS (SELECT tr.src AS id, u.class, sum(tr.p * u.d) AS p FROM trans_{t} tr JOIN cd_{b} u ON tr.dst = u.id WHERE NOT tr.dst_obs AND u.id IN (SELECT id FROM ap_{b}) GROUP BY tr.src, u.class)",
+            f"fr_{t}_{h + 1} AS (SELECT DISTINCT id FROM ct_{b})",
+            f"tent_{b} AS (SELECT id, class, sum(p) AS p FROM (SELECT * FROM tent_{a} UNION ALL SELECT c.id, c.class, c.p FROM cur_{b} c WHERE c.id IN (SELECT id FROM fr_{t}_{h + 1}) "
+            f"AND c.id NOT IN (SELECT id FROM tent_{a}) UNION ALL SELECT * FROM ct_{b}) GROUP BY id, class)",
+        ]
+    hops = " + ".join(f"CASE WHEN {h} <= (SELECT h FROM cap_{t}) AND (SELECT count(*) FROM fr_{t}_{h}) > 0 THEN 1 ELSE 0 END" for h in range(1, CHAIN_HOPS + 1))
+    updates = " + ".join(f"(SELECT count(*) FROM ap_{t}_{h})" for h in range(1, CHAIN_HOPS + 1))
+    parts.append(f"out_{t} AS (SELECT id, class, coalesce(p / nullif(sum(abs(p)) OVER (PARTITION BY id), 0.0), 0.0) AS p FROM cur_{t}_{CHAIN_HOPS})")
+    return ", ".join(parts) + ", " + _errors(t, f"out_{t}", hops, updates)
+
+
+def _errors(t: int, f: str, hops: str, updates: str) -> str:
+    rows = _named(rowm_cte(f, f"(SELECT id, label FROM pts WHERE NOT observed AND step <= {t})"), ["nclass", "cl", "cn", "rowm"], t)
+    return rows + (
+        f", ev_{t} AS (SELECT CAST({t} AS INTEGER) AS step, (SELECT count(*) FROM pts WHERE observed AND step <= {t}) AS n_labeled, (SELECT count(*) FROM pts WHERE NOT observed AND step <= {t}) AS n_unlabeled, "
+        f"CAST({hops} AS BIGINT) AS hops, CAST({updates} AS BIGINT) AS n_updates, round(avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END), 6) AS clf_error_mixed, round(avg(l1), 6) AS l1_error_mixed, "
+        f"round((coalesce(sum(entropy) FILTER (WHERE valid), 0.0) + count(*) FILTER (WHERE NOT valid)) / count(*), 6) AS entropy_pred_mixed FROM rowm_{t})"
+    )
+
+
+def chain_sql(variant: int, pts: str, theta: float) -> str:
+    """One variant's whole run: offline fit of the burn-in, the steps one after the other, test errors of the last."""
+    last = C.STREAM_STEPS
+    share = "coalesce(exp(-d2) / nullif(sum(exp(-d2)) OVER (PARTITION BY src), 0.0), 0.0) AS pn"
+    parts = [
+        pts, "s0 AS (SELECT * FROM pts WHERE step = 0)", graph_cte("s0"), lp_cte("s0"), _errors(0, "fin", "0", "0"), *[step_cte(t, theta) for t in range(1, last + 1)],
+        f"wl AS (SELECT src, dst, {share} FROM ({knn_sql('test', '(SELECT * FROM pts WHERE observed)', X.K_L, False)}))",
+        f"wu AS (SELECT src, dst, {share} FROM ({knn_sql('test', '(SELECT * FROM pts WHERE NOT observed)', X.K_U, False)}))",
+        "tsk AS (SELECT t.id, c.class FROM test t, classes c)",
+        f"pk AS (SELECT s.id, s.class, coalesce(sum(wl.pn * y.y), 0.0) AS p FROM tsk s LEFT JOIN wl ON wl.src = s.id LEFT JOIN yl_{last} y ON y.id = wl.dst AND y.class = s.class GROUP BY s.id, s.class)",
+        f"pu AS (SELECT s.id, s.class, coalesce(sum(wu.pn * f.p), 0.0) AS p FROM tsk s LEFT JOIN wu ON wu.src = s.id LEFT JOIN out_{last} f ON f.id = wu.dst AND f.class = s.class GROUP BY s.id, s.class)",
+        "pc AS (SELECT id, class, pk.p + pu.p AS p FROM pk JOIN pu USING (id, class))",
+        f"dk AS ({decode_sql('pk', 'pred_knn')})", f"dc AS ({decode_sql('pc', 'pred_combined')})",
+        "te AS (SELECT round(avg(CASE WHEN pred_knn <> label THEN 1.0 ELSE 0.0 END), 6) AS error_knn, round(avg(CASE WHEN pred_combined <> label THEN 1.0 ELSE 0.0 END), 6) AS error_combined "
+        "FROM dk JOIN dc USING (id) JOIN test USING (id))",
+    ]
+    steps = " UNION ALL ".join(f"SELECT * FROM ev_{t}" for t in range(last + 1))
+    return f"(WITH {', '.join(parts)} SELECT CAST({variant} AS INTEGER) AS variant, e.*, te.* FROM ({steps}) e, te)"
+
+
+def q_stream_runs() -> str:
+    return " UNION ALL ".join(chain_sql(n, stream_pts(X.SEED * n, "ratio", C.REST_RATIO), X.THETA) for n in range(C.N_RUNS))
+
+
+def q_stream_theta() -> str:
+    return " UNION ALL ".join(chain_sql(k, stream_pts(X.SEED, "ratio", C.REST_RATIO), th) for k, th in enumerate(C.SWEEP_THETA))
+
+
+def q_stream_budgets() -> str:
+    return " UNION ALL ".join(chain_sql(k, stream_pts(X.SEED, "budget", b), X.THETA) for k, b in enumerate(C.SWEEP_BUDGETS))
+
+
+def q_stream_ratios() -> str:
+    return " UNION ALL ".join(chain_sql(k, stream_pts(X.SEED, "uniform", r), X.THETA) for k, r in enumerate(C.SWEEP_RATIOS))
+
+
+ORACLE.update({"stream_runs": q_stream_runs, "stream_theta": q_stream_theta, "stream_budgets": q_stream_budgets, "stream_ratios": q_stream_ratios})
+
+
+def q_knn_ties() -> str:
+    pts = ("pts AS (SELECT p_partkey AS id, [CAST(p_size % 8 AS DOUBLE), CAST(CAST(floor(p_retailprice / 50) AS BIGINT) % 8 AS DOUBLE)] AS x FROM part)")
+    return f"WITH {pts}, nn AS ({knn_sql('pts', 'pts', 3, True)}) " + edge_out("nn")
+
+
+ORACLE.update({"knn_ties": q_knn_ties, "knn_ties_pruned": q_knn_ties, "knn_pruned": q_knn_part, "graph_pruned": q_knn_graph, "predict_pruned": q_predict_knn})
