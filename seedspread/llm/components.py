@@ -4,8 +4,8 @@ A round replaces each node's links by links to the smallest node among its
 neighbours, first for the larger neighbours (large star), then for the smaller ones
 (small star); components stay what they are and end as stars around their smallest
 node after a few rounds (logarithmic in practice).  Minima are summed up before the
-shuffle, so a node with very many links is no hot task; the joins are skew joins that
-AQE may split.  Each round is written to the shared folder; the driver sees two sums.
+shuffle and written before they are joined back, so a node with very many links is no
+hot task: AQE may split a join whose sides both come straight from a shuffle.  Each round is written to the shared folder; the driver sees two sums.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from seedspread.llm.common import forget, written
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -8,8 +8,9 @@ to the third and what lies between.  The covered lines of all windows are merged
 removed.  A line's first occurrence in that order is never covered.
 
 All steps are built-in functions.  Counting is summed up before the shuffle, so a
-passage that a third of all documents share is one row a task; the join that finds later
-occurrences is one that AQE may split by rows.  No text is shuffled but once, to meet
+passage that a third of all documents share is one row a task.  First occurrences are
+written before the join that finds the later ones: both its sides come straight
+from a shuffle, so AQE may split the rows of one window.  No text is shuffled but once, to meet
 its document's covered lines.
 
 Defined cases: texts of fewer than three lines with words have no window and stay as
@@ -49,7 +50,7 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.where(F.instr(text, "\n") > 0).select(*key, F.explode(_windows(text)).alias("w")).select("_id", "_t1", "_t2", "w.*")
     rows = written(rows, "line-windows")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("a").alias("a"))
-    first = rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w1", "w2", "first")
+    first = written(rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w1", "w2", "first"), "line-firsts")
     later = rows.join(first, ["w1", "w2"]).where(place != F.col("first"))
     lines = later.select("_id", "_t1", "_t2", F.explode(F.sequence("a", "b")).alias("line"))
     return lines.groupBy("_id", "_t1", "_t2").agg(F.collect_set("line").alias("covered"))

@@ -90,20 +90,33 @@ SELECT p.page_id, coalesce(m.lists, '') AS lists, CAST(coalesce(m.n, 0) AS BIGIN
 FROM parsed p LEFT JOIN matched m USING (page_id)
 """
 
-_MEASURES = {"chars": (True, 3.0), "symbols": (False, 0.1), "dups": (False, 0.4), "repeats": (False, 0.3)}
+#: Measure: units, numerator, denominator, has a lower threshold, percentiles, fence.
+_MEASURES = {
+    "chars": (100, "word_chars", "n_words", True, (95, 99), 1),
+    "symbols": (1000, "n_symbols", "n_words", False, (95, 99), 1),
+    "dups": (1000, "n_dup_lines", "n_lines", False, (99,), 0),
+    "repeats": (1000, "n_repeat_words", "n_words", False, (99,), 0),
+}
 
 
-def _quartile(m: str, share: str) -> str:
+def _bin(units: int, x: str, y: str) -> str:
+    """The measure in units, its low bits beyond the first six cleared."""
+    v = f"({units} * {x} // nullif({y}, 0))"
+    return f"CAST({v} - {v} % CAST(pow(2, greatest(0, length(bin({v})) - 6)) AS BIGINT) AS BIGINT)"
+
+
+def _quantile(m: str, percent: int) -> str:
     """The smallest value that at least this share of the values doesn't exceed."""
-    return f"list_sort(list({m}) FILTER ({m} IS NOT NULL))[greatest(1, CAST(ceil({share} * count({m})) AS BIGINT))]"
+    return f"list_sort(list({m}) FILTER ({m} IS NOT NULL))[greatest(1, ({percent} * count({m}) + 99) // 100)]"
 
 
 def _fences() -> str:
     out = []
-    for m, (lower, least) in _MEASURES.items():
-        a, b = _quartile(m, "0.25"), _quartile(m, "0.75")
-        room = f"greatest(({b} - {a}) * 3.0, {least})"
-        out += [f"{a} - {room} AS {m}_low" if lower else f"CAST(NULL AS DOUBLE) AS {m}_low", f"{b} + {room} AS {m}_high"]
+    for m, (_, _, _, lower, levels, fence) in _MEASURES.items():
+        q = {p: _quantile(m, p) for p in (1, 5, 50, 95, 99)}
+        top = "coalesce(" + ", ".join([f"CASE WHEN {q[p]} > {q[50]} THEN {q[p]} END" for p in levels] + [q[99]]) + ")"
+        low = "coalesce(" + ", ".join([f"CASE WHEN {q[100 - p]} < {q[50]} THEN {q[100 - p]} END" for p in levels] + [q[1]]) + ")"
+        out += [f"{low} - {fence} * ({q[50]} - {low}) AS {m}_low" if lower else f"CAST(NULL AS BIGINT) AS {m}_low", f"{top} + {fence} * ({top} - {q[50]}) AS {m}_high"]
     return "count(*) AS n, " + ", ".join(out)
 
 
@@ -129,8 +142,7 @@ WITH split AS (
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM split s LEFT JOIN covered c USING (doc_id)
 ), measured AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_chars / nullif(CAST(n_words AS DOUBLE), 0) AS chars,
-         n_symbols / nullif(CAST(n_words AS DOUBLE), 0) AS symbols, n_dup_lines / nullif(CAST(n_lines AS DOUBLE), 0) AS dups, n_repeat_words / nullif(CAST(n_words AS DOUBLE), 0) AS repeats
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{_bin(*x[:3])} AS {m}" for m, x in _MEASURES.items())}
   FROM counted
 ), passed AS (SELECT * FROM measured WHERE NOT base_failed),
 g AS (SELECT lang, source, {_fences()} FROM passed GROUP BY lang, source),

@@ -156,6 +156,24 @@ def test_quality_thresholds_adapt(spark, empty, cases):
     assert judged.count() == len(CASES) and judged.columns.count("kept") == 1
 
 
+def test_quality_limits_come_from_the_groups(spark):
+    """At sf0.1 every group of 200 rows has its own limits, below the base rule's; two runs agree whatever the order."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("lang", "source", "text")
+    limits = []
+    for parts in (3, 11):
+        rows = quality.features(docs.repartition(parts), "text", ["lang", "source"]).where("not base_failed").select("*", *quality.rounded())
+        parts_of = quality.sketches(rows, ["lang", "source"])
+        limits.append({(r.lang, r.source): r for r in quality.fences(parts_of, ["lang", "source"]).collect()})
+    assert limits[0] == limits[1]
+    big = [r for r in limits[0].values() if r.n >= 200]
+    assert len(big) >= 15 and all(0 < r.repeat_word_share_high < 300 and 0 < r.dup_line_share_high < 1000 for r in big)
+    for m in quality.MEASURES:
+        assert len({r[f"{m}_high"] for r in big}) > 3
+    coarse = quality.fences(quality.merged(parts_of, ["lang"]), ["lang"]).collect()
+    whole = quality.fences(quality.sketches(rows, ["lang"]), ["lang"]).collect()
+    assert {r.lang: r for r in coarse} == {r.lang: r for r in whole}
+
+
 # byte-level BPE ----------------------------------------------------------------
 
 
