@@ -5,8 +5,9 @@ time.  Ordered by time they become validity intervals: an ``add`` holds from its
 the pattern's next entry.  A pattern is a domain (``example.org``: the host and its
 subdomains) or a host with a path (``example.org/a``: the path and what lies below).
 
-A URL has few keys that an entry could have: its host and the domains above it, and its
-host with each prefix of its path, up to as many segments as the longest pattern has.
+A URL has few keys that an entry could have: its host and the domains above it, of up to
+as many labels as the longest pattern has, and its host with each prefix of its path, up
+to as many segments as the longest pattern has.
 Keys and intervals are joined on the key, with the capture's time within the interval,
 so each capture meets, of each pattern, the one entry that is active when it was fetched.
 
@@ -54,10 +55,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return steps.withColumn("valid_to", following).where("action = 'add' and key <> ''").select("list", "key", F.col("at").alias("valid_from"), "valid_to")
 
 
-def keys(url: Column, depth: int) -> Column:
-    """The keys of a URL: its host, the domains above it (of two labels or more), and its host with each path prefix of up to ``depth`` segments."""
+def keys(url: Column, depth: int, width: int) -> Column:
+    """The keys of a URL: its host, the domains above it (of two labels or more), and its host with each path prefix of up to ``depth`` segments.
+
+    Hosts and domains of more than ``width`` labels (two at least) are left out: no pattern
+    has so many.
+    """
     labels = F.split(host(url), r"\.")
-    up = lambda ls: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ls) - 1)), lambda i: F.array_join(F.slice(ls, i, F.size(ls)), "."))
+    first = lambda ls: F.greatest(F.lit(1), F.size(ls) - (max(2, width) - 1))
+    up = lambda ls: F.transform(F.sequence(first(ls), F.greatest(F.lit(1), F.size(ls) - 1)), lambda i: F.array_join(F.slice(ls, i, F.size(ls)), "."))
     domains = F.when(host(url).rlike(r"^[0-9.]*$"), F.array(host(url))).otherwise(bind(labels, up))
     below = lambda s: F.when(s[0] != "", F.transform(F.sequence(F.lit(1), F.least(F.size(s), F.lit(depth))), lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(s, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.filter(F.concat(domains, bind(F.split(path(url), "/"), below)) if depth else domains, lambda k: (k != "") & ~k.startswith("/"))
@@ -71,9 +77,10 @@ def verdicts(captures: DataFrame, spells: DataFrame, allow: Sequence[str] = (),
     added = ("lists", "n_matches", "blocked")
     keep = [c for c in (captures.columns if keep is None else keep) if c.lower() not in added]
     spells = written(spells, "spells")
-    depth = spells.agg(F.max(F.length("key") - F.length(F.translate("key", "/", "")))).first()[0] or 0
+    signs = lambda text, sign: F.max(F.length(text) - F.length(F.translate(text, sign, "")))
+    depth, dots = (n or 0 for n in spells.agg(signs(F.col("key"), "/"), signs(F.substring_index("key", "/", 1), ".")).first())
     asked = captures.where(col(url_col).isNotNull() & col(time_col).isNotNull()).select(col(url_col).alias("_url"), col(time_col).alias("_time")).distinct()
-    keyed = asked.select("_url", "_time", F.explode(F.array_distinct(keys(F.col("_url"), depth))).alias("_key"))
+    keyed = asked.select("_url", "_time", F.explode(F.array_distinct(keys(F.col("_url"), depth, dots + 1))).alias("_key"))
     active = (F.col("_key") == F.col("key")) & (F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to")))
     hits = keyed.join(broadcast_if_small(spells), active)
     found = hits.groupBy("_url", "_time").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.count("*").alias("n_matches"))

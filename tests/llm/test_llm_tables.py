@@ -115,6 +115,8 @@ def test_url_lists_as_of(spark):
         ("http://bad.example.org/", None, [], False),
         ("http://bad.example.org/", at(2), ["spam"], True),
         ("http://ok.example.net/" + "a/" * 5000, at(4), ["paths"], True),
+        ("http://" + "w." * 100_000 + "bad.example.org/", at(4), ["spam"], True),
+        ("http://" + "w." * 50_000 + "example.com/a", at(4), [], False),
     ]
     captures = spark.createDataFrame([(k, u, t, "own") for k, (u, t, *_) in enumerate(cases)], "page_id long, url string, fetched timestamp, blocked string")
     got = {r.page_id: r for r in urlfilter.verdicts(captures, spells, allow=["trusted"], keep=["page_id", "blocked"]).collect()}
@@ -125,6 +127,10 @@ def test_url_lists_as_of(spark):
     assert kept.columns == captures.columns and {r.page_id for r in kept.collect()} == {k for k, c in enumerate(cases) if not c[3]}
     assert urlfilter.verdicts(captures.limit(0), spells).count() == 0
     assert urlfilter.verdicts(captures, spells.limit(0)).where("blocked or n_matches > 0").count() == 0
+    # a host has no more keys than the longest pattern has labels
+    long_host = spark.range(1).select(F.concat(F.repeat(F.lit("w."), 100_000), F.lit("example.org/a/b/c")).alias("url"))
+    few = long_host.select(F.explode(urlfilter.keys(F.col("url"), 0, 4)).alias("key")).agg(F.count("*"), F.max(F.length("key"))).first()
+    assert tuple(few) == (3, len("w.w.example.org"))
 
 
 def test_native_operators_use_no_python(spark, capsys):
