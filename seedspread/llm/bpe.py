@@ -36,8 +36,8 @@ from seedspread.llm.common import col, slices
 
 #: Texts above so many characters are encoded in pieces of about that size.
 PIECE_CHARS = 1 << 16
-#: So many different matches a worker remembers (some 25 MB).
-MEMO = 100_000
+#: So many different matches a worker remembers, of so many characters at most (some 25 MB, 80 MB if all are of that length).
+MEMO, MEMO_CHARS = 100_000, 64
 
 
 def byte_chars() -> list[str]:
@@ -115,13 +115,15 @@ def plain(char: str) -> bool:
 
 
 class Memo(dict):
-    """What ``make`` says of a match, kept; emptied when it holds ``MEMO`` matches."""
+    """What ``make`` says of a match, kept if the match is short; emptied when it holds ``MEMO`` matches."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, match: str):
+        if len(match) > MEMO_CHARS:
+            return self.make(match)
         if len(self) >= MEMO:
             self.clear()
         self[match] = out = self.make(match)

@@ -356,10 +356,46 @@ def test_long_documents_are_cut_into_blocks(monkeypatch):
     whole = repeats.runs(data)
     monkeypatch.setattr(repeats, "BLOCK", 700)
     parts = repeats.runs(data)
-    spread = lambda x: [(a, s + k, s + p) for a, s, n, p in zip(*(v.tolist() for v in x), strict=True) for k in range(n)]
+    spread = lambda x: [(a, s + k, s + p) for a, s, n, p, c, r in zip(*(v.tolist() for v in x), strict=True) for k in range(n) if (c, r) == (1, n)]
     assert spread(whole) == spread(parts) and len(spread(whole)) == 4801
 
 
+def test_periodic_bytes_are_few_runs():
+    rng = np.random.default_rng(4)
+    noise = rng.integers(97, 123, size=3000).astype(np.uint8)
+    ruled = np.concatenate([noise, np.full(100_000, ord("-"), np.uint8), noise[::-1], np.tile(noise[:3], 30_000), np.tile(noise[5:70], 500), noise[:900]])
+    for data, bound in ((np.full(100_000, 97, np.uint8), 1), (np.frombuffer(b"ab " * 33_334, np.uint8), 9), (ruled, 400)):
+        found = repeats.runs(data)
+        assert len(found[0]) <= bound
+        windows, covered = 0, np.zeros(len(data) - 199, bool)
+        for _, start, n, _, copies, reach in zip(*(x.tolist() for x in found), strict=True):
+            step = (reach - n) // max(1, copies - 1)
+            assert step <= 200 and reach == n + (copies - 1) * step
+            piece = data[start : start + n + 199]
+            for k in {0, 1, copies // 2, copies - 1} & set(range(copies)):
+                assert (data[start + k * step : start + k * step + n + 199] == piece).all()
+            windows += n * copies
+            covered[start : start + reach] = True
+        assert windows == len(data) - 199 and covered.all()
+
+
+def test_periodic_texts_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefg ")) for _ in range(n))
+    table = "| - " * 120
+    broken = "=" * 260 + "#" + "=" * 350 + "#" + "=" * 199
+    rows = [(1, "a" * 100_000), (2, word(300) + "-" * 700 + word(90)), (3, "-" * 230 + word(40)), (4, table + word(250) + table[1:260]), (5, word(65) * 9 + word(10)), (6, broken), (7, word(190) * 3), (8, "z" * 201), (9, "y" * 200), (10, "ab" * 99 + "abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 200)
+
+
+def test_long_matches_are_not_remembered():
+    memo = bpe.Memo(len)
+    assert [memo[x] for x in ("ab", "c" * bpe.MEMO_CHARS, "d" * 10_000)] == [2, bpe.MEMO_CHARS, 10_000]
+    assert all(len(x) <= bpe.MEMO_CHARS for x in memo) and len(memo) == 2
+
+
 def test_suffix_sort_and_verification():
     rng = np.random.default_rng(1)
     for t in range(60):
