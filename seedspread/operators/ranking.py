@@ -12,11 +12,15 @@ the data.  ``bucketed_rank`` gives the same numbers in two passes:
 
 Ties on the order key are broken by the caller's order columns (always end with a
 unique id).
+
+``drawn`` marks the first rows of each group without ranking the others: the same count
+table says which buckets are taken whole and in which one the quota ends; only the rows
+of that bucket are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +79,53 @@ def hash_rank(
     return bucketed_rank(df, partition_cols, [F.col(key_col), F.col(id_col)], hash_bucket(key_col), name, size_col)
 
 
+def drawn(
+    df: DataFrame,
+    partition_cols: Sequence[str],
+    order_cols: Sequence[Column | str],
+    bucket: Column,
+    quota: Callable[[Column], Column],
+    name: str = "drawn",
+) -> DataFrame:
+    """Add ``name`` = the row is among the first ``quota(n)`` of its group of ``n`` rows, by ``order_cols``.
+
+    The same rows as ``bucketed_rank(...) <= quota(n)``, without a sort of all rows: a row's
+    bucket alone decides, but in the one bucket per group where the quota ends.  Only that
+    one is sorted, in one task per group (with 16 hash bits, one row in 65536; rows that tie
+    on a numeric key share a bucket).  ``bucket`` and nulls are as in ``bucketed_rank``; a
+    quota below 1 draws nothing.  A call without ``partition_cols`` runs the count at once.
+    """
+    parts, b = list(partition_cols), "_dr_bucket"
+    d = df.withColumn(b, F.coalesce(bucket, F.lit(-1)))
+    counts = d.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_dr_n"))
+    running = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.withColumn("_dr_end", F.sum("_dr_n").over(running))
+    whole = sums.withColumn("_dr_quota", quota(F.sum("_dr_n").over(Window.partitionBy(*parts))))
+    start = F.col("_dr_end") - F.col("_dr_n")
+    ends_in = (start < F.col("_dr_quota")) & (F.col("_dr_end") > F.col("_dr_quota"))
+    bounds = [
+        F.max(F.when(F.col("_dr_end") <= F.col("_dr_quota"), F.col(b))).alias("_dr_last"),
+        F.max(F.when(ends_in, F.col(b))).alias("_dr_cut"),
+        F.max(F.when(ends_in, F.col("_dr_quota") - start)).alias("_dr_need"),
+    ]
+    helpers = [b, "_dr_last", "_dr_cut", "_dr_need"]
+    if parts:
+        keys = {c: f"_dr_on{i}" for i, c in enumerate(parts)}
+        limits = whole.groupBy(*parts).agg(*bounds).withColumnsRenamed(keys)
+        same = F.lit(True)
+        for c, o in keys.items():
+            same &= F.col(c).eqNullSafe(F.col(o))
+        d = d.join(limits, on=same)
+        helpers += keys.values()
+    else:
+        row = whole.agg(*bounds).first()
+        d = d.withColumns({c: F.lit(row[c]).cast("long") for c in helpers[1:]})
+    decided = d.where(~F.col(b).eqNullSafe(F.col("_dr_cut"))).withColumn(name, F.coalesce(F.col(b) <= F.col("_dr_last"), F.lit(False)))
+    cut = d.where(F.col(b) == F.col("_dr_cut"))
+    nth = F.row_number().over(Window.partitionBy(*parts).orderBy(*order_cols))
+    return decided.unionByName(cut.withColumn(name, nth <= F.col("_dr_need"))).drop(*helpers)
+
+
 def with_quantile_bucket(
     df: DataFrame, col: str, out: str, n_buckets: int = 1024, descending: bool = False
 ) -> DataFrame:

@@ -1,9 +1,10 @@
 """Splitting, label masking, arrival order and small store operators.
 
 Every random choice is a hash order ``md5('<seed>:<salt><id>'), id`` (see
-``functions.hashing``); every per-class count is taken from a ``groupBy`` (one row
-per class) and joined back, and every rank is ``bucketed_rank`` so that a class
-holding a third of the rows is still cut into many tasks.
+``functions.hashing``).  Samples are ``drawn``: counts by class and leading hash bits say
+which rows are in, and only the rows of one bucket per class are sorted.  Where every row
+needs a position (arrival order, replay) it is a ``bucketed_rank``, so that a class holding
+a third of the rows is still cut into many tasks.
 
 Rows without a class (null: label not known) are always returned and never drawn:
 they are not observed, not in the burn-in and not test rows of a stratified split.
@@ -11,13 +12,13 @@ they are not observed, not in the burn-in and not test rows of a stratified spli
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedspread.functions.hashing import hash_bucket, order_key
-from seedspread.operators.ranking import bucketed_rank, hash_rank, with_quantile_bucket
+from seedspread.operators.ranking import bucketed_rank, drawn, hash_rank, with_quantile_bucket
 
 # salts of the independent hash orders (fixed values: changing them changes every sample)
 SALT_PICK = ""
@@ -37,6 +38,19 @@ def _ranked(df: DataFrame, parts: Sequence[str], id_col: str, seed: int, salt: s
     return bucketed_rank(d, parts, [F.col(seq), F.col(id_col)], F.col(b), name, size_col).drop(b)
 
 
+def _drawn(df: DataFrame, parts: Sequence[str], id_col: str, seed: int, shuffle: bool, seq_col: str | None,
+           quota: Callable[[Column], Column], name: str) -> DataFrame:
+    """Mark the first ``quota(n)`` rows of each of ``parts`` in the order of ``_ranked`` (salt ``SALT_PICK``)."""
+    if shuffle:
+        key = f"_{name}_key"
+        d = df.withColumn(key, order_key(id_col, seed, SALT_PICK))
+        return drawn(d, parts, [F.col(key), F.col(id_col)], hash_bucket(key), quota, name).drop(key)
+    seq = seq_col or id_col
+    b = f"_{name}_qb"
+    d = with_quantile_bucket(df, seq, b)
+    return drawn(d, parts, [F.col(seq), F.col(id_col)], F.col(b), quota, name).drop(b)
+
+
 # ---------------------------------------------------------------- D1
 def class_sizes(df: DataFrame, label_col: str = "label", min_size: int | None = None) -> DataFrame:
     """Rows per class; raises if the smallest class has fewer than ``min_size`` rows."""
@@ -66,24 +80,19 @@ def burn_in_split(
     """
     n_l = int(n_labeled_per_class)
     class_sizes(df.where(F.col(label_col).isNotNull()), label_col, min_size=n_l)  # D1 check (one scalar to the driver)
-    d = _ranked(df, [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r1", size_col="_n_class")
-    n_u = F.least(F.floor(F.lit(float(n_l)) * (F.lit(1.0) / F.lit(float(ratio_labeled)) - F.lit(1.0))),
-                  F.col("_n_class") - F.lit(n_l))
-    d = d.withColumn("burn_in", (F.col("_r1") <= (F.lit(n_l) + n_u)) & F.col(label_col).isNotNull()).drop("_n_class")
+    wanted = F.floor(F.lit(float(n_l)) * (F.lit(1.0) / F.lit(float(ratio_labeled)) - F.lit(1.0)))
+    quota = lambda n: F.lit(n_l) + F.least(wanted, n - F.lit(n_l))
+    d = _drawn(df, [label_col], id_col, seed, shuffle, seq_col, quota, "burn_in")
+    d = d.withColumn("burn_in", F.col("burn_in") & F.col(label_col).isNotNull())
+    # positions only for the burn-in rows, a bounded number per class
+    by = [order_key(id_col, seed, SALT_PICK) if shuffle else F.col(seq_col or id_col), F.col(id_col)]
+    burn = d.where("burn_in").withColumn("burn_rank", F.row_number().over(Window.partitionBy(label_col).orderBy(*by)).cast("long"))
     if shuffle:
         # the observed ones are a second, independent draw inside the burn-in rows
-        burn = d.where("burn_in").select(id_col, label_col)
-        picked = _ranked(burn, [label_col], id_col, seed, SALT_OBSERVED, True, None, "_r2")
-        picked = picked.select(id_col, (F.col("_r2") <= n_l).alias("_obs"))
-        d = d.join(picked, id_col, "left")
-        observed = F.coalesce(F.col("_obs"), F.lit(False))
-    else:
-        observed = F.col("burn_in") & (F.col("_r1") <= n_l)
-    return (
-        d.withColumn("observed", observed)
-        .withColumn("burn_rank", F.when(F.col("burn_in"), F.col("_r1")))
-        .drop("_r1", "_obs")
-    )
+        by = [order_key(id_col, seed, SALT_OBSERVED), F.col(id_col)]
+    observed = F.row_number().over(Window.partitionBy(label_col).orderBy(*by)) <= n_l
+    rest = d.where("not burn_in").withColumn("observed", F.lit(False)).withColumn("burn_rank", F.lit(None).cast("long"))
+    return rest.unionByName(burn.withColumn("observed", observed))
 
 
 # ---------------------------------------------------------------- D3
@@ -97,17 +106,14 @@ def mask_labels(
     seq_col: str | None = None,
 ) -> DataFrame:
     """Per class ``int(n_class * ratio)`` rows observed; adds ``observed``."""
-    d = _ranked(df, [label_col], id_col, seed, SALT_PICK, shuffle, seq_col, "_r", size_col="_n_class")
-    n_obs = F.floor(F.col("_n_class") * F.lit(float(ratio)))
-    return d.withColumn("observed", (F.col("_r") <= n_obs) & F.col(label_col).isNotNull()).drop("_r", "_n_class")
+    d = _drawn(df, [label_col], id_col, seed, shuffle, seq_col, lambda n: F.floor(n * F.lit(float(ratio))), "observed")
+    return d.withColumn("observed", F.col("observed") & F.col(label_col).isNotNull())
 
 
 # ---------------------------------------------------------------- D4
 def uniform_mask(df: DataFrame, id_col: str, ratio: float, seed: int) -> DataFrame:
     """``int(ratio * N)`` rows observed regardless of class; adds ``observed``."""
-    n_obs = int(df.count() * float(ratio))
-    d = _ranked(df, [], id_col, seed, SALT_PICK, True, None, "_r")
-    return d.withColumn("observed", F.col("_r") <= F.lit(n_obs)).drop("_r")
+    return _drawn(df, [], id_col, seed, True, None, lambda n: F.floor(n * F.lit(float(ratio))), "observed")
 
 
 # ---------------------------------------------------------------- D5
@@ -214,8 +220,7 @@ def tail_split(df: DataFrame, id_col: str, seq_col: str, n_test: int) -> DataFra
     """Integer test size: the last ``n_test`` rows by ``seq_col`` are test rows (``is_test``)."""
     b = "_tail_qb"
     d = with_quantile_bucket(df, seq_col, b, descending=True)
-    d = bucketed_rank(d, [], [F.col(seq_col).desc(), F.col(id_col).desc()], F.col(b), "_r").drop(b)
-    return d.withColumn("is_test", F.col("_r") <= F.lit(int(n_test))).drop("_r")
+    return drawn(d, [], [F.col(seq_col).desc(), F.col(id_col).desc()], F.col(b), lambda n: F.lit(int(n_test)), "is_test").drop(b)
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_ratio: float, seed: int) -> DataFrame:
