@@ -82,48 +82,62 @@ def hash_rank(
 def drawn(
     df: DataFrame,
     partition_cols: Sequence[str],
-    order_cols: Sequence[Column | str],
+    order_cols: Sequence[str],
     bucket: Column,
     quota: Callable[[Column], Column],
     name: str = "drawn",
+    descending: bool = False,
 ) -> DataFrame:
     """Add ``name`` = the row is among the first ``quota(n)`` of its group of ``n`` rows, by ``order_cols``.
 
-    The same rows as ``bucketed_rank(...) <= quota(n)``, without a sort of all rows: a row's
-    bucket alone decides, but in the one bucket per group where the quota ends.  Only that
-    one is sorted, in one task per group (with 16 hash bits, one row in 65536; rows that tie
-    on a numeric key share a bucket).  ``bucket`` and nulls are as in ``bucketed_rank``; a
-    quota below 1 draws nothing.  A call without ``partition_cols`` runs the count at once.
+    The same rows as ``bucketed_rank(...) <= quota(n)``, without a sort of all rows: the
+    count table says in which bucket of each group the quota ends, only that bucket's rows
+    are sorted (with 16 hash bits one row in 65536; rows that tie on a numeric key share a
+    bucket), and the row at which it ends is a bound that all rows are compared with.
+    ``descending`` turns all order columns.  ``bucket`` and nulls are as in
+    ``bucketed_rank``; a quota below 1 draws nothing; rows equal in all order columns are
+    drawn together.  A call without ``partition_cols`` finds its bound at once.
     """
-    parts, b = list(partition_cols), "_dr_bucket"
+    parts, b, at = list(partition_cols), "_dr_bucket", F.struct(*[F.col(c) for c in order_cols])
     d = df.withColumn(b, F.coalesce(bucket, F.lit(-1)))
     counts = d.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_dr_n"))
     running = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
     sums = counts.withColumn("_dr_end", F.sum("_dr_n").over(running))
     whole = sums.withColumn("_dr_quota", quota(F.sum("_dr_n").over(Window.partitionBy(*parts))))
-    start = F.col("_dr_end") - F.col("_dr_n")
-    ends_in = (start < F.col("_dr_quota")) & (F.col("_dr_end") > F.col("_dr_quota"))
+    start, end, wanted = F.col("_dr_end") - F.col("_dr_n"), F.col("_dr_end"), F.col("_dr_quota")
+    ends_in = (start < wanted) & (end > wanted)
     bounds = [
-        F.max(F.when(F.col("_dr_end") <= F.col("_dr_quota"), F.col(b))).alias("_dr_last"),
+        F.max(F.when(end <= wanted, F.col(b))).alias("_dr_last"),
         F.max(F.when(ends_in, F.col(b))).alias("_dr_cut"),
-        F.max(F.when(ends_in, F.col("_dr_quota") - start)).alias("_dr_need"),
+        F.max(F.when(ends_in, wanted - start)).alias("_dr_need"),
     ]
-    helpers = [b, "_dr_last", "_dr_cut", "_dr_need"]
+    nth = F.row_number().over(Window.partitionBy(*parts).orderBy(*[F.col(c).desc() if descending else F.col(c) for c in order_cols]))
+    in_cut = F.col(b) == F.col("_dr_cut")
     if parts:
-        keys = {c: f"_dr_on{i}" for i, c in enumerate(parts)}
-        limits = whole.groupBy(*parts).agg(*bounds).withColumnsRenamed(keys)
-        same = F.lit(True)
-        for c, o in keys.items():
-            same &= F.col(c).eqNullSafe(F.col(o))
-        d = d.join(limits, on=same)
-        helpers += keys.values()
+        keys = [f"_dr_on{i}" for i in range(len(parts))]
+        limits = whole.groupBy(*parts).agg(*bounds).withColumnsRenamed(dict(zip(parts, keys, strict=True)))
+        joined = d.join(limits, on=_same(parts, keys))
+        ends = joined.where(in_cut).withColumn("_dr_nth", nth).where("_dr_nth = _dr_need").select(*keys, at.alias("_dr_at"))
+        others = [f"{k}e" for k in keys]
+        limits = limits.join(ends.withColumnsRenamed(dict(zip(keys, others, strict=True))), on=_same(keys, others), how="left")
+        d, helpers = d.join(limits.drop(*others), on=_same(parts, keys)), keys
     else:
-        row = whole.agg(*bounds).first()
-        d = d.withColumns({c: F.lit(row[c]).cast("long") for c in helpers[1:]})
-    decided = d.where(~F.col(b).eqNullSafe(F.col("_dr_cut"))).withColumn(name, F.coalesce(F.col(b) <= F.col("_dr_last"), F.lit(False)))
-    cut = d.where(F.col(b) == F.col("_dr_cut"))
-    nth = F.row_number().over(Window.partitionBy(*parts).orderBy(*order_cols))
-    return decided.unionByName(cut.withColumn(name, nth <= F.col("_dr_need"))).drop(*helpers)
+        limit = whole.agg(*bounds).first()
+        d, helpers = d.withColumns({c: F.lit(limit[c]).cast("long") for c in ("_dr_last", "_dr_cut")}), []
+        end = d.where(in_cut).withColumn("_dr_nth", nth).where(F.col("_dr_nth") == F.lit(limit["_dr_need"])).select(at.alias("_dr_at")).first()
+        kind = dict(d.select(at.alias("_dr_at")).dtypes)["_dr_at"]
+        d = d.withColumn("_dr_at", F.struct(*[F.lit(v) for v in end["_dr_at"]]).cast(kind) if end else F.lit(None).cast(kind))
+    before = (at >= F.col("_dr_at")) if descending else (at <= F.col("_dr_at"))
+    taken = F.coalesce(F.col(b) <= F.col("_dr_last"), F.lit(False)) | F.coalesce(in_cut & before, F.lit(False))
+    return d.withColumn(name, taken).drop(b, "_dr_last", "_dr_cut", "_dr_need", "_dr_at", *helpers)
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality of columns."""
+    same = F.lit(True)
+    for x, y in zip(left, right, strict=True):
+        same &= F.col(x).eqNullSafe(F.col(y))
+    return same
 
 
 def with_quantile_bucket(

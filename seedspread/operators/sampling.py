@@ -44,11 +44,11 @@ def _drawn(df: DataFrame, parts: Sequence[str], id_col: str, seed: int, shuffle:
     if shuffle:
         key = f"_{name}_key"
         d = df.withColumn(key, order_key(id_col, seed, SALT_PICK))
-        return drawn(d, parts, [F.col(key), F.col(id_col)], hash_bucket(key), quota, name).drop(key)
+        return drawn(d, parts, [key, id_col], hash_bucket(key), quota, name).drop(key)
     seq = seq_col or id_col
     b = f"_{name}_qb"
     d = with_quantile_bucket(df, seq, b)
-    return drawn(d, parts, [F.col(seq), F.col(id_col)], F.col(b), quota, name).drop(b)
+    return drawn(d, parts, list(dict.fromkeys([seq, id_col])), F.col(b), quota, name).drop(b)
 
 
 # ---------------------------------------------------------------- D1
@@ -220,7 +220,7 @@ def tail_split(df: DataFrame, id_col: str, seq_col: str, n_test: int) -> DataFra
     """Integer test size: the last ``n_test`` rows by ``seq_col`` are test rows (``is_test``)."""
     b = "_tail_qb"
     d = with_quantile_bucket(df, seq_col, b, descending=True)
-    return drawn(d, [], [F.col(seq_col).desc(), F.col(id_col).desc()], F.col(b), lambda n: F.lit(int(n_test)), "is_test").drop(b)
+    return drawn(d, [], list(dict.fromkeys([seq_col, id_col])), F.col(b), lambda n: F.lit(int(n_test)), "is_test", descending=True).drop(b)
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_ratio: float, seed: int) -> DataFrame:

@@ -47,16 +47,16 @@ def test_drawn_equals_rank_and_sorts_one_bucket(spark):
     w = Window.partitionBy("label")
     for bits in (4, 16):
         for quota in (lambda n: F.floor(n * 0.37), lambda n: F.lit(0), lambda n: n, lambda n: n + 5, lambda n: F.lit(1), lambda n: n - 300):
-            got = drawn(df, ["label"], order, hash_bucket("k", bits), quota, "in")
+            got = drawn(df, ["label"], ["k", "id"], hash_bucket("k", bits), quota, "in")
             want = df.select("id", (F.row_number().over(w.orderBy(*order)) <= quota(F.count(F.lit(1)).over(w))).alias("w"))
             j = got.join(want, "id")
             assert got.columns == [*df.columns, "in"] and j.count() == 4000 and j.where(F.col("in") != F.col("w")).count() == 0
-    everything = drawn(df, [], order, hash_bucket("k", 8), lambda n: F.floor(n * 0.5), "in")
+    everything = drawn(df, [], ["k", "id"], hash_bucket("k", 8), lambda n: F.floor(n * 0.5), "in")
     want = {r.id for r in df.orderBy(*order).limit(2000).collect()}
     assert {r.id for r in everything.where("`in`").collect()} == want
-    assert drawn(df.limit(0), [], order, hash_bucket("k", 8), lambda n: n, "in").count() == 0
+    assert drawn(df.limit(0), [], ["k", "id"], hash_bucket("k", 8), lambda n: n, "in").count() == 0
     # sorted are the count table and the rows of the bucket in which a quota ends, nothing else
-    plan = drawn(df, ["label"], order, hash_bucket("k"), lambda n: F.floor(n * 0.37), "in")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    plan = drawn(df, ["label"], ["k", "id"], hash_bucket("k"), lambda n: F.floor(n * 0.37), "in")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     ranked = [i for i, line in enumerate(plan) if "row_number()" in line and "Window" in line]
     assert len(ranked) == 1 and any("_dr_bucket" in line and "= _dr_cut" in line.replace("_dr_cut#", "_dr_cut ") for line in plan[ranked[0] + 1 : ranked[0] + 6])
 
