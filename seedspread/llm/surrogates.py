@@ -7,7 +7,7 @@ mention's entity is its normal form: separators and upper case don't make anothe
 
 The surrogate is drawn from HMAC-SHA256 of a secret key over kind, entity and attempt, and
 is of its kind: an address has an address's parts (equal domains get equal ones, digits
-stay digits), a phone number keeps country code and length, a card its first digit and a
+stay digits), a phone number keeps country code and (in its first two attempts) length, a card its first digit and a
 valid check digit, an IP address its octets, a secret its character classes; a name its
 gender (form of address), script and number of parts, each part replaced alike wherever it occurs.
 A mention's own format is then put on: separators, capitals.
@@ -39,8 +39,8 @@ from seedspread.llm.common import col, forget, slices, written
 
 #: Entities of later attempts that are broadcast at most.
 TOLD = 100_000
-#: Attempts after which a job fails instead of going on.
-ATTEMPTS = 64
+#: Attempts after which surrogates get longer by one, and the growth from which an IP address gets a version 6 one.
+GROWS, LONG_IP = 2, 4
 
 #: Forms of address and the gender they tell.
 ADDRESS = {
@@ -179,9 +179,9 @@ class Draw:
         return out
 
 
-def _word(draw: Draw, letters: int, gender: str = "n", kind: str = "latin") -> str:
+def _word(draw: Draw, letters: int, gender: str = "n", kind: str = "latin", more: int = 0) -> str:
     syllables, endings = SYLLABLES[kind]
-    body = "".join(syllables[draw(len(syllables))] for _ in range(max(3, min(8, letters // 2))))
+    body = "".join(syllables[draw(len(syllables))] for _ in range(max(3, min(8, letters // 2)) + more))
     return body + endings[gender][draw(len(endings[gender]))]
 
 
@@ -206,28 +206,34 @@ def _like(value: str, draw: Draw) -> str:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, of_domain: int = 0) -> str:
-    """What stands for an entity, in normal form; an address has its domain's surrogate of the attempt ``of_domain``."""
-    draw = Draw(key, kind, entity, attempt)
+    """What stands for an entity, in normal form; an address has its domain's surrogate of the attempt ``of_domain``.
+
+    Later attempts add syllables or digits, so that a class with more entities than short surrogates settles too.
+    """
+    draw, more = Draw(key, kind, entity, attempt), attempt // GROWS
+    digits = lambda n: "".join(str(draw(10)) for _ in range(n))
     if kind == "email":
         local = entity.rpartition("@")[0]
         pieces = "".join(_word(draw, len(p)) if p[0].isalpha() else "".join(str(draw(10)) if c.isdigit() else c for c in p) for p in re.findall(r"[^\W\d_]+|[\W\d_]+", local))
-        return f"{pieces}@{surrogate(key, 'domain', domain(entity), of_domain)}"
+        return f"{pieces}{digits(more)}@{surrogate(key, 'domain', domain(entity), of_domain)}"
     if kind == "domain":  # longer from attempt to attempt, so that there are enough
-        return f"{_word(draw, 8 + 2 * attempt)}.example.{('com', 'net', 'org')[Draw(key, 'ending', entity, attempt)(3)]}"
+        return f"{_word(draw, 8 + 2 * attempt, 'n', 'latin', more)}.example.{('com', 'net', 'org')[Draw(key, 'ending', entity, attempt)(3)]}"
     if kind == "phone":
         country = re.match(r"\+(?:1|7|\d{2})|0", entity)
         fixed = country.group() if country else ""
-        rest = len(entity) - len(fixed)
+        rest = len(entity) - len(fixed) + more
         return fixed + "".join(str(2 + draw(8)) if k == 0 else str(draw(10)) for k in range(rest))
     if kind == "card":
         body = entity[0] + "".join(str(draw(10)) for _ in entity[1:-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "ip":
+        if more >= LONG_IP:
+            return "2001:db8:" + ":".join(f"{draw(1 << 16):x}" for _ in range(6))
         return ".".join(str(n) for n in (11 + draw(115), draw(256), draw(256), 1 + draw(254)))
     if kind == "secret":
-        return "AKIA" + _like(entity[4:], draw) if re.fullmatch(r"AKIA[0-9A-Z]{16}", entity) else _like(entity, draw)
+        return "AKIA" + _like(entity[4:], draw) if re.fullmatch(r"AKIA[0-9A-Z]{16}", entity) else _like(entity, draw) + digits(more)
     part, gender, letters = kind.split(":")
-    return _word(draw, len(entity), gender if part == "given" else "n", letters)
+    return _word(draw, len(entity), gender if part == "given" else "n", letters, more)
 
 
 def dressed(value: str, kind: str, mention: str) -> str:
@@ -303,18 +309,19 @@ def assigned(known: DataFrame, key: bytes) -> DataFrame:
 def _settled(known: DataFrame, key: bytes) -> DataFrame:
     """The last attempt of each ``(kind, entity, of_domain)``, when nothing collides any more."""
     now = written(_drawn(known.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(ATTEMPTS):
+    while True:  # ends, as surrogates grow with the attempt
         owners = now.groupBy("kind", "surrogate").agg(F.min("entity").alias("owner"))
         real = known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         marked = now.join(owners, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        clash = written(marked.where(F.col("real") | (F.col("owner") != F.col("entity"))).select("kind", "entity", F.col("attempt") + 1, "of_domain"), "clashes").toDF("kind", "entity", "attempt", "of_domain")
+        clash = written(marked.where(F.col("real") | (F.col("owner") != F.col("entity"))).select("kind", "entity", (F.col("attempt") + 1).alias("attempt"), "of_domain"), "clashes")
         if clash.isEmpty():
+            forget(clash)
             return now
         rest = now.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti")
         after = written(rest.unionByName(_drawn(clash, key)), "surrogates")
         forget(now)
+        forget(clash)
         now = after
-    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
 def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

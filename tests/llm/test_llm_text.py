@@ -503,6 +503,20 @@ def test_surrogates_of_bare_mentions():
     assert (m[5], m[6], m[7], m[8]) == (m[3], m[4], m[1], m[2]) and m[1] != m[3]
 
 
+@pytest.mark.parametrize(("kind", "entity"), [("phone", "+12345"), ("given:f:latin", "ana"), ("email", "1@x.com"), ("secret", "12345678"), ("ip", "10.0.0.1"), ("domain", "x.com")])
+def test_surrogates_grow_with_the_attempt(kind, entity):
+    sizes = [len(surrogates.surrogate(KEY, kind, entity, attempt)) for attempt in range(12)]
+    assert max(sizes[8:]) > max(sizes[:2])
+
+
+def test_surrogates_settle_where_entities_outnumber_the_short_ones(spark):
+    """Phone numbers with one free digit have 8 surrogates of their length; 60 others get longer ones, all distinct, none an entity."""
+    known = spark.createDataFrame([("phone", f"+1{n}") for n in range(60)], "kind string, entity string")
+    rows = surrogates.assigned(known, KEY).collect()
+    new = {r.surrogate for r in rows}
+    assert len(rows) == len(new) == 60 and not new & {r.entity for r in rows}
+
+
 def test_surrogates_collisions_are_drawn_again(spark, monkeypatch):
     import pandas as pd
 
