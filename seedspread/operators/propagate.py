@@ -74,6 +74,13 @@ LEAST_CHANGE = 1e-12
 # classes per wide row, and edges of one node in one bucket
 WIDTH = 64
 HUB_EDGES = 100_000
+# edges of one bucket of the graph's table, and the most buckets that Spark allows by default
+BUCKET_EDGES, MAX_BUCKETS = 2_000_000, 100_000
+
+
+def bucket_count(n_edges: int) -> int:
+    """Buckets of the graph's table: by its edges, whatever the session's shuffle partitions are."""
+    return min(MAX_BUCKETS, max(1, math.ceil(n_edges / BUCKET_EDGES)))
 
 
 def _slots(classes: Sequence[int]) -> list[str]:
@@ -118,9 +125,13 @@ class _Graph:
             uu = uu.join(self.hubs, [*self.keys, "dst"], "left")
             salt = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).cast("int")
         at = [*self.keys, "dst", "salt"]
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(bucket_count(uu.count()), min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism))
         rows = uu.select(*self.keys, "src", "dst", "p", salt.alias("salt")).repartition(n, *at)
-        rows.write.option("path", self.path).bucketBy(n, *at).sortBy(*at).saveAsTable(self.name)
+        try:
+            rows.write.option("path", self.path).bucketBy(n, *at).sortBy(*at).saveAsTable(self.name)
+        except Exception:
+            self.drop()
+            raise
 
     def products(self, f: DataFrame, slots: Sequence[str]) -> DataFrame:
         """``p(src, dst) * f(dst)`` of each edge, as wide rows of ``src``."""
@@ -185,40 +196,42 @@ def offline_propagate(
     start = _chunked(ids, keys, classes, 1.0 / max(1, len(classes))) if f0 is None else _widened(f0, keys, classes, "p")
     f = materialize(start, "estimates")
     graph = _Graph(t.where(~F.col("dst_obs")), gc)
-    active = sorted(r[0] for r in base.select(group_col).distinct().collect()) if gc else []
-    done: list[DataFrame] = []
-    residuals: dict | list = {} if gc else []
-    n_iters: dict = {}
-    n_iter = 0
-    while n_iter < max_iter and (active or not gc):
-        here = base.where(F.col(group_col).isin(active)) if gc else base
-        step = _step(graph, here, f.where(F.col(group_col).isin(active)) if gc else f, keys, slots)
-        n_iter += 1
-        if not gc:
-            # the max change is observed while the iterate is written: no second job
-            obs = Observation(f"lp_change_{n_iter}")
-            step = materialize(step.observe(obs, F.max("d").alias("d")), "estimates")
-            discard(f)
+    try:
+        active = sorted(r[0] for r in base.select(group_col).distinct().collect()) if gc else []
+        done: list[DataFrame] = []
+        residuals: dict | list = {} if gc else []
+        n_iters: dict = {}
+        n_iter = 0
+        while n_iter < max_iter and (active or not gc):
+            here = base.where(F.col(group_col).isin(active)) if gc else base
+            step = _step(graph, here, f.where(F.col(group_col).isin(active)) if gc else f, keys, slots)
+            n_iter += 1
+            if not gc:
+                # the max change is observed while the iterate is written: no second job
+                obs = Observation(f"lp_change_{n_iter}")
+                step = materialize(step.observe(obs, F.max("d").alias("d")), "estimates")
+                discard(f)
+                f = step
+                residuals.append(float(obs.get.get("d") or 0.0))
+                if residuals[-1] < tol:
+                    break
+                continue
+            step = materialize(step, "estimates")
+            per = {r[0]: float(r[1] or 0.0) for r in step.groupBy(group_col).agg(F.max("d")).collect()}
+            if not any(f is x for x in done):
+                discard(f)
             f = step
-            residuals.append(float(obs.get.get("d") or 0.0))
-            if residuals[-1] < tol:
-                break
-            continue
-        step = materialize(step, "estimates")
-        per = {r[0]: float(r[1] or 0.0) for r in step.groupBy(group_col).agg(F.max("d")).collect()}
-        if not any(f is x for x in done):
-            discard(f)
-        f = step
-        for gv in active:
-            residuals.setdefault(gv, []).append(per.get(gv, 0.0))
-            n_iters[gv] = n_iter
-        ended = [gv for gv in active if per.get(gv, 0.0) < tol]
-        if ended:
-            # kept as they are: the files of this iterate stay
-            done.append(f)
-            done[-1]._groups = ended
-            active = [gv for gv in active if gv not in ended]
-    graph.drop(), discard(t), discard(base)
+            for gv in active:
+                residuals.setdefault(gv, []).append(per.get(gv, 0.0))
+                n_iters[gv] = n_iter
+            ended = [gv for gv in active if per.get(gv, 0.0) < tol]
+            if ended:
+                # kept as they are: the files of this iterate stay
+                done.append(f)
+                done[-1]._groups = ended
+                active = [gv for gv in active if gv not in ended]
+    finally:
+        graph.drop(), discard(t), discard(base)
     if not gc:
         return OfflineResult(_long(f, keys, classes), n_iter, residuals)
     parts = [(x, x._groups) for x in done] + ([(f, active)] if active else [])

@@ -719,7 +719,36 @@ def q_latest_run(spark, sf):
     return latest.select(F.col("run_id").cast("string").alias("run_id"), "metric", "t", r6("score").alias("score"))
 
 
+def q_stored_report(spark, sf):
+    """S7, M10, M16 over stored sweeps: label ratios are swept twice, with other seeds; each sweep keeps its moments, the report merges them."""
+    from seedspread.operators.sweep import GROUP, ratio_masks, run_variants
+    from seedspread.session import materialize, scratch_dir
+    from seedspread.sources.runs import save_sweep, stored_report
+
+    root = scratch_dir(spark, "sweeps")
+    pts = load_points(spark, sf, "embeddings")
+    n = len(STORED_RATIOS)
+    masks = None
+    for run, seed in enumerate(STORED_SEEDS):
+        part = ratio_masks(pts, STORED_RATIOS, seed).withColumn(GROUP, F.col(GROUP) + run * n)
+        masks = part if masks is None else masks.unionByName(part)
+    _, ev, _ = run_variants(materialize(masks), classes_of(pts), K_L, K_U, MAX_ITER, TOL)
+    value = F.element_at(F.array(*[F.lit(str(r)) for r in STORED_RATIOS]), (F.col(GROUP) % n + 1).cast("int"))
+    scores = materialize(ev.select(F.floor(F.col(GROUP) / n).alias("run"), value.alias("value"), F.lit(0).alias("t"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in ("clf_error_mixed", "l1_error_mixed")])).alias("m")).select("run", "value", "m.metric", "t", "m.score"))
+    for part, runs in STORED_PARTS.items():
+        save_sweep(root, "label_ratio", part, scores.where(F.col("run").isin(runs)))
+    return stored_report(spark, root, "label_ratio").select("value", "metric", "t", "n_runs", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+# label ratios swept in two stored parts: seeds of three runs, and the runs of each part
+STORED_RATIOS = (0.05, 0.2)
+STORED_SEEDS = (SEED, 2 * SEED, 3 * SEED)
+STORED_PARTS = {"first": [0, 1], "second": [2]}
+
+
 QUERIES.update({
+    "stored_report": q_stored_report,
     "sweep_k_labeled": q_sweep_k_labeled,
     "sweep_k_unlabeled": q_sweep_k_unlabeled,
     "sweep_label_ratio": q_sweep_label_ratio,

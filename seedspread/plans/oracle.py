@@ -966,3 +966,17 @@ def q_knn_ties() -> str:
 
 
 ORACLE.update({"knn_ties": q_knn_ties, "knn_ties_pruned": q_knn_ties, "knn_pruned": q_knn_part, "graph_pruned": q_knn_graph, "predict_pruned": q_predict_knn})
+
+
+def q_stored_report() -> str:
+    """The report over all runs at once: what the merged moments of the stored parts have to equal."""
+    cols = {"clf_error_mixed": "avg(CASE WHEN pred <> tru THEN 1.0 ELSE 0.0 END)", "l1_error_mixed": "avg(l1)"}
+    runs = [
+        f"(WITH {uniform_pts(r, seed)}, {graph_cte('pts')}, {lp_cte()}, {rowm_cte()}, ev AS (SELECT {', '.join(f'{x} AS {m}' for m, x in cols.items())} FROM rowm) "
+        + " UNION ALL ".join(f"SELECT '{r}' AS value, '{m}' AS metric, CAST({m} AS DOUBLE) AS score FROM ev" for m in cols) + ")"
+        for seed in C.STORED_SEEDS for r in C.STORED_RATIOS]
+    return (f"WITH s AS ({' UNION ALL '.join(runs)}) SELECT value, metric, CAST(0 AS INTEGER) AS t, count(*) AS n_runs, "
+            "round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM s GROUP BY value, metric")
+
+
+ORACLE.update({"stored_report": q_stored_report})
