@@ -51,9 +51,8 @@ def test_without_structure_a_vector_meets_each_block_once(spark):
             assert [got[i, k + 1] for k in range(3)] == np.argsort(d2)[:3].tolist()
 
 
-@pytest.mark.parametrize("any_group", [False, True])
 @pytest.mark.parametrize("width", [2, 20])
-def test_a_block_keeps_what_counts_whatever_id_is_left_out(any_group, width):
+def test_a_block_keeps_what_counts_whatever_id_is_left_out(width):
     """Against brute force: shared ids, copies, groups, far origins, single and double precision."""
     draw = np.random.default_rng(width)
     for trial in range(30):
@@ -64,21 +63,18 @@ def test_a_block_keeps_what_counts_whatever_id_is_left_out(any_group, width):
         lists = lambda k: [sorted(draw.choice(4, int(draw.integers(1, 4)), replace=False).tolist()) for _ in range(k)]
         rg, qg, kind = lists(n), lists(len(q)), draw.integers(0, 2, n).tolist()
         ids = draw.integers(0, n // 2 + 1, n).tolist() if shared else draw.permutation(1000)[:n].tolist()
-        copies = draw.integers(1, 3, n).tolist() if shared and not any_group else [1] * n
+        copies = draw.integers(1, 3, n).tolist() if shared else [1] * n
         every = lambda values, kind_: pa.array([[v] * len(g) for v, g in zip(values, rg, strict=True)], pa.list_(kind_))
         r = pa.table({"x": pa.array(x.tolist(), pa.list_(pa.float64())), "rg": pa.array(rg, pa.list_(pa.int64())), "rkind": every(kind, pa.int32()), "rid": every(ids, pa.int64()), "rn": every(copies, pa.int64())})
         asked = pa.table({"v": pa.array([bytes([i]) for i in range(len(q))], pa.binary()), "x": pa.array(q.tolist(), pa.list_(pa.float64())), "groups": pa.array(qg, pa.list_(pa.int64()))})
-        search = knn._Search({0: 2, 1: 3}, True, any_group)
+        search = knn._Search({0: 2, 1: 3}, True)
         got = {}
         for o in knn._found(asked, r, search).to_pylist():
             got.setdefault((o["v"][0], o["g"], o["kind"]), []).append((round(o["d2"], 6), o["dst"]))
         for i, groups in enumerate(qg):
-            for g in [0] if any_group else groups:
+            for g in groups:
                 for kd, k in search.k_by_kind.items():
-                    meets = lambda j: bool(set(rg[j]) & set(groups)) if any_group else g in rg[j]
-                    rows = sorted((round(float(((q[i] - x[j]) ** 2).sum()), 6), ids[j]) for j in range(n) for _ in range(copies[j]) if kind[j] == kd and meets(j))
-                    if any_group:
-                        rows = [row for at, row in enumerate(rows) if row[1] not in [d for _, d in rows[:at]]]
+                    rows = sorted((round(float(((q[i] - x[j]) ** 2).sum()), 6), ids[j]) for j in range(n) for _ in range(copies[j]) if kind[j] == kd and g in rg[j])
                     for self_ in {-1, *[d for _, d in rows[:4]]}:
                         left = lambda some: [row for row in some if row[1] != self_][:k]
                         assert left(sorted(got.get((i, g, kd), []))) == left(rows)
