@@ -39,7 +39,7 @@ from seedspread.operators import metrics as M
 from seedspread.operators import sampling as S
 from seedspread.operators.predict import predict
 from seedspread.operators.propagate import hop_cap, normalize_l1, offline_propagate, propagate_local
-from seedspread.session import path_exists, remove_path, scratch_dir
+from seedspread.session import path_exists, remove_path, scratch_dir, shuffles_dropped
 
 STREAM_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
@@ -211,7 +211,8 @@ class StreamLearner:
 
     def _materialise(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = self._p(f"_work/{name}/b={batch_id}")
-        df.write.mode("overwrite").parquet(path)
+        with shuffles_dropped(df.sparkSession):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def _commit(self, batch_id, prev, edges, f, pts, arrived, phase, hops, tic, span, metrics) -> None:
@@ -219,7 +220,8 @@ class StreamLearner:
         t_first, t_last = span
         c = pts.agg(F.count_if("observed").alias("l"), F.count_if(~F.col("observed")).alias("u")).first()
         edges.write.mode("overwrite").parquet(self._p(f"edges/v={batch_id}"))
-        f.write.mode("overwrite").parquet(self._p(f"f/v={batch_id}"))
+        with shuffles_dropped(f.sparkSession):
+            f.write.mode("overwrite").parquet(self._p(f"f/v={batch_id}"))
         seconds = time.time() - tic  # the insertion is done: evaluations don't count
         f_now = self.estimates(batch_id)
         if arrived is not None:

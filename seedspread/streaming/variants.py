@@ -29,7 +29,7 @@ from seedspread.operators import sampling as S
 from seedspread.operators.knn import knn_join
 from seedspread.operators.predict import from_neighbors
 from seedspread.operators.propagate import hop_cap, normalize_l1, offline_propagate, propagate_local
-from seedspread.session import materialize, remove_path, scratch_dir
+from seedspread.session import materialize, remove_path, scratch_dir, shuffles_dropped
 from seedspread.streaming.learner import STREAM_SCHEMA, LearnerConfig, StreamLearner
 
 GRAPH, VARIANT = "g", "v"
@@ -133,8 +133,9 @@ class VariantLearner(StreamLearner):
         pts = self.points(batch_id)
         sizes = self._sizes(pts)
         if f is not None:
-            edges.write.mode("overwrite").parquet(self._p(f"edges/v={batch_id}"))
-            f.select(VARIANT, "id", "class", "p").write.mode("overwrite").parquet(self._p(f"f/v={batch_id}"))
+            with shuffles_dropped(f.sparkSession):
+                edges.write.mode("overwrite").parquet(self._p(f"edges/v={batch_id}"))
+                f.select(VARIANT, "id", "class", "p").write.mode("overwrite").parquet(self._p(f"f/v={batch_id}"))
             now, seconds = self.estimates(batch_id), time.time() - tic
             series = [(v, m, float(x)) for v, (g, _) in cfg.thetas.items() if g in sizes
                       for m, x in zip(STEP_METRICS, (*sizes[g], hops.get(v, 0), applied.get(v, 0), seconds), strict=True)]
