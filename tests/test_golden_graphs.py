@@ -162,3 +162,31 @@ def test_an_iteration_shuffles_no_edge_and_salts_hubs(spark, monkeypatch):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_an_iteration_shuffles_only_the_products(spark):
+    """L2: the static part and the iterates lie in buckets by id, like the graph's by the nodes pointed at: the products are shuffled, once."""
+    from seedspread.operators import propagate as P
+    from seedspread.session import buckets_kept
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    trans = spark.range(400).selectExpr("id % 2 as g", "id as src", "(id * 7 + 2) % 400 as dst", "0.5D as p")
+    graph = P._Graph(trans, ["g"])
+    rows = [(i % 2, i, 0, 0.5, 0.25) for i in range(400)] + [(0, None, 0, 0.5, 0.25)]
+    f = spark.createDataFrame(rows, "g long, id long, chunk int, c0 double, c1 double")
+    held = [graph.stored(graph.placed(f), n) for n in ("static", "estimates")]
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        with buckets_kept(spark):
+            step = P._step(graph, held[0].rows(), held[1].rows(), ["g", "id"], ["c0", "c1"])
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan, plan
+            got = {(r["g"], r["id"]): (r["c0"], r["c1"], r["d"]) for r in step.collect()}
+        # the row without an id is one row, which nothing points at
+        assert got == {(i % 2, i): (0.75, 0.375, 0.25) for i in range(400)} | {(0, None): (0.5, 0.25, 0.0)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        for x in (*held, graph):
+            x.drop()
