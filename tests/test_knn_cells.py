@@ -78,3 +78,24 @@ def test_a_block_keeps_what_counts_whatever_id_is_left_out(width):
                     for self_ in {-1, *[d for _, d in rows[:4]]}:
                         left = lambda some: [row for row in some if row[1] != self_][:k]
                         assert left(sorted(got.get((i, g, kd), []))) == left(rows)
+
+
+def test_a_scarce_kind_does_not_open_the_cells_of_the_others(spark):
+    """Few labelled rows lie far from most queries: their wide radii and missing neighbours are no reason to meet all other rows."""
+    x = np.random.default_rng(8).normal(size=(900, 2))
+    scarce = np.arange(900) % 150 == 0
+    df = spark.createDataFrame([(i, v.tolist(), int(s)) for i, (v, s) in enumerate(zip(x, scarce))], SCHEMA + ", kind int")
+    stats = {}
+    found = knn_join(df, df, {0: 3, 1: 2}, exclude_self=True, kind_col="kind", block_rows=300, stats=stats).collect()
+    got = {(r.src, r.kind, r["rank"]): r.dst for r in found}
+    assert len(got) == len(found) == 900 * 5 and stats["pairs"] < 900 * 900 / 3
+    for i in range(0, 900, 25):
+        d2 = ((x - x[i]) ** 2).sum(axis=1)
+        d2[i] = np.inf
+        for kind, k in ((0, 3), (1, 2)):
+            assert [got[i, kind, n + 1] for n in range(k)] == np.argsort(np.where(scarce == (kind == 1), d2, np.inf))[:k].tolist()
+    # all kinds are scarce: one block each
+    both = knn_join(df, df.withColumn("kind", F.col("id").cast("int") % 2), {0: 2, 1: 2}, exclude_self=True, kind_col="kind", block_rows=500).collect()
+    assert len(both) == 900 * 4
+    for r in both:
+        assert r.dst % 2 == r.kind
