@@ -23,10 +23,11 @@ MODES = ("knn", "lp", "pair", None)
 
 
 def from_neighbors(nn: DataFrame, query_ids: DataFrame, f: DataFrame | None, y_l: DataFrame, classes: Sequence[int],
-                   bandwidth: float = 1.0, group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                   bandwidth: float = 1.0, group_col: str | None = None, label_keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """P1 and P2 from the neighbours ``(src, dst, kind, d2)`` of the query rows, each as ``(id, class, p)``.
 
-    Without estimates ``f`` the second is all zeros.  With ``group_col`` on ``nn``, ``query_ids`` and ``f`` (and the labels shared) many variants at once.
+    Without estimates ``f`` the second is all zeros.  With ``group_col`` on ``nn``, ``query_ids`` and ``f`` (and the labels shared) many variants at once;
+    ``label_keys``: columns of ``nn`` that ``y_l`` has too, where variants have labels of their own.
     """
     gc = [group_col] if group_col else []
     w = edge_weight("d2", bandwidth)
@@ -35,7 +36,7 @@ def from_neighbors(nn: DataFrame, query_ids: DataFrame, f: DataFrame | None, y_l
     cls = F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("class")
     qz = query_ids.select(*gc, "id", cls, F.lit(0.0).alias("p"))
     lab = (nn.where(F.col("kind") == KIND_LABELED)
-           .join(y_l.select(F.col("id").alias("dst"), "class", F.col("p").alias("y")), "dst")
+           .join(y_l.where(F.col("p") != 0).select(*label_keys, F.col("id").alias("dst"), "class", F.col("p").alias("y")), [*label_keys, "dst"])
            .select(*gc, F.col("src").alias("id"), "class", (F.col("pn") * F.col("y")).alias("p")))
     p_knn = lab.unionByName(qz).groupBy(*gc, "id", "class").agg(F.sum("p").alias("p"))
     if f is None:

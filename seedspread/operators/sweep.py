@@ -62,33 +62,43 @@ def sweep_neighbors(points: DataFrame, classes: Sequence[int], values: Sequence[
 
 
 def sweep_test_errors(points: DataFrame, test: DataFrame, classes: Sequence[int], values: Sequence[int],
-                      k_unlabeled: int, max_iter: int, tol: float) -> DataFrame:
+                      k_unlabeled: int, max_iter: int, tol: float, run_col: str | None = None) -> DataFrame:
     """X3 with a test set: per number of labelled neighbours the errors that M16 reports.
 
     ``(value, runtime, est_error, knn_error, combined_error)``: the error of the estimates
     of the unlabelled points, and of the kNN part and the combined prediction (P4) on
     ``test``.  One search, one graph and one propagation serve all values; ``runtime`` is
-    the seconds they took together.
+    the seconds they took together.  With ``run_col`` (an int column of ``points``) they serve
+    all runs too, and the result has that column.
     """
     tic = time.time()
-    kmax = max(values)
-    each = F.explode(F.array(*[F.lit(int(v)).cast("long") for v in values])).alias(GROUP)
-    edges = materialize(G.build_graph(points.select("id", "x", "observed"), kmax, k_unlabeled), "edges")
-    edges_g = edges.select(each, *edges.columns).where(~F.col("dst_obs") | (F.col("rank") <= F.col(GROUP)))
-    points_g = points.select(each, *points.columns)
+    kmax, run = max(values), "_run"
+    points = points.withColumnRenamed(run_col, run) if run_col else points.withColumn(run, F.lit(0))
+    points = points.withColumn(run, F.col(run).cast("long"))
+    # a group is a value of a run
+    places = F.explode(F.array(*[F.struct((F.col(run) * len(values) + n).alias(GROUP), F.lit(int(v)).alias("most")) for n, v in enumerate(values)])).alias("_at")
+    each = lambda rows, *cols: rows.select(*cols, run, places).select(*cols, run, F.col(f"_at.{GROUP}").alias(GROUP), F.col("_at.most").alias("most"))
+    edges = materialize(G.build_graph(points.select(run, "id", "x", "observed"), kmax, k_unlabeled, group_col=run), "edges")
+    edges_g = each(edges, *[c for c in edges.columns if c != run]).where(~F.col("dst_obs") | (F.col("rank") <= F.col("most"))).drop("most", run)
+    points_g = each(points, *[c for c in points.columns if c != run]).drop("most", run)
     f, ev, _ = run_variants(points_g, classes, kmax, k_unlabeled, max_iter, tol, edges_g=edges_g)
     kinds = {G.KIND_LABELED: kmax, G.KIND_UNLABELED: k_unlabeled}
-    nn = materialize(knn_join(test.select("id", "x"), G._kinded(points), kinds, kind_col="kind"), "neighbors")
-    nn_g = nn.select(each, *nn.columns).where((F.col("kind") != G.KIND_LABELED) | (F.col("rank") <= F.col(GROUP)))
-    y_l = S.one_hot(points.where("observed"), "id", "label", classes)
-    p_knn, p_lp = from_neighbors(nn_g, test.select(each, "id"), f, y_l, classes, group_col=GROUP)
+    # every run has the same test rows
+    runs = [r[0] for r in points.select(run).distinct().collect()]
+    asked = test.select("id", "x", F.explode(F.array(*[F.lit(int(r)).cast("long") for r in runs])).alias(run))
+    nn = materialize(knn_join(asked, G._kinded(points, run), kinds, kind_col="kind", group_col=run), "neighbors")
+    nn_g = each(nn, *[c for c in nn.columns if c != run]).where((F.col("kind") != G.KIND_LABELED) | (F.col("rank") <= F.col("most")))
+    y_l = S.one_hot(points.where("observed"), "id", "label", classes, keep=[run])
+    p_knn, p_lp = from_neighbors(nn_g, each(asked, "id"), f, y_l, classes, group_col=GROUP, label_keys=[run])
     both = p_knn.withColumnRenamed("p", "pk").join(p_lp, [GROUP, "id", "class"])
     best = lambda p: F.min_by(F.col("class"), F.struct(-p, F.col("class")))
     pred = both.groupBy(GROUP, "id").agg(best(F.col("pk")).alias("knn"), best(F.col("pk") + F.col("p")).alias("combined"))
     miss = lambda c: F.avg((F.col(c) != F.col("label")).cast("double"))
     errors = pred.join(test.select("id", "label"), "id").groupBy(GROUP).agg(miss("knn").alias("knn_error"), miss("combined").alias("combined_error"))
     out = materialize(ev.select(GROUP, F.col("clf_error_mixed").alias("est_error")).join(errors, GROUP), "errors")
-    return out.select(F.col(GROUP).alias("value"), F.lit(time.time() - tic).alias("runtime"), "est_error", "knn_error", "combined_error")
+    value = F.element_at(F.array(*[F.lit(int(v)) for v in values]), (F.col(GROUP) % len(values) + 1).cast("int")).cast("long").alias("value")
+    found = [value, F.lit(time.time() - tic).alias("runtime"), "est_error", "knn_error", "combined_error"]
+    return out.select(*([F.floor(F.col(GROUP) / len(values)).alias(run_col)] if run_col else []), *found)
 
 
 def prefixes(points_g: DataFrame, steps: int, seed_of: Mapping[int, int]) -> DataFrame:
